@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from ..operators import core_queries, core_sql
+
+QUERIES: dict = {**core_queries.QUERIES}
+SQL: dict[str, str] = {**core_sql.SQL}
