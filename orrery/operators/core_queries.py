@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
-from . import incremental, nested_json, snapshots
+from ..session import checkpointed, table
+from . import hierarchy, incremental, nested_json, snapshots
 
 #: Journal numbers of ``jobs`` are issued in steps of 100; others may occur.
 JOURNAL_STEP = 100
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.circles(hierarchy.hierarchy(table(spark, d, "readiness_modules")))
+
+
+def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, d, "readiness_modules"))
+
+
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(checkpointed(p2_hierarchy(spark, d)))
+
+
+def p2_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.paths(checkpointed(p2_hierarchy(spark, d)))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.inventory_deltas(table(spark, d, "inventory"), table(spark, d, "seals")).unionByName(
         snapshots.comparison_deltas(table(spark, d, "comparison_rows")))
@@ -52,4 +68,5 @@ def p5_cases(spark: SparkSession, d: str) -> DataFrame:
     return nested_json.cases(table(spark, d, "native_cases"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p4_found, p4_intervals, p5_found, p5_reports, p5_files, p5_calls, p5_targets, p5_cases)}
+QUERIES = {f.__name__: f for f in (
+    p2_found, p2_hierarchy, p2_descendants, p2_paths, p3_found, p3_counts, p4_found, p4_intervals, p5_found, p5_reports, p5_files, p5_calls, p5_targets, p5_cases)}

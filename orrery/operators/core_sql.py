@@ -61,7 +61,30 @@ SELECT DISTINCT * FROM (
  FROM (SELECT suite_id, body, unnest(json_keys(body, '$.cases')) AS n FROM native_cases WHERE json_valid(body)))
 WHERE label IS NOT NULL AND item IS NOT NULL"""
 
+_TREE = """
+WITH RECURSIVE n AS (SELECT DISTINCT plan, id FROM readiness_modules WHERE id IS NOT NULL),
+l AS (SELECT id AS child, root AS parent FROM readiness_modules UNION SELECT unnest(related_roots), id FROM readiness_modules),
+p AS (SELECT child AS id, min(parent) AS parent FROM l WHERE child IN (SELECT id FROM n) AND parent IN (SELECT id FROM n) GROUP BY child),
+u AS (SELECT id, parent AS above, 1 AS steps FROM p
+      UNION SELECT u.id, p.parent, u.steps + 1 FROM u JOIN p ON p.id = u.above WHERE u.steps < 3000 AND u.above <> u.id),
+c AS (SELECT DISTINCT id FROM u WHERE above = id),
+s AS (SELECT DISTINCT id FROM u WHERE above IN (SELECT id FROM c) UNION SELECT id FROM c),
+ok AS (SELECT u.* FROM u WHERE u.id NOT IN (SELECT id FROM s))
+"""
+
+_DEPENDENT = """
+WITH RECURSIVE n AS (SELECT DISTINCT id FROM readiness_modules WHERE id IS NOT NULL),
+e AS (SELECT DISTINCT id AS a, t AS b FROM (SELECT id, unnest(dependencies) AS t FROM readiness_modules) WHERE id IS NOT NULL AND t IN (SELECT id FROM n)),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT DISTINCT 'dependencies' AS link_kind, a AS id FROM r WHERE a = b"""
+
 SQL = {
+    "p2_found": f"SELECT * FROM ({_TREE} SELECT 'root' AS link_kind, id FROM c) UNION ALL SELECT * FROM ({_DEPENDENT})",
+    "p2_descendants": f"{_TREE} SELECT above AS ancestor, id, steps AS distance FROM ok",
+    "p2_paths": f"""{_TREE} SELECT n.id, coalesce((SELECT max_by(above, steps) FROM ok WHERE ok.id = n.id), n.id) AS top,
+ coalesce((SELECT max(steps) FROM ok WHERE ok.id = n.id), 0)::int AS depth,
+ coalesce((SELECT string_agg(above, '/' ORDER BY steps DESC) FROM ok WHERE ok.id = n.id) || '/', '') || n.id AS path
+ FROM n WHERE n.id NOT IN (SELECT id FROM s)""",
     "p3_found": P3,
     "p3_counts": f"SELECT snapshot, delta, count(*) AS n_records FROM ({P3}) GROUP BY ALL",
     "p4_found": P4,
