@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from ..operators import core_queries, core_sql
+from . import graph_queries, registry
 
-QUERIES: dict = {**core_queries.QUERIES}
-SQL: dict[str, str] = {**core_sql.SQL}
+__all__ = ["QUERIES", "SQL", "graph_queries"]
+
+QUERIES: dict = {**core_queries.QUERIES, **registry.QUERIES}
+SQL: dict[str, str] = {**core_sql.SQL, **registry.SQL}
