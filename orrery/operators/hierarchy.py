@@ -316,7 +316,7 @@ def hierarchy(modules: DataFrame, task_weight: int = TASK_WEIGHT) -> DataFrame:
         names = small(weights.where(heavy).select("plan"), n_heavy)
         same = rows["plan"].eqNullSafe(names["plan"])
         light = rows.join(names, same, "left_anti")
-    buckets = max(1, -(-total // task_weight) * 4)
+    buckets = max(1, -(-total // max(1, task_weight)) * 4)
     done = light.withColumn("bucket", F.pmod(F.xxhash64("plan"), F.lit(buckets))).groupBy("bucket").applyInArrow(
         lambda t: _bucket(t), SCHEMA)
     return done.unionByName(_large(rows.join(names, same, "left_semi"))) if n_heavy else done

@@ -113,8 +113,13 @@ def _block(step: int):
         order = np.argsort(no, kind="stable")
         edges = np.flatnonzero(np.diff(no[order])) + 1
         processed = np.zeros((0, 2), np.int64)
-        taken = np.zeros(len(no), bool)
+        # a number identifies a version; should one come back with another
+        # version, that row is outside the interval logic and always taken
+        taken = np.ones(len(no), bool)
+        taken[order[np.unique(sequence[order], return_index=True)[1]]] = False
+        own = ~taken
         for rows in np.split(order, edges):
+            rows = rows[own[rows]]
             gaps = subtract(collapse(sequence[rows], step), processed, step)
             taken[rows] = covered(sequence[rows], gaps)
             processed = merge(processed, gaps, step)

@@ -162,8 +162,8 @@ def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     bound is labelled by joins instead (``_spread``)."""
     e = edges.select("context", "source", "target").distinct()
     weights = e.groupBy("context").agg(F.count("*").alias("m"))
-    n_heavy, total = weights.agg(F.count_if(F.col("m") > task_edges), F.coalesce(F.sum("m"), F.lit(0))).first()
-    buckets = max(1, -(-total // task_edges) * 4)
+    n_heavy, total = weights.agg(F.count_if(F.col("m") > task_edges), F.coalesce(F.sum(F.when(F.col("m") <= task_edges, F.col("m"))), F.lit(0))).first()
+    buckets = max(1, -(-total // max(1, task_edges)) * 4)
     light = e
     if n_heavy:
         heavy = weights.where(F.col("m") > task_edges).select("context")

@@ -24,19 +24,24 @@ def stage_durations(events: DataFrame) -> DataFrame:
     return events.select("user_id", "event_id", F.col("event_type").alias("stage"), (F.lead(us).over(w) - us).alias("micros"))
 
 
+def _timed(events: DataFrame, watermark: str) -> DataFrame:
+    """Event time with a zone (stored times have none) and its watermark."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+
+
 def deduplicated(events: DataFrame, watermark: str = "1 day") -> DataFrame:
     """Late and repeated events are dropped; state is bounded by the watermark."""
-    return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
+    return _timed(events, watermark).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def windowed(events: DataFrame, width: str = "1 hour", watermark: str = "1 day") -> DataFrame:
     """Events and values by type in tumbling windows."""
-    return events.withWatermark("ts", watermark).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
+    return _timed(events, watermark).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(
         F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", watermark: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(
+    return _timed(events, watermark).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n")).select(
         "user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
