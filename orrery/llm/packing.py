@@ -188,4 +188,4 @@ def fill_rate(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ).select(
         (F.coalesce("last", F.lit(-1)) + 1).alias("n_containers"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "n_pieces",
         F.ceil(F.coalesce("n_tokens", F.lit(0)) / F.lit(capacity)).alias("least_containers"),
-        (1 - F.coalesce("n_tokens", F.lit(0)) / ((F.coalesce("last", F.lit(-1)) + 1) * capacity)).alias("free_share"))
+        (1 - F.try_divide(F.col("n_tokens"), (F.col("last") + 1) * capacity)).alias("free_share"))

@@ -87,13 +87,21 @@ class JsonParser(Parser):
 NAME_START = ":A-Z_a-z\xc0-\xd6\xd8-\xf6\xf8-˿Ͱ-ͽͿ-῿‌‍⁰-↏Ⰰ-⿯、-퟿豈-﷏ﷰ-�\U00010000-\U000effff"
 XML_NAME = f"[{NAME_START}][{NAME_START}\\-.0-9\xb7̀-ͯ‿⁀]*"
 ATTRIBUTE = rf"\s+({XML_NAME})\s*=\s*(\"[^<\"]*\"|'[^<']*')"
+LITERAL = r"(?:\"[^\"]*\"|'[^']*')"
+#: What may stand in an internal subset.
+SUBSET = (
+    rf"\s|%{XML_NAME};|<!--(?:[^-]|-[^-])*-->|<\?{XML_NAME}(?:\s(?s:.*?))?\?>"
+    rf"|<!ENTITY\s+(?:%\s+)?{XML_NAME}\s+(?:{LITERAL}|(?:SYSTEM\s+{LITERAL}|PUBLIC\s+{LITERAL}\s+{LITERAL})(?:\s+NDATA\s+{XML_NAME})?)\s*>"
+    rf"|<!ELEMENT\s+{XML_NAME}\s+(?:EMPTY|ANY|%[^;\s]+;|\([^<>]*\)[?*+]?)\s*>|<!ATTLIST\s+{XML_NAME}(?:\s+{XML_NAME}\s+(?:[A-Z]+|(?:NOTATION\s*)?\([^()<>]*\))\s+(?:#REQUIRED|#IMPLIED|(?:#FIXED\s+)?{LITERAL}))*\s*>"
+    rf"|<!NOTATION\s+{XML_NAME}\s+(?:SYSTEM|PUBLIC)\s+{LITERAL}(?:\s+{LITERAL})?\s*>"
+)
 MARKUP = re.compile(
     rf"<(?P<open>{XML_NAME})(?P<attrs>(?:{ATTRIBUTE.replace('(', '(?:', 2).replace('(?:?:', '(?:')})*)\s*(?P<empty>/?)>"
     rf"|</(?P<close>{XML_NAME})\s*>"
     r"|(?P<comment><!--(?:[^-]|-[^-])*-->)"
     r"|<!\[CDATA\[(?P<cdata>(?s:.*?))\]\]>"
     rf"|<\?(?P<pi>{XML_NAME})(?:\s(?s:.*?))?\?>"
-    r"|(?P<doctype><!DOCTYPE\s(?:[^<>\[\]\"']|\"[^\"]*\"|'[^']*')*(?:\[(?:[^\]\"'<]|\"[^\"]*\"|'[^']*'|<!--(?:[^-]|-[^-])*-->|<\?(?s:.*?)\?>|<![A-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>)*\]\s*)?>)"
+    rf"|(?P<doctype><!DOCTYPE\s+{XML_NAME}(?:\s+(?:SYSTEM\s+{LITERAL}|PUBLIC\s+{LITERAL}\s+{LITERAL}))?\s*(?:\[(?:{SUBSET})*\]\s*)?>)"
     r"|(?P<text>[^<]+)"
     r"|(?P<bad><)"
 )

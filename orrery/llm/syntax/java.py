@@ -24,15 +24,18 @@ TABLE = {
     **dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>= >>>=".split(), "A"),
 }
 #: Contextual words keep their own class but count as identifiers.
-SOFT = {"record": "r", "sealed": "z", "permits": "y", "yield": "d", "var": "i", "module": "m", "open": "o"}
+SOFT = {
+    "requires": "q", "transitive": "t", "exports": "e", "opens": "e", "uses": "u", "provides": "b", "to": "k", "with": "w",
+    "record": "r", "sealed": "z", "permits": "y", "yield": "d", "var": "i", "module": "m", "open": "o"}
 TABLE |= SOFT
-NAME = frozenset("irzydmo")
+NAME = frozenset("irzydmoqteubkw")
+DIRECTIVES = frozenset("qeub")
 JOINED = "\x01"  # a '>' that touches the next one
 TOKEN = re.compile(
     r"""\s*("""
     r"""(?:[^\W\d]|\$)[\w$]*"""
     r"""|//[^\r\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"""
-    r'''|"""[ \t\f]*\r?\n(?:[^\\"]|\\(?s:.)|"(?!""))*"""'''
+    r'''|"""[ \t\f]*\r?\n(?:[^\\"]|\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}|\r?\n)|"(?!""))*"""'''
     r'''|"(?:[^"\\\r\n]|\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))*"'''
     r"""|'(?:[^'\\\r\n]|\\(?:[btnfrs"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))'"""
     r"""|\.?\d(?:[eEpP][+-]|[\w.])*"""
@@ -127,9 +130,19 @@ class JavaParser(Parser):
     def module(self, i: int) -> int:
         s = self.s
         i = self.need(self.name(i + 2 if s[i] == "o" else i + 1), "{", "EXPECTED_MODULE_BODY")
-        while s[i] in NAME:
-            while s[i] in NAME or s[i] in ".," or s[i] in (K["static"],):
-                i += 1
+        while s[i] in DIRECTIVES:
+            word = s[i]
+            i += 1
+            if word == "q":  # requires
+                while s[i] == K["static"] or s[i] == "t" and s[i + 1] in NAME:
+                    i += 1
+                i = self.name(i)
+            else:
+                i = self.name(i)
+                if word == "e" and s[i] == "k" or word == "b":  # exports, opens .. to; provides .. with
+                    i = self.name(self.need(i, "w" if word == "b" else "k", "EXPECTED_WITH"))
+                    while s[i] == ",":
+                        i = self.name(i + 1)
             i = self.need(i, ";", "EXPECTED_SEMICOLON")
         i = self.need(i, "}", "EXPECTED_CLOSING_BRACE")
         return self.need(i, END, "TRAILING_TOKENS")
@@ -189,12 +202,15 @@ class JavaParser(Parser):
         return self.ternary(i)
 
     def modifiers(self, i: int) -> int:
-        s = self.s
+        s, seen = self.s, ""
         while True:
             c = s[i]
             if c in MODIFIERS:
                 if c == K["default"] and s[i + 1] in ":W":
                     return i
+                if c in seen:
+                    raise Fail(i, "REPEATED_MODIFIER")
+                seen += c
                 i += 1
             elif c == "@" and s[i + 1] != K["interface"]:
                 i = self.annotations(i)
@@ -404,10 +420,10 @@ class JavaParser(Parser):
             else:
                 return i
 
-    def type_arguments(self, i: int) -> int:
+    def type_arguments(self, i: int, diamond: bool = False) -> int:
         s = self.s
         i += 1
-        if s[i] in ">G":
+        if s[i] in ">G" and diamond:
             return i + 1
         while True:
             i = self.annotations(i)
@@ -866,7 +882,7 @@ class JavaParser(Parser):
             i = self.need_name(i)
             while True:
                 if s[i] == "<":
-                    i = self.type_arguments(i)
+                    i = self.type_arguments(i, True)
                 if s[i] == ".":
                     i = self.need_name(self.annotations(i + 1))
                 else:

@@ -20,9 +20,9 @@ TABLE = {
     "!": "!", "~": "!", "++": "P", "--": "P", "=>": "W", "?.": "Q", "...": "V",
     **dict.fromkeys("+= -= *= /= %= **= &= |= ^= <<= >>= >>>= &&= ||= ??=".split(), "A"),
     # contextual words
-    "async": "a", "of": "o", "get": "g", "set": "g", "static": "t", "let": "l", "yield": "y", "await": "w",
+    "async": "a", "of": "o", "get": "g", "set": "g", "static": "t", "let": "l", "yield": "y", "await": "w", "target": "z",
 }
-NAME = frozenset("iaogtlyw")
+NAME = frozenset("iaogtlywz")
 #: Words that may stand as a property name.
 PROPERTY = NAME | frozenset(K.values()) | {LITERAL}
 TEMPLATE_OPEN, TEMPLATE_CLOSE = "\x04", "\x05"
@@ -107,7 +107,7 @@ BINARY = {"O": 1, "N": 2, "|": 3, "^": 4, "&": 5, "E": 6, "<": 7, K["instanceof"
 UNARY = frozenset(("+", "!", K["typeof"], K["void"], K["delete"]))
 #: A line break after these, or before those, never ends a statement.
 BREAK_AFTER = re.compile("(?<=[({\\[;,.?:=<&|^+*/!A-FLNOQVWX" + "".join(K[w] for w in "case delete else in instanceof new typeof void do".split()) + "])\n+|^\n+")
-BREAK_BEFORE = re.compile("\n+(?=[)\\],;.?:=<&|^+*/A-FLNOQWXT(\\[\x04" + K["in"] + K["instanceof"] + "])")
+BREAK_BEFORE = re.compile("\n+(?=[)\\],;.?:=<&|^+*/A-FLNOQXT(\\[\x04" + K["in"] + K["instanceof"] + "])")
 BREAKS = re.compile("\n{2,}")
 RESTRICTED = "".join(K[w] for w in "return break continue throw".split()) + "yP"
 KEEP = re.compile("(?<=[" + RESTRICTED + "])\n+(?=[(\\[+/T\x04])")
@@ -744,6 +744,8 @@ class JavaScriptParser(Parser):
             return i
         if c == K["new"]:
             if s[i + 1] == ".":
+                if s[i + 2] != "z":
+                    raise Fail(i + 2, "EXPECTED_TARGET")
                 return i + 3
             i = self.primary(self.skip(i + 1))
             i = self.members(i, False)

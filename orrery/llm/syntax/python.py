@@ -106,6 +106,8 @@ def field(body: str, i: int) -> int:
             elif body.startswith(quote, i):
                 i += len(quote) - 1
                 quote = ""
+        elif c == "#":
+            return -1
         elif c in "'\"":
             quote = c * 3 if body.startswith(c * 3, i) else c
             i += len(quote) - 1
@@ -202,8 +204,9 @@ class PythonParser(Parser):
                 depth = 0
                 kind = kinds.get(held)
                 if kind is None:
+                    before = len(self.errors)
                     kind = self.line(held, at)
-                    if kind != "?" and len(held) <= 2000:
+                    if len(self.errors) == before and len(held) <= 2000:
                         kinds[held] = kind
                 lines.append((column, kind, at))
                 held = ""
@@ -501,8 +504,6 @@ class PythonParser(Parser):
                     raise Fail(i, "NOT_ASSIGNABLE")
                 i = self.yielded(i + 1) if s[i + 1] == K["yield"] else self.star_list(i + 1)
                 kind = self.kind
-            if kind == "*":
-                raise Fail(i, "STARRED_NOT_ALLOWED")
             return i
         if d == "A":
             if kind not in "na":
@@ -515,8 +516,6 @@ class PythonParser(Parser):
             if s[i] == "=":
                 i = self.yielded(i + 1) if s[i + 1] == K["yield"] else self.star_list(i + 1)
             return i
-        if kind == "*":
-            raise Fail(start, "STARRED_NOT_ALLOWED")
         return i
 
     def dotted(self, i: int) -> int:
@@ -1009,8 +1008,11 @@ class PythonParser(Parser):
                 dictionary = True
                 i = self.binary(i + 1, 5)
             else:
+                starred = s[i] == "*"
                 i = self.star_item(i)
                 pair = s[i] == ":"
+                if pair and starred:
+                    raise Fail(i, "STARRED_NOT_ALLOWED")
                 if dictionary is None:
                     dictionary = pair
                 if pair != dictionary:

@@ -143,9 +143,9 @@ def broken(words: list[str], lowered: list[str], text: str, common: frozenset[st
     if n < 5:
         return False
     share = sum(w in common for w in lowered) / n
-    distinct = len(set(lowered)) / n
-    if n >= 12 and distinct < 0.12 + 1.5 / n:
-        return True
+    distinct = len(set(lowered))
+    if n >= 12 and (distinct <= 3 or distinct <= 15 and n >= 6 * distinct):
+        return True  # the same few words over and over
     odd = sum(c in "�€™œž¼½¾¿¶¤¦§¨©¬®¯°±²³´µ·¸¹º×÷ÂÃâ" for c in text)
     if odd > 0.08 * len(text):
         return True
