@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Extension -> language of the path.
 LANGUAGES = {
     "java": "java", "py": "python", "pyi": "python", "js": "javascript", "cjs": "javascript",
@@ -100,7 +102,7 @@ def diagnose_sources(documents: DataFrame) -> DataFrame:
         .withColumn("language", language_of(F.col("path")))
         .where(F.col("language").isNotNull())
     )
-    return files.mapInArrow(_diagnose_batches, SCHEMA)
+    return spread(files, "doc_id").mapInArrow(_diagnose_batches, SCHEMA)
 
 
 def malformed(documents: DataFrame) -> DataFrame:

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 EXTENSIONS = r"(?i)\.(md|txt|rst|adoc)$"
 #: The statistics, in the order of the vectors.
 STATISTICS = (
@@ -323,7 +325,7 @@ def describe_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
 
     texts = documents.select("doc_id", "lang", "text", "path").where(
         F.col("path").rlike(EXTENSIONS) & F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", "lang", "text")
-    return texts.mapInArrow(run, DESCRIBED)
+    return spread(texts, "doc_id").mapInArrow(run, DESCRIBED)
 
 
 def moments(described: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:

@@ -27,6 +27,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Folder of the public tokenizer files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.json"
@@ -287,7 +289,7 @@ def encode_documents(documents: DataFrame, folder: str = TOKENIZERS, name: str =
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def count_documents(documents: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -300,4 +302,4 @@ def count_documents(documents: DataFrame, folder: str = TOKENIZERS, name: str =
                 n = v.count_tokens(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, n_tokens bigint")
