@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..operators import core_queries, core_sql
-from . import data_queries, graph_queries, region_queries, registry
+from . import data_queries, detail_queries, graph_queries, region_queries, registry
 
-__all__ = ["QUERIES", "SQL", "data_queries", "graph_queries", "region_queries"]
+__all__ = ["QUERIES", "SQL", "data_queries", "detail_queries", "graph_queries", "region_queries"]
 
 QUERIES: dict = {**core_queries.QUERIES, **registry.QUERIES}
 SQL: dict[str, str] = {**core_sql.SQL, **registry.SQL}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orrery.functions import scalars
 from orrery.operators import bridges, evolution, metrics, policy, regions, traversal
 from orrery.sources import documents as docs
+from orrery.sources import extract
 from orrery.sources.graph import CONTEXT, EDGE, NODE, Graph
 from orrery.streaming import events
 
@@ -228,6 +229,15 @@ def test_openapi_and_decoding(spark):
     assert rows[0]["text"] == "a\r\nb\n" and (rows[0]["n_crlf"], rows[0]["n_lf"]) == (1, 1)
 
 
+def test_build_files(spark):
+    pom = "<project><groupId>g</groupId><artifactId>a</artifactId><dependencies><dependency><groupId>x</groupId><artifactId>y</artifactId><version>1</version></dependency><dependency><groupId>z</groupId><artifactId>w</artifactId><scope>test</scope></dependency></dependencies></project>"
+    toml = '[versions]\nv = "2"\n[libraries]\na = "g:n:1"\nb = { module = "g:m", version.ref = "v" }\nc = { group = "q", name = "r" }\n'
+    df = spark.createDataFrame([(1, pom), (2, None), (3, "no xml"), (4, toml)], "k int, t string")
+    got = {tuple(r)[1:] for r in extract.maven_dependencies(df, "k", "t").collect()}
+    assert got == {("a", "x:y", "1", "compile"), ("a", "z:w", None, "test")}
+    assert {tuple(r) for r in extract.version_catalog(df, "k", "t").collect()} == {(4, "a", "g:n", "1"), (4, "b", "g:m", "2"), (4, "c", "q:r", None)}
+
+
 def test_cursor_is_bound_to_its_query(spark):
     row = spark.range(1).select(scalars.cursor(F.lit("q1"), F.lit("id?7~")).alias("c")).withColumn("own", scalars.cursor_valid(F.col("c"), F.lit("q1"))).withColumn("foreign", scalars.cursor_valid(F.col("c"), F.lit("q2"))).withColumn(
         "garbled", scalars.cursor_valid(F.lit("%%%"), F.lit("q1"))).first()
