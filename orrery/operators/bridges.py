@@ -157,3 +157,53 @@ def bean_conditions(selectors: DataFrame) -> DataFrame:
         F.when(F.col("maybe") == 0, False).when((F.col("sure") == 1) & (F.col("maybe") == 1), True).when(F.col("primaries") > 1, False)
         .when((F.col("primaries") == 1) & (F.col("maybe_primary") == 1), True).when(F.col("maybe_primary") > 0, F.lit(None).cast("boolean")).when(F.col("sure") > 1, False))
     return g.select("condition", present.alias("present"), (~present).alias("missing"), single.alias("single_candidate"))
+
+
+def discovery(steps: DataFrame, group: str, order: str, step: str, verdict: str, error: str) -> DataFrame:
+    """Discovery fold: DISCOVERED, SKIPPED, UNKNOWN; an error ends the group, and
+    what is behind it is NOT_REACHED."""
+    w = Window.partitionBy(group).orderBy(order, step).rowsBetween(Window.unboundedPreceding, -1)
+    stopped = F.coalesce(F.max(F.coalesce(F.col(error), F.lit(False)).cast("int")).over(w), F.lit(0)) == 1
+    state = F.when(stopped, "NOT_REACHED").when(F.col(error), "ERROR").when(F.col(verdict).isNull(), "UNKNOWN").when(F.col(verdict), "DISCOVERED").otherwise("SKIPPED")
+    return steps.select(group, order, step, state.alias("state"))
+
+
+def admissions(events: DataFrame, capacity: int, max_bypasses: int) -> DataFrame:
+    """(queue, ticket, admitted_at, bypasses): admission under a capacity.
+
+    ``events``: (queue, sequence, kind, ticket, size, priority) with kind submit
+    or release.  After each event the waiting tickets are tried in order of
+    priority and arrival; one that does not fit is bypassed, and once it was
+    bypassed ``max_bypasses`` times nobody may pass it any more.  A queue is
+    sequential by nature: its events are sorted within a partition and read as
+    a stream, and only the waiting and active tickets are held."""
+    import pandas as pd
+
+    def run(frames):
+        queue, waiting, active, free = None, [], {}, capacity
+        for frame in frames:
+            out = []
+            for q, sequence, kind, ticket, size, priority in frame.itertuples(index=False):
+                if q != queue:
+                    queue, waiting, active, free = q, [], {}, capacity
+                if kind == "release":
+                    free += active.pop(ticket, 0)
+                else:
+                    waiting.append([-priority, sequence, ticket, size, 0])
+                    waiting.sort(key=lambda x: x[:2])
+                kept, blocked = [], False
+                for entry in waiting:
+                    if not blocked and entry[3] <= free:
+                        free -= entry[3]
+                        active[entry[2]] = entry[3]
+                        out.append((q, entry[2], sequence, entry[4]))
+                        for k in kept:
+                            k[4] += 1
+                    else:
+                        blocked = blocked or entry[4] >= max_bypasses
+                        kept.append(entry)
+                waiting = kept
+            yield pd.DataFrame(out, columns=["queue", "ticket", "admitted_at", "bypasses"])
+
+    rows = events.select("queue", "sequence", "kind", "ticket", "size", "priority").repartition("queue").sortWithinPartitions("queue", "sequence")
+    return rows.mapInPandas(run, "queue string, ticket string, admitted_at bigint, bypasses int")

@@ -7,8 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import metrics, regions, traversal
-from ..operators.bridges import reconcile
+from ..operators import bridges, expressions, metrics, regions, traversal
 from ..session import table
 from ..sources import extract
 from ..sources.graph import Graph
@@ -121,7 +120,7 @@ r AS (SELECT coalesce(c.source, e.source) AS source, CASE WHEN c.path IS NULL TH
 SELECT source, count(*) FILTER (status = 'EMITTED') AS emitted, count(*) FILTER (status = 'OMITTED') AS omitted, count(*) FILTER (status = 'FOREIGN') AS "foreign", bool_and(status = 'EMITTED') AS complete FROM r GROUP BY source""")
 def v_coverage(spark, d):
     """Coverage counters of each repository and whether it is complete."""
-    r = reconcile(table(spark, d, "documents"), table(spark, d, "source_outcomes"), ["source", "path"])
+    r = bridges.reconcile(table(spark, d, "documents"), table(spark, d, "source_outcomes"), ["source", "path"])
     n = {s: F.count_if(F.col("status") == s.upper()).alias(s) for s in ("emitted", "omitted", "foreign")}
     return r.groupBy("source").agg(*n.values(), F.bool_and(F.col("status") == "EMITTED").alias("complete"))
 
@@ -331,3 +330,24 @@ def s_declarations(spark, d):
 @query("SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^(?:from|import) +([A-Za-z_.][\\w.]*)', 1)) AS module FROM documents WHERE regexp_matches(path, '(?i)\\.pyi?$') AND text IS NOT NULL")
 def s_python_imports(spark, d):
     return extract.python_imports(table(spark, d, "documents"))
+
+
+# -- expressions and discovery ------------------------------------------------------------------------------------
+_EXPRESSIONS = {"big": "${size:0} > 50000 and !(${state} == 'PENDING')", "known": "#{${digest:none} != 'none'}", "label": "'${state}/${reason:none}' == 'RUNNING/STEP'", "half": "(${size} / 2 + 1) % 2 < 1 ? true : ${flag:false}"}
+
+
+@query("""SELECT id, revision, sequence, loaded_at, coalesce(size, 0) > 50000 AND upper(state) <> 'PENDING' AS big, coalesce(digest, 'none') <> 'none' AS known, upper(state) || '/' || coalesce(reason, 'none') = 'RUNNING/STEP' AS label,
+ CASE WHEN size IS NULL THEN NULL ELSE (size / 2.0 + 1) % 2 < 1 END AS half FROM jobs""")
+def b_expressions(spark, d):
+    """Expressions judged over the properties of every job row."""
+    j = table(spark, d, "jobs")
+    props = {"size": F.col("size").cast("string"), "state": F.upper("state"), "digest": F.col("digest"), "reason": F.col("reason"), "flag": F.lit(None).cast("string")}
+    rows = j.select("id", "revision", "sequence", "loaded_at", *[c.alias(f"property_{n}") for n, c in props.items()])
+    return rows.select("id", "revision", "sequence", "loaded_at", *[expressions.compile_expression(x).alias(n) for n, x in _EXPRESSIONS.items()])
+
+
+@query("""SELECT user_id, ts, event_id, CASE WHEN b THEN 'NOT_REACHED' WHEN value > 480 THEN 'ERROR' WHEN event_type = 'refund' THEN 'UNKNOWN' WHEN value > 20 THEN 'DISCOVERED' ELSE 'SKIPPED' END AS state
+FROM (SELECT *, coalesce(max((value > 480)::int) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS b FROM events)""")
+def b_discovery(spark, d):
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "refund", F.col("value") > 20).alias("verdict"), (F.col("value") > 480).alias("error"))
+    return bridges.discovery(e, "user_id", "ts", "event_id", "verdict", "error")

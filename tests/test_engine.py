@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars
-from orrery.operators import bridges, evolution, metrics, policy, regions, traversal
+from orrery.operators import bridges, evolution, expressions, metrics, policy, regions, traversal
 from orrery.sources import documents as docs
 from orrery.sources import extract
 from orrery.sources.graph import CONTEXT, EDGE, NODE, Graph
@@ -182,6 +182,27 @@ def test_binding_states(spark):
     assert got == {"a": "AMBIGUOUS", "b": "CANDIDATE", "c": "CONTRACT_ONLY", "d": "BOUND", "e": "UNRESOLVED", "f": "CANDIDATE", "g": "REOPENED", "h": "INFEASIBLE"}
 
 
+def test_expressions(spark):
+    row = spark.createDataFrame([("8", "true", None, "x y")], "property_a string, property_b string, property_c_d string, property_e string")
+    cases = {
+        "${a} + 2 == 10": True, "${b} && !(1 > 2)": True, "${c.d}": None, "${c.d:7} * 2 == 14": True, "${c.d:${a}} == '8'": True, "'v ${e}' == \"v x y\"": True, "${c.d} == 'q' or true": True, "${c.d} == 'q' and true": None,
+        "1 < 2 ? 'a' == 'a' : false": True, "${c.d:} ?: 'z'": "z", "not ${b} or ${a} ge 9": False, "5 % 3 == 2 and -1 lt 0": True, "'it''s' == \"it's\"": True, "1 == 'a'": False, "#{ 10 / 4 == 2.5 }": True, "${a} / 0 > 1": None}
+    got = row.select(*[expressions.compile_expression(x).alias(f"x{k}") for k, x in enumerate(cases)]).first()
+    assert list(got) == list(cases.values())
+    for bad in ("", "1 +", "(1", "T(java.lang.Runtime)", "@bean", "foo", "'a", "${a", "1 2", "'a' * 2", "a.b()", "(" * 80 + "1" + ")" * 80, "x" * 5000):
+        with pytest.raises(expressions.ExpressionError):
+            expressions.compile_expression(bad)
+    assert expressions.property_keys("${a.b:${c}} + ${d-e}") == {"a.b", "c", "d-e"}
+
+
+def test_admissions(spark):
+    e = [("q", 1, "submit", "a", 6, 0), ("q", 2, "submit", "b", 6, 0), ("q", 3, "submit", "c", 2, 0), ("q", 4, "submit", "d", 2, 0), ("q", 5, "submit", "e", 1, 0), ("q", 6, "release", "a", 0, 0), ("q", 7, "submit", "f", 1, 9), ("z", 1, "submit", "x", 10, 0), ("z", 2, "submit", "y", 11, 0)]
+    df = spark.createDataFrame(e, "queue string, sequence bigint, kind string, ticket string, size int, priority int")
+    got = {r["ticket"]: (r["admitted_at"], r["bypasses"]) for r in bridges.admissions(df, 10, 2).collect()}
+    # b does not fit, c and d pass it, then it blocks e until a is released
+    assert got == {"a": (1, 0), "c": (3, 0), "d": (4, 0), "b": (6, 2), "x": (1, 0)}
+
+
 # -- sources ---------------------------------------------------------------------------------------
 def graph(spark):
     c = spark.createDataFrame([("c1", "s", None, "e")], CONTEXT)
