@@ -44,8 +44,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give work per row to all cores where the input comes in few pieces.
 
-    Only when there are fewer partitions than twice the cores is ``df`` hashed
-    on ``key``; a large input has more splits than that and is left alone, so
+    Only when there are fewer partitions than cores is ``df`` hashed on
+    ``key``; a large input has more splits than that and is left alone, so
     texts are not shuffled at scale."""
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, key) if df._jdf.rdd().getNumPartitions() < wanted else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, key) if df._jdf.rdd().getNumPartitions() < cores else df
