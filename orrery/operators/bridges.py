@@ -136,16 +136,25 @@ def select_bindings(eligible: DataFrame) -> DataFrame:
     return j.select("site", "n", state.alias("state"), F.when(state == "SELECTED", bean).alias("bean"))
 
 
+def _first(steps: DataFrame, group: str, order: str, step: str, where: Column) -> DataFrame:
+    """Steps with the place of the first step of their group that meets ``where``.
+
+    An aggregate (combined before the shuffle) joined back, not a window: a
+    group with a third of all steps is split by the skew join, never sorted
+    in one task."""
+    first = steps.where(where).groupBy(group).agg(F.min(F.struct(order, step)).alias("first"))
+    return steps.join(first, group, "left")
+
+
 def registration(steps: DataFrame, group: str, order: str, step: str, verdict: str) -> DataFrame:
     """Ordered registration fold: a false condition skips its step, the first
     unknown one raises a barrier behind which every step is UNKNOWN.
 
-    Only the position of the first unknown step matters, so this is one window
-    over the group and no fold in Python."""
-    w = Window.partitionBy(group).orderBy(order, step).rowsBetween(Window.unboundedPreceding, -1)
-    barrier = F.coalesce(F.max(F.col(verdict).isNull().cast("int")).over(w), F.lit(0)) == 1
-    state = F.when(barrier | F.col(verdict).isNull(), "UNKNOWN").when(F.col(verdict), "ACCEPTED").otherwise("SKIPPED")
-    return steps.select(group, order, step, state.alias("state"))
+    Only the place of the first unknown step matters, so nothing is folded."""
+    rows = _first(steps, group, order, step, F.col(verdict).isNull())
+    barrier = F.coalesce(F.struct(order, step) >= F.col("first"), F.lit(False))
+    state = F.when(barrier, "UNKNOWN").when(F.col(verdict), "ACCEPTED").otherwise("SKIPPED")
+    return rows.select(group, order, step, state.alias("state"))
 
 
 def bean_conditions(selectors: DataFrame) -> DataFrame:
@@ -162,10 +171,10 @@ def bean_conditions(selectors: DataFrame) -> DataFrame:
 def discovery(steps: DataFrame, group: str, order: str, step: str, verdict: str, error: str) -> DataFrame:
     """Discovery fold: DISCOVERED, SKIPPED, UNKNOWN; an error ends the group, and
     what is behind it is NOT_REACHED."""
-    w = Window.partitionBy(group).orderBy(order, step).rowsBetween(Window.unboundedPreceding, -1)
-    stopped = F.coalesce(F.max(F.coalesce(F.col(error), F.lit(False)).cast("int")).over(w), F.lit(0)) == 1
+    rows = _first(steps, group, order, step, F.col(error))
+    stopped = F.coalesce(F.struct(order, step) > F.col("first"), F.lit(False))
     state = F.when(stopped, "NOT_REACHED").when(F.col(error), "ERROR").when(F.col(verdict).isNull(), "UNKNOWN").when(F.col(verdict), "DISCOVERED").otherwise("SKIPPED")
-    return steps.select(group, order, step, state.alias("state"))
+    return rows.select(group, order, step, state.alias("state"))
 
 
 def admissions(events: DataFrame, capacity: int, max_bypasses: int) -> DataFrame:

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed, small
 
-#: Weight (rows and array entries) that one task takes.
-TASK_WEIGHT = 400_000
+#: Weight (rows and array entries) that one task takes: some 0.3 GB of ids.
+TASK_WEIGHT = 2_000_000
 #: Positions of one chunk of the nested-set line in range joins.
 CHUNK = 256
 #: Buckets that the children of one parent are spread over.
@@ -225,7 +225,7 @@ def _circle_of_parents(nodes: DataFrame) -> DataFrame:
         count = n
 
 
-def _large(rows: DataFrame) -> DataFrame:
+def _large(rows: DataFrame, task_weight: int) -> DataFrame:
     nodes, edges = _links(rows)
     circle = _circle_of_parents(nodes)
     # upward and downward passes on the forest without the circles
@@ -257,7 +257,7 @@ def _large(rows: DataFrame) -> DataFrame:
         far = walk.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("first").alias("more"), F.col("top").alias("far_top"))
         walk = checkpointed(walk.join(far, "jump", "left").select(
             "plan", "id", "parent", "size", "depth", F.col("next").alias("jump"), F.coalesce("far_top", "top").alias("top"), (F.col("first") + F.coalesce("more", F.lit(0))).alias("first")))
-    dependent = _circles_of_edges(edges).withColumn("in_dependency_circle", F.lit(True))
+    dependent = _circles_of_edges(edges, task_weight).withColumn("in_dependency_circle", F.lit(True))
     tree = walk.select("id", "top", F.col("depth").cast("int").alias("depth"), "first", (F.col("first") + F.col("size") - 1).alias("last"), (F.col("size") - 1).alias("n_below"))
     marked = circle.withColumn("in_circle", F.lit(True))
     return nodes.join(tree, "id", "left").join(marked, "id", "left").join(dependent, "id", "left").select(
@@ -265,15 +265,25 @@ def _large(rows: DataFrame) -> DataFrame:
         (F.col("top").isNull() & F.col("in_circle").isNull()).alias("stray"), F.coalesce("in_dependency_circle", F.lit(False)).alias("in_dependency_circle"))
 
 
-def _circles_of_edges(edges: DataFrame) -> DataFrame:
-    """Nodes on directed circles.  Peel off what has no way in or out; then,
-    until nothing is left: spread the greatest id forward, and from each node
-    that kept its own id spread backward among equals - that is its component."""
+def _rest(t: pa.Table) -> pa.Table:
+    ids = pc.unique(pa.chunked_array([*t.column("id").chunks, *t.column("to").chunks], pa.string()))
+    hit = on_circles(len(ids), _index(t.column("id"), ids), _index(t.column("to"), ids))
+    return pa.table([ids.filter(pa.array(hit))], names=["id"])
+
+
+def _circles_of_edges(edges: DataFrame, task_weight: int) -> DataFrame:
+    """Nodes on directed circles.  Peel off what has no way in or out, until
+    the edges left fit one task.  If peeling ends before that: spread the
+    greatest id forward, and from each node that kept its own id spread backward
+    among equals - that is its component - and start again without it."""
     found = edges.where("id = to").select("id").distinct()
     live = checkpointed(edges.where("id <> to"))
     while True:
         n = live.count()
         while n:
+            if n <= task_weight:
+                rest = live.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _rest(t), "id string")
+                return checkpointed(found.union(rest).distinct())
             live = checkpointed(live.join(live.select(F.col("to").alias("id")).distinct(), "id", "left_semi").join(
                 live.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("id", "to"))
             m = live.count()
@@ -316,10 +326,11 @@ def hierarchy(modules: DataFrame, task_weight: int = TASK_WEIGHT) -> DataFrame:
         names = small(weights.where(heavy).select("plan"), n_heavy)
         same = rows["plan"].eqNullSafe(names["plan"])
         light = rows.join(names, same, "left_anti")
-    buckets = max(1, -(-total // max(1, task_weight)) * 4)
+    # small buckets cost nothing, so there are at least as many as cores
+    buckets = max(2 * modules.sparkSession.sparkContext.defaultParallelism, -(-total // max(1, task_weight)) * 4)
     done = light.withColumn("bucket", F.pmod(F.xxhash64("plan"), F.lit(buckets))).groupBy("bucket").applyInArrow(
         lambda t: _bucket(t), SCHEMA)
-    return done.unionByName(_large(rows.join(names, same, "left_semi"))) if n_heavy else done
+    return done.unionByName(_large(rows.join(names, same, "left_semi"), task_weight)) if n_heavy else done
 
 
 def circles(tree: DataFrame) -> DataFrame:

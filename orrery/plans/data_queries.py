@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import bridges, evolution, policy
 from ..operators.metrics import ratio
+from ..operators.prefix import running_total
 from ..session import table
 from ..sources import documents as docs
 from ..sources.graph import Graph
@@ -306,9 +307,8 @@ def s_line_ends(spark, d):
 @query("WITH n AS (SELECT identity, context, row_number() OVER (PARTITION BY context ORDER BY identity) AS place, sum(octet_length(encode(identity))) OVER (PARTITION BY context ORDER BY identity) AS used FROM (SELECT DISTINCT identity, context FROM kg_nodes)) SELECT context, identity, used::bigint AS used FROM n WHERE used <= 2000")
 def q_byte_page(spark, d):
     """Byte-bounded first page of each context (a running sum of lengths)."""
-    w = Window.partitionBy("context").orderBy("identity").rowsBetween(Window.unboundedPreceding, 0)
-    n = Graph.load(spark, d).nodes.select("context", "identity").distinct()
-    return n.withColumn("used", F.sum(F.octet_length("identity")).over(w)).where("used <= 2000").select("context", "identity", "used")
+    n = Graph.load(spark, d).nodes.select("context", "identity").distinct().withColumn("bytes", F.octet_length("identity"))
+    return running_total(n, "context", "identity", "bytes", "used").where("used <= 2000").select("context", "identity", "used")
 
 
 @query("SELECT o_orderpriority AS kind, count(*) AS n, round_even(count(*) FILTER (o_orderstatus = 'F') / count(*), 12) AS closed FROM orders GROUP BY 1")

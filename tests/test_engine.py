@@ -38,6 +38,18 @@ def test_ratio_is_half_even(spark):
     assert str(spark.range(1).select(metrics.ratio(F.lit(1), F.lit(3)).alias("x")).first()["x"]) == "0.333333333333"
 
 
+def test_running_total_over_partitions(spark):
+    from orrery.operators.prefix import running_total
+
+    rows = [(g, k, (7 * k) % 5) for g, n in (("a", 300), ("b", 3)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k int, v bigint").repartition(3)
+    want, total = {}, {}
+    for g, k, v in rows:
+        total[g] = total.get(g, 0) + v
+        want[g, k] = total[g]
+    assert {(r["g"], r["k"]): r["t"] for r in running_total(df, "g", "k", "v", "t").collect()} == want
+
+
 # -- traversal ------------------------------------------------------------------------
 def brute_components(pairs):
     nodes = {x for p in pairs for x in p}

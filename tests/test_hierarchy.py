@@ -93,6 +93,10 @@ def test_large_route_equals_brute_force(spark):
     check(spark, sample(3, 30), 0)
 
 
+def test_large_route_finishes_small_rests_in_a_task(spark):
+    check(spark, sample(5, 45), 14)
+
+
 def test_large_route_with_two_circles_and_bridge(spark):
     rows = [("p", "a", None, None, ["b"], 0), ("p", "b", None, None, ["a", "x"], 0), ("p", "x", None, None, ["c"], 0), ("p", "c", None, None, ["d"], 0),
             ("p", "d", "d", None, ["c", "e"], 0), ("p", "e", "d", None, None, 0)]
