@@ -58,7 +58,7 @@ def e_entity_delta(spark, d):
     return evolution.delta(o.where("before"), o.where("not before"), ["entity"], ["n"]).select("entity", "delta")
 
 
-@query("""WITH o AS (SELECT o_custkey AS subject, year(o_orderdate) AS position, max(o_totalprice) > 400000 AS present FROM orders GROUP BY ALL),
+@query("""WITH o AS (SELECT o_custkey AS subject, year(o_orderdate)::int AS position, max(o_totalprice) > 400000 AS present FROM orders GROUP BY ALL),
 x AS (SELECT *, lag(present) OVER w AS was, max(present::int) OVER (PARTITION BY subject ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ever, min(CASE WHEN present THEN position END) OVER (PARTITION BY subject ORDER BY position ROWS UNBOUNDED PRECEDING) AS earliest FROM o WINDOW w AS (PARTITION BY subject ORDER BY position))
 SELECT subject, position, CASE WHEN present AND was IS NULL THEN 'FIRST' WHEN present AND was THEN 'PERSISTED' WHEN present AND ever = 1 THEN 'REINTRODUCED' WHEN present THEN 'INTRODUCED' WHEN coalesce(was, false) THEN 'RESOLVED' ELSE 'CLEAN' END AS transition, earliest FROM x""")
 def e_history(spark, d):

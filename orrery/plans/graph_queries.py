@@ -77,7 +77,7 @@ def s_violations(spark, d):
 
 
 # -- entities and edges -----------------------------------------------------------
-@query(f"WITH {N}, r AS (SELECT context, identity, kind, row_number() OVER (PARTITION BY context ORDER BY identity) AS place FROM n) SELECT context, place, identity, kind FROM r WHERE place BETWEEN 11 AND 20")
+@query(f"WITH {N}, r AS (SELECT context, identity, kind, row_number() OVER (PARTITION BY context ORDER BY identity) AS place FROM n) SELECT context, place::int AS place, identity, kind FROM r WHERE place BETWEEN 11 AND 20")
 def q_page2(spark, d):
     """Second keyset page of ten nodes of every context (the page is the feature)."""
     w = Window.partitionBy("context").orderBy("identity")
@@ -109,7 +109,7 @@ def q_children(spark, d):
     return c.join(g.distinct_nodes().select("context", F.col("identity").alias("child"), F.col("kind").alias("child_kind")), ["context", "child"])
 
 
-@query(f"WITH {DEP}, r AS (SELECT *, row_number() OVER (PARTITION BY context, source ORDER BY target) AS place FROM d) SELECT * FROM r WHERE place <= 3")
+@query(f"WITH {DEP}, r AS (SELECT *, (row_number() OVER (PARTITION BY context, source ORDER BY target))::int AS place FROM d) SELECT * FROM r WHERE place <= 3")
 def q_dependencies(spark, d):
     e = _inheritance(spark, d)
     return traversal.neighbourhood(e, e.select("context", F.col("source").alias("start")).distinct(), 3)
@@ -181,7 +181,7 @@ def m_density(spark, d):
 
 
 @query(f"""WITH {DEG}, r AS (SELECT context, node, fan_in + fan_out AS degree, row_number() OVER (PARTITION BY context ORDER BY fan_in + fan_out DESC, node) AS place, count(*) OVER (PARTITION BY context) AS population FROM g)
-SELECT context, place, node, degree, population FROM r WHERE place <= 5""")
+SELECT context, place::int AS place, node, degree, population FROM r WHERE place <= 5""")
 def m_hotspots(spark, d):
     return metrics.hotspots(metrics.degrees(Graph.load(spark, d).logical()), 5)
 

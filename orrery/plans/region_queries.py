@@ -234,7 +234,7 @@ def m_rollup(spark, d):
 @query(f"""WITH RECURSIVE {FACTS}, w AS (SELECT source, target, list_sort(list(world)) AS ws FROM fa WHERE truth AND source <> target GROUP BY ALL),
 r AS (SELECT source AS start, target AS "end", [source, target] AS path, ws FROM w UNION ALL SELECT r.start, w.target, list_append(r.path, w.target), list_intersect(r.ws, w.ws) FROM r JOIN w ON w.source = r."end"
  WHERE len(r.path) < 3 AND NOT list_contains(r.path, w.target) AND len(list_intersect(r.ws, w.ws)) > 0)
-SELECT start, "end", count(*) AS n_paths, max(len(ws)) AS most_worlds FROM r GROUP BY ALL""")
+SELECT start, "end", count(*) AS n_paths, max(len(ws))::int AS most_worlds FROM r GROUP BY ALL""")
 def g_joint_paths(spark, d):
     """Paths that exist in one and the same world on all their edges; a prefix
     whose worlds do not meet is cut off."""

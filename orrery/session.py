@@ -49,3 +49,38 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     texts are not shuffled at scale."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(2 * cores, key) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark context.
+
+    Workers then need no copy on their path.  The archive lies in the folder
+    that all machines share, where the cluster names one."""
+    import hashlib
+    import io
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if getattr(sc, "_orrery_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.writestr(zipfile.ZipInfo(str(Path(root.name, p.relative_to(root)))), p.read_bytes())
+    name = f"orrery-{hashlib.sha256(held.getvalue()).hexdigest()[:16]}.zip"
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if shared:
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared}/{name}")
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            out = fs.create(path, True)
+            out.write(bytearray(held.getvalue()))
+            out.close()
+        sc.addPyFile(f"{shared}/{name}")
+    else:
+        local = Path(tempfile.mkdtemp(prefix="orrery-package-"), name)
+        local.write_bytes(held.getvalue())
+        sc.addPyFile(str(local))
+    sc._orrery_shipped = True
