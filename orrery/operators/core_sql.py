@@ -53,6 +53,15 @@ g AS (SELECT report_id, json_extract_string(c, '$.callId') AS item, parent,
              unnest(CASE json_type(c, '$.target') WHEN 'ARRAY' THEN json_extract(c, '$.target[*]') ELSE [json_extract(c, '$.target')] END) AS x FROM t)
 """
 
+_NUMBERED = """
+WITH RECURSIVE b AS (SELECT DISTINCT report_id, stdout::json AS j FROM binding_reports WHERE json_valid(stdout)),
+fs AS (SELECT report_id, unnest(json_extract(j, '$.files[*]')) AS f, unnest(range(len(json_extract(j, '$.files[*]')))) AS file_no FROM b),
+top AS (SELECT report_id, unnest(json_extract(j, '$.calls[*]')) AS c, NULL::bigint AS file_no FROM b
+        UNION ALL SELECT report_id, unnest(json_extract(f, '$.calls[*]')), file_no FROM fs),
+t AS (SELECT report_id, c, '' AS parent, file_no FROM top
+      UNION ALL SELECT report_id, unnest(json_extract(c, '$.arguments[*]')), json_extract_string(c, '$.callId'), file_no FROM t)
+"""
+
 P5 = _CALLS + """
 SELECT DISTINCT * FROM (
  SELECT 'report' AS origin, report_id AS record_id, item, parent AS parent_item, 'owner' AS field_name, json_extract_string(x, '$.owner') AS label FROM g
@@ -80,6 +89,11 @@ SELECT DISTINCT 'dependencies' AS link_kind, a AS id FROM r WHERE a = b"""
 
 SQL = {
     "p2_found": f"SELECT * FROM ({_TREE} SELECT 'root' AS link_kind, id FROM c) UNION ALL SELECT * FROM ({_DEPENDENT})",
+    "p2_hierarchy": f"""{_TREE}, pa AS (SELECT n.plan, n.id, coalesce((SELECT list(above ORDER BY steps DESC) FROM ok WHERE ok.id = n.id), []) AS anc FROM n WHERE n.id NOT IN (SELECT id FROM s)),
+ pr AS (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY list_append(anc, id)) AS first FROM pa), be AS (SELECT above AS id, count(*) AS m FROM ok GROUP BY 1)
+ SELECT n.plan, n.id, p.parent, CASE WHEN pr.id IS NOT NULL THEN coalesce(pr.anc[1], n.id) END AS top, len(pr.anc)::int AS depth, pr.first, pr.first + coalesce(be.m, 0) AS last, CASE WHEN pr.id IS NOT NULL THEN coalesce(be.m, 0) END AS n_below,
+ n.id IN (SELECT id FROM c) AS in_circle, pr.id IS NULL AND n.id NOT IN (SELECT id FROM c) AS stray, n.id IN (SELECT id FROM ({_DEPENDENT})) AS in_dependency_circle
+ FROM n LEFT JOIN p ON p.id = n.id LEFT JOIN pr ON pr.id = n.id LEFT JOIN be ON be.id = n.id""",
     "p2_descendants": f"{_TREE} SELECT above AS ancestor, id, steps AS distance FROM ok",
     "p2_paths": f"""{_TREE} SELECT n.id, coalesce((SELECT max_by(above, steps) FROM ok WHERE ok.id = n.id), n.id) AS top,
  coalesce((SELECT max(steps) FROM ok WHERE ok.id = n.id), 0)::int AS depth,
@@ -90,10 +104,15 @@ SQL = {
     "p4_found": P4,
     "p4_intervals": P4_INTERVALS,
     "p5_found": P5,
-    "p5_calls": _CALLS + "SELECT DISTINCT report_id, json_extract_string(c, '$.callId') AS call_id, parent AS parent_call_id, "
-                         "json_extract_string(c, '$.caller') AS caller, NULL::int AS file_no FROM t WHERE false",
+    "p5_calls": _NUMBERED + """SELECT DISTINCT report_id, json_extract_string(c, '$.callId') AS call_id, parent AS parent_call_id, file_no::int AS file_no,
+ json_extract_string(c, '$.caller') AS caller FROM t WHERE json_extract_string(c, '$.callId') IS NOT NULL""",
+    "p5_targets": _NUMBERED + """, g AS (SELECT report_id, json_extract_string(c, '$.callId') AS call_id, CASE json_type(c, '$.target') WHEN 'ARRAY' THEN json_extract(c, '$.target[*]') WHEN 'OBJECT' THEN [json_extract(c, '$.target')] ELSE [] END AS xs FROM t),
+ u AS (SELECT report_id, call_id, unnest(xs) AS x, unnest(range(len(xs))) AS target_no FROM g)
+ SELECT DISTINCT report_id, call_id, target_no::int AS target_no, json_extract_string(x, '$.owner') AS owner, json_extract_string(x, '$.originEvidence.kind') AS kind FROM u WHERE call_id IS NOT NULL""",
+    "p5_files": _NUMBERED + """SELECT DISTINCT report_id, file_no::int AS file_no, json_extract_string(f, '$.file') AS file, coalesce(json_array_length(f, '$.calls'), 0)::int AS n_calls FROM fs""",
+    "p5_reports": """WITH b AS (SELECT DISTINCT report_id, repository, stdout::json AS j FROM binding_reports WHERE json_valid(stdout))
+ SELECT DISTINCT report_id, repository, json_extract_string(j, '$.schema') AS report_schema, (json_extract_string(j, '$.hasErrors'))::boolean AS has_errors, coalesce(json_array_length(j, '$.diagnostics'), 0)::int AS n_diagnostics FROM b WHERE json_type(j) = 'OBJECT'""",
     "p5_cases": """SELECT DISTINCT suite_id, n AS case_name, json_extract_string(body, '$.cases."' || n || '".language') AS language,
  coalesce(len(json_keys(body, '$.cases."' || n || '".files')), 0)::int AS n_files
  FROM (SELECT suite_id, body, unnest(json_keys(body, '$.cases')) AS n FROM native_cases WHERE json_valid(body))""",
 }
-del SQL["p5_calls"]
