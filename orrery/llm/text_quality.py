@@ -75,13 +75,14 @@ def table_lines(lines: list[str]) -> list[bool]:
     """Which lines of a block are rows of cells."""
     n = len(lines)
     out = [False] * n
+    noise = [scribble(x) for x in lines]
     for k, x in enumerate(lines):
-        if BORDER.fullmatch(x) and len(x.strip()) >= 3 or x.count("|") >= 2 and not scribble(x):
+        if BORDER.fullmatch(x) and len(x.strip()) >= 3 or x.count("|") - x.count("<|") - x.count("|>") >= 2 and not noise[k]:
             out[k] = True
     for mark in ("\t", ";", ",", "gap"):
         k = 0
         while k < n:
-            if out[k]:
+            if out[k] or noise[k]:
                 k += 1
                 continue
             c = fields(lines[k], mark)
@@ -89,7 +90,7 @@ def table_lines(lines: list[str]) -> list[bool]:
                 k += 1
                 continue
             j, least, most = k, c, c
-            while j < n and not out[j]:
+            while j < n and not out[j] and not noise[j]:
                 c = fields(lines[j], mark)
                 if c < 2 or mark in ";," and c != least:
                     break
@@ -121,6 +122,15 @@ def scribble(line: str) -> bool:
     return len(symbols) > 0.8 * len(x) and len(set(symbols)) >= 6
 
 
+def mashed(lines: list[str]) -> bool:
+    """Many different words, but hardly any letters of the alphabet."""
+    x = " ".join(lines).lower()
+    if len(set(WORD.findall(x))) < 10:
+        return False
+    letters = [c for c in x if c.isalpha()]
+    return len(letters) >= 60 and len(set(letters)) <= 12 and len(letters) > 0.5 * (len(x) - x.count(" "))
+
+
 def junk_line(line: str, common: frozenset[str]) -> bool:
     """Nothing to read in the line: symbols, encoded bytes, broken letters."""
     x = line.strip()
@@ -181,7 +191,9 @@ def forms(text: str, common: frozenset[str]) -> tuple[int, int, int, int]:
     for lines in blocks:
         if not lines:
             continue
-        size = sum(len(x.strip()) for x in lines)
+        if mashed(lines):
+            junk += sum(len(x.strip()) for x in lines)
+            continue
         if any(c in x for x in lines for c in "|\t;,") or any("  " in x.strip() or BORDER.fullmatch(x) for x in lines):
             rows = table_lines(lines)
         else:

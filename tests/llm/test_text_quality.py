@@ -26,6 +26,7 @@ CASES = {
              "* " + "\n* ".join([SENTENCE] * 5), "red fig · old plum · ripe pear · new apple · dry date", "red fig; old plum; ripe pear; new apple; dry date;", SENTENCE + "\n\n" + "\n".join(f"- item number {k}" for k in range(20))],
     "table": ["| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n", "a;b;c\n1;2;3\n4;5;6\n", "a,b,c,d\n1,2,3,4\n5,6,7,8\n", "a\tb\n1\t2\n3\t4\n", "name    size    color\nfig     12      red\nplum    3       blue\n", "+---+---+\n| a | b |\n+---+---+\n| 1 | 2 |\n+---+---+\n"],
     "junk": ["na " * 60, "00000000  18 b9 5d 90 55 dd 44 f9 46 90 65 16 93 de ba 0b\n" * 4, "A+DmiTD7HH9v9VRTqqMerU9VG2gcXAm2Lsi8uSSW4dSSOQWVdZLhHnyd2bPSaggog2W+S5rIZqlc\n" * 3, "!@<+^~\\=/*-$>@+_=&|><#$ %!*/@ !>!>!-!&/@~-%~#$^>#%<$@~ ~^-^/-#_\\$*^^!&<$_|-=*/~|/",
+             "z. /x, /cvvnb/,,mzz mbnvx,x mz.xx//cb,b,x/c .n/nczxm/ zbm, cmv. xnxnb/bcz.n. ,vcv,zb x. zbmn., nm/znbzn", "slak;ksall; jklkjald;l sdjfldk;a; ajjadlja; ajalddlj s;daldfd; kfk;afjjdsk;a; jldsajas; k;k",
              "zixam quervask sarkon seabam telisk dreasten marva solal veamim teastan kleamot drendel pealet hirkan", "a.xrelD tihw gedler the aresh ot dnee no swa hrtee so ms,kmoe onw tis hda eviscre akrTe het hnet yB tgin.h the ni idd hdlhseotr hte"],
 }
 
@@ -45,6 +46,11 @@ def test_prose_stays_prose(seed):
     assert shares[0] == max(shares) or len(text) < len(extra)
 
 
+def test_marks_of_tokenizers_are_no_table():
+    text = " ".join(f"{s} <|endoftext|>" for s in (SENTENCE, SENTENCE, SENTENCE))
+    assert Q.describe(text, COMMON)[2][0] > 0
+
+
 def test_statistics_by_hand():
     lang, s, _ = Q.describe("The cat, the dog.\nIt is 42", COMMON)
     d = dict(zip(Q.STATISTICS, s, strict=True))
