@@ -169,8 +169,8 @@ DELTAS = "series string, position int, k string, delta string"
 def _chunk(t: pa.Table) -> pa.Table:
     """Deltas of all series in one chunk of the key space."""
     # ordinals: the place of (series, key) in the chunk's dictionary
-    pairs = pa.table([t.column("series"), t.column("k")], names=["series", "k"]).combine_chunks()
-    keys = pairs.group_by(["series", "k"]).aggregate([]).combine_chunks()
+    kept = ["series", "k", *[c for c in ("ordinal",) if c in t.column_names]]
+    keys = t.select(kept).group_by(kept).aggregate([]).combine_chunks()
     names = {c: pc.unique(t.column(c)) for c in ("series", "k")}
 
     def codes(source: pa.Table, c: str) -> np.ndarray:
@@ -181,6 +181,13 @@ def _chunk(t: pa.Table) -> pa.Table:
     dict_key = codes(keys, "series") * width + codes(keys, "k")
     order = np.argsort(dict_key)
     ordinal = order[np.searchsorted(dict_key[order], row_key)]
+    # persistent ordinals, where there are any, name the members of bitmaps;
+    # vectors hold one place for each that occurs here
+    names_of = np.arange(len(keys))
+    if "ordinal" in kept:
+        by = np.argsort(keys.column("ordinal").to_numpy())
+        keys, names_of = keys.take(pa.array(by)), keys.column("ordinal").to_numpy()[by]
+        ordinal = np.searchsorted(names_of, t.column("ordinal").to_numpy())
     position = t.column("position").to_numpy()
     fa, fb = t.column("fa").to_numpy(), t.column("fb").to_numpy()
     # one value per (ordinal, position): distinct values are summed up
@@ -190,17 +197,21 @@ def _chunk(t: pa.Table) -> pa.Table:
     vectors: dict[int, np.ndarray] = {}
     for p in np.unique(rows[:, 1]).tolist():
         r = rows[rows[:, 1] == p]
-        bitmaps[p] = Bitmap(r[:, 0])
+        bitmaps[p] = Bitmap(names_of[r[:, 0]])
         v = np.zeros((n, 2), np.int64)
         with np.errstate(over="ignore"):
             np.add.at(v, r[:, 0], r[:, 2:])
         vectors[p] = v
     empty, out = Bitmap(), []
+
+    def places(members: np.ndarray) -> np.ndarray:
+        return np.searchsorted(names_of, members)
+
     for p in sorted({q for x in bitmaps for q in (x, x + 1)}):
         now, before = bitmaps.get(p, empty), bitmaps.get(p - 1, empty)
-        out.append((now.and_not(before).ordinals(), p, "added"))
-        out.append((before.and_not(now).ordinals(), p, "removed"))
-        both = now.and_(before).ordinals()
+        out.append((places(now.and_not(before).ordinals()), p, "added"))
+        out.append((places(before.and_not(now).ordinals()), p, "removed"))
+        both = places(now.and_(before).ordinals())
         if len(both):
             out.append((both[(vectors[p][both] != vectors[p - 1][both]).any(1)], p, "changed"))
     at = np.concatenate([o for o, _, _ in out]) if out else np.zeros(0, np.int64)
@@ -211,14 +222,42 @@ def _chunk(t: pa.Table) -> pa.Table:
     ], names=["series", "position", "k", "delta"])
 
 
-def deltas(rows: DataFrame, listed: DataFrame, n_rows: int) -> DataFrame:
+def extend_dictionary(keys: DataFrame, known: DataFrame | None = None, chunks: int = 64) -> DataFrame:
+    """Persistent ordinals: (series, k, chunk, ordinal).
+
+    ``known`` is the dictionary of earlier runs; its ordinals stay, new keys are
+    appended behind the last ordinal of their chunk.  ``chunks`` must not change
+    between runs; numbering is per chunk, so no key space is sorted as a whole."""
+    new = keys.select("series", "k").distinct().withColumn("chunk", F.pmod(F.xxhash64("series", "k"), F.lit(chunks)))
+    if known is None:
+        base = None
+    else:
+        same = new["series"].eqNullSafe(known["series"]) & new["k"].eqNullSafe(known["k"])
+        new = new.join(known.select("series", "k"), same, "left_anti")
+        base = known.groupBy("chunk").agg((F.max("ordinal") + 1).alias("base"))
+    rank = F.row_number().over(Window.partitionBy("chunk").orderBy("series", "k")) - 1
+    numbered = new.withColumn("rank", rank)
+    numbered = numbered.withColumn("base", F.lit(0)) if base is None else numbered.join(base, "chunk", "left")
+    out = numbered.select("series", "k", "chunk", (F.col("rank") + F.coalesce("base", F.lit(0))).cast("bigint").alias("ordinal"))
+    return out if known is None else known.select("series", "k", "chunk", "ordinal").unionByName(out)
+
+
+def deltas(rows: DataFrame, listed: DataFrame, n_rows: int, dictionary: DataFrame | None = None) -> DataFrame:
     """(snapshot, k, delta) between consecutive snapshots.
 
+    Without a ``dictionary`` (``extend_dictionary``) keys are numbered inside the
+    chunks, the same for all snapshots of this call, which saves a join.
+
     ``rows``: (series, position, k, fa, fb); ``listed``: (series, position,
     snapshot) of the snapshots to be compared with the one a position before;
     ``n_rows``: size of the input, which sets the number of chunks."""
-    chunks = max(1, -(-n_rows // CHUNK_ROWS))
-    found = rows.withColumn("chunk", F.pmod(F.xxhash64("series", "k"), F.lit(chunks))).groupBy("chunk").applyInArrow(
+    if dictionary is None:
+        chunks = max(1, -(-n_rows // CHUNK_ROWS))
+        placed = rows.withColumn("chunk", F.pmod(F.xxhash64("series", "k"), F.lit(chunks)))
+    else:
+        d = dictionary.select(F.col("series").alias("_s"), F.col("k").alias("_k"), "chunk", "ordinal")
+        placed = rows.join(d, rows["series"].eqNullSafe(d["_s"]) & rows["k"].eqNullSafe(d["_k"])).drop("_s", "_k")
+    found = placed.groupBy("chunk").applyInArrow(
         lambda t: _chunk(t), DELTAS)
     return found.join(listed, ["series", "position"]).select("snapshot", "k", "delta")
 

@@ -57,9 +57,16 @@ def test_against_brute_force(spark, monkeypatch):
                     rows += [(s, p, None if k == 3 else f"k{k}", v)] * r.choice([1, 1, 2])
     df = spark.createDataFrame(rows, "series string, position int, k string, v string")
     names = spark.createDataFrame(listed, "series string, position int, snapshot string")
-    got = [tuple(x) for x in S.deltas(S.fingerprint_rows(df, "v"), names, len(rows)).collect()]
-    assert len(got) == len(set(got))
-    assert set(got) == brute(rows, listed)
+    prints = S.fingerprint_rows(df, "v")
+    first = S.extend_dictionary(df.where("position < 2"), None, 5)
+    whole = S.extend_dictionary(df, first, 5)
+    for dictionary in (None, whole):
+        got = [tuple(x) for x in S.deltas(prints, names, len(rows), dictionary).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == brute(rows, listed)
+    old = {(r["series"], r["k"]): (r["chunk"], r["ordinal"]) for r in first.collect()}
+    new = {(r["series"], r["k"]): (r["chunk"], r["ordinal"]) for r in whole.collect()}
+    assert old.items() <= new.items() and len(set(new.values())) == len(new) == df.select("series", "k").distinct().count()
 
 
 def test_empty(spark):
