@@ -71,8 +71,9 @@ def hotspots(degree: DataFrame, top: int) -> DataFrame:
     """The ``top`` nodes by fan-in + fan-out of each context (a feature), with
     the exact population beside each."""
     w = Window.partitionBy("context").orderBy(F.desc("degree"), "node")
-    d = degree.withColumn("degree", F.col("fan_in") + F.col("fan_out"))
-    population = degree.groupBy("context").agg(F.count("*").alias("population"))
+    d = degree.select("context", "node", (F.col("fan_in") + F.col("fan_out")).alias("degree"))
+    # counting the degree keeps both sides alike, so their exchange is reused
+    population = d.groupBy("context").agg(F.count("degree").alias("population"))
     return d.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).join(population, "context").select("context", "place", "node", "degree", "population")
 
 

@@ -274,13 +274,13 @@ def k_sarif(spark, d):
 @query(f"WITH {N}, {LE} SELECT context, 1 AS part, '<node id=\"' || identity || '\"><data key=\"kind\">' || kind || '</data></node>' AS line FROM n UNION ALL SELECT context, 2, '<edge source=\"' || source || '\" target=\"' || target || '\"/>' FROM le")
 def k_graphml(spark, d):
     g = Graph.load(spark, d)
-    return docs.graphml(g.distinct_nodes(), g.logical())
+    return docs.graphml(g.distinct_nodes(), g.pairs())
 
 
 @query(f"WITH {N}, {LE} SELECT context, 'nodes' AS part, '{{\"data\":{{\"id\":\"' || identity || '\",\"kind\":\"' || kind || '\"}}}}' AS element FROM n UNION ALL SELECT context, 'edges', '{{\"data\":{{\"id\":\"' || source || '->' || target || '\",\"source\":\"' || source || '\",\"target\":\"' || target || '\"}}}}' FROM le")
 def k_cytoscape(spark, d):
     g = Graph.load(spark, d)
-    return docs.cytoscape(g.distinct_nodes(), g.logical())
+    return docs.cytoscape(g.distinct_nodes(), g.pairs())
 
 
 # -- functions, sources and pages ----------------------------------------------------------------

@@ -76,7 +76,7 @@ def j_service_edges(spark, d):
     g = Graph.load(spark, d)
     kinds = g.by_kind("MODULE", "PACKAGE").select("context", F.col("identity").alias("source"))
     ow = g.endpoints("graph.contains", "graph.declares").where("state = 'RESOLVED'").join(kinds, ["context", "source"], "left_semi").groupBy("context", F.col("target").alias("node")).agg(F.min("source").alias("owner"))
-    e = g.logical().select("context", "source", "target")
+    e = g.pairs()
     a, b = ow.select("context", F.col("node").alias("source"), F.col("owner").alias("caller")), ow.select("context", F.col("node").alias("target"), F.col("owner").alias("handler"))
     return e.join(a, ["context", "source"]).join(b, ["context", "target"]).where("caller <> handler").groupBy("context", "caller", "handler").agg(F.count("*").alias("n_edges"), F.count_distinct("target").alias("n_targets"))
 
@@ -104,14 +104,14 @@ def j_ancestry(spark, d):
 SELECT context, unnest(['max_fan_in', 'max_fan_out', 'pairs', 'connected']) AS metric, unnest([a, b, c, n])::bigint AS value FROM m""")
 def m_batch(spark, d):
     """Several metrics of every context in one pass."""
-    m = metrics.degrees(Graph.load(spark, d).logical()).groupBy("context").agg(F.max("fan_in").alias("max_fan_in"), F.max("fan_out").alias("max_fan_out"), F.sum("fan_in").alias("pairs"), F.count("*").alias("connected"))
+    m = metrics.degrees(Graph.load(spark, d).pairs()).groupBy("context").agg(F.max("fan_in").alias("max_fan_in"), F.max("fan_out").alias("max_fan_out"), F.sum("fan_in").alias("pairs"), F.count("*").alias("connected"))
     return m.unpivot("context", ["max_fan_in", "max_fan_out", "pairs", "connected"], "metric", "value")
 
 
 @query(f"WITH {DEG}, c AS (SELECT context, max(fan_in) / sum(fan_in) AS v FROM g GROUP BY context) SELECT context, round(least(1.0, greatest(0.0, (v - 0.01) / 0.05)), 9) AS penalty FROM c")
 def a_ramp(spark, d):
     """Penalty ramp of the concentration of each context."""
-    c = metrics.degrees(Graph.load(spark, d).logical()).groupBy("context").agg((F.max("fan_in") / F.sum("fan_in")).alias("v"))
+    c = metrics.degrees(Graph.load(spark, d).pairs()).groupBy("context").agg((F.max("fan_in") / F.sum("fan_in")).alias("v"))
     return c.select("context", F.round(scalars.ramp(F.col("v"), 0.01, 0.06), 9).alias("penalty"))
 
 
@@ -133,7 +133,7 @@ def g_visual(spark, d):
     g = Graph.load(spark, d)
     kinds = g.by_kind("MODULE", "PACKAGE").select("context", F.col("identity").alias("source"))
     ow = g.endpoints("graph.contains", "graph.declares").where("state = 'RESOLVED'").join(kinds, ["context", "source"], "left_semi").groupBy("context", F.col("target").alias("identity")).agg(F.min("source").alias("parent"))
-    cyc = traversal.components(g.logical("java.extends", "java.implements")).where("cyclic").select("context", F.col("node").alias("identity"), F.lit(True).alias("in_cycle"))
+    cyc = traversal.components(g.pairs("java.extends", "java.implements")).where("cyclic").select("context", F.col("node").alias("identity"), F.lit(True).alias("in_cycle"))
     return g.distinct_nodes().select("context", "identity", "kind").join(ow, ["context", "identity"], "left").join(cyc, ["context", "identity"], "left").na.fill(False, ["in_cycle"])
 
 

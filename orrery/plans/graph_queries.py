@@ -21,7 +21,7 @@ INHERITANCE = ("java.extends", "java.implements")
 
 
 def _inheritance(spark: SparkSession, d: str) -> DataFrame:
-    return Graph.load(spark, d).logical(*INHERITANCE)
+    return Graph.load(spark, d).pairs(*INHERITANCE)
 
 
 def _join(array: str) -> F.Column:
@@ -145,7 +145,7 @@ def j_induced(spark, d):
     """Subgraph induced by the type nodes, without loops (semi joins)."""
     g = Graph.load(spark, d)
     t = g.by_kind("TYPE").select("context", "identity")
-    return g.logical(loops=False).select("context", "source", "target").join(t.withColumnRenamed("identity", "source"), ["context", "source"], "left_semi").join(
+    return g.pairs(loops=False).join(t.withColumnRenamed("identity", "source"), ["context", "source"], "left_semi").join(
         t.withColumnRenamed("identity", "target"), ["context", "target"], "left_semi")
 
 
@@ -164,12 +164,12 @@ g AS (SELECT context, node, sum(i)::bigint AS fan_in, sum(o)::bigint AS fan_out
 
 @query(f"WITH {DEG} SELECT * FROM g")
 def m_degrees(spark, d):
-    return metrics.degrees(Graph.load(spark, d).logical())
+    return metrics.degrees(Graph.load(spark, d).pairs())
 
 
 @query(f"WITH {DEG} SELECT *, round_even(fan_out::decimal(20,0) / (fan_in + fan_out), 12) AS instability, 'COMPLETE' AS status FROM g")
 def m_instability(spark, d):
-    return metrics.instability(metrics.degrees(Graph.load(spark, d).logical()))
+    return metrics.instability(metrics.degrees(Graph.load(spark, d).pairs()))
 
 
 @query(f"""WITH {DEG}, {N}, c AS (SELECT context, count(DISTINCT identity) AS n_nodes FROM n GROUP BY 1), q AS (SELECT context, count(*) AS pairs FROM p GROUP BY 1)
@@ -177,18 +177,18 @@ SELECT c.context, n_nodes, coalesce(pairs, 0) AS pairs, round_even(coalesce(pair
  CASE WHEN n_nodes * (n_nodes - 1) = 0 THEN 'NOT_APPLICABLE' ELSE 'COMPLETE' END AS status FROM c LEFT JOIN q USING (context)""")
 def m_density(spark, d):
     g = Graph.load(spark, d)
-    return metrics.density(g.logical(), g.nodes)
+    return metrics.density(g.pairs(), g.nodes)
 
 
 @query(f"""WITH {DEG}, r AS (SELECT context, node, fan_in + fan_out AS degree, row_number() OVER (PARTITION BY context ORDER BY fan_in + fan_out DESC, node) AS place, count(*) OVER (PARTITION BY context) AS population FROM g)
 SELECT context, place::int AS place, node, degree, population FROM r WHERE place <= 5""")
 def m_hotspots(spark, d):
-    return metrics.hotspots(metrics.degrees(Graph.load(spark, d).logical()), 5)
+    return metrics.hotspots(metrics.degrees(Graph.load(spark, d).pairs()), 5)
 
 
 @query(f"WITH {DEG} SELECT context, max(fan_in) AS most, sum(fan_in)::bigint AS pairs, round_even(max(fan_in) / sum(fan_in), 12) AS concentration, 'COMPLETE' AS status FROM g GROUP BY context")
 def m_concentration(spark, d):
-    return metrics.concentration(metrics.degrees(Graph.load(spark, d).logical()))
+    return metrics.concentration(metrics.degrees(Graph.load(spark, d).pairs()))
 
 
 @query(f"""WITH {N}, {LE}, l AS (SELECT DISTINCT context, identity AS node, kind AS layer FROM n)
@@ -196,7 +196,7 @@ SELECT e.context, count(*) AS n_edges, count(*) FILTER (a.layer <> b.layer) AS n
 JOIN l a ON a.context = e.context AND a.node = e.source JOIN l b ON b.context = e.context AND b.node = e.target GROUP BY 1""")
 def m_crossings(spark, d):
     g = Graph.load(spark, d)
-    return metrics.crossings(g.logical(), g.distinct_nodes().select("context", F.col("identity").alias("node"), F.col("kind").alias("layer")))
+    return metrics.crossings(g.pairs(), g.distinct_nodes().select("context", F.col("identity").alias("node"), F.col("kind").alias("layer")))
 
 
 @query(f"""WITH {N}, {REL} SELECT 'declarations' AS part, kind AS name, '' AS detail, count(*) AS n FROM n GROUP BY kind UNION ALL SELECT 'edges', kind, state, count(*) FROM rel GROUP BY kind, state

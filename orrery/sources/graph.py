@@ -55,6 +55,13 @@ class Graph:
         return e.select("context", "identity", "kind", "source", F.col("target.state").alias("state"), "region",
                         F.explode("target.identities").alias("target")).distinct()
 
+    def pairs(self, *kinds: str, loops: bool = True) -> DataFrame:
+        """Distinct resolved endpoints: what structure needs, in one shuffle
+        (repeated rows and parallel edges fall together)."""
+        e = self.edges.where(F.col("kind").isin(*kinds)) if kinds else self.edges
+        x = e.where(F.col("target.state") == "RESOLVED").select("context", "source", F.explode("target.identities").alias("target"))
+        return (x if loops else x.where("source <> target")).distinct()
+
     def logical(self, *kinds: str, loops: bool = True) -> DataFrame:
         """Logical edges: resolved edges grouped by endpoints."""
         x = self.endpoints(*kinds).where("state = 'RESOLVED'")
