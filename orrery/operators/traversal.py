@@ -6,8 +6,6 @@ on the context too.  Depth counts vertices: a path of depth d has d of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -228,14 +226,3 @@ def neighbourhood(edges: DataFrame, starts: DataFrame, size: int) -> DataFrame:
     w = Window.partitionBy("context", "source").orderBy("target")
     hop = edges.join(starts.select("context", F.col("start").alias("source")), ["context", "source"], "left_semi").select("context", "source", "target").distinct()
     return hop.withColumn("place", F.row_number().over(w)).where(F.col("place") <= size)
-
-
-def batches(items: Iterator, size: int) -> Iterator[list]:
-    held: list = []
-    for x in items:
-        held.append(x)
-        if len(held) == size:
-            yield held
-            held = []
-    if held:
-        yield held
