@@ -30,7 +30,6 @@ SOFT = {
 TABLE |= SOFT
 NAME = frozenset("irzydmoqteubkw")
 DIRECTIVES = frozenset("qeub")
-JOINED = "\x01"  # a '>' that touches the next one
 TOKEN = re.compile(
     r"""\s*("""
     r"""(?:[^\W\d]|\$)[\w$]*"""
@@ -677,13 +676,10 @@ class JavaParser(Parser):
         i = self.binary(i, 1)
         if s[i] == "?":
             i = self.need(self.expression(i + 1), ":", "EXPECTED_COLON")
-            i = self.lambda_or_ternary(i)
+            i = self.ternary(i)
             self.kind = "x"
         return i
 
-    def lambda_or_ternary(self, i: int) -> int:
-        return self.ternary(i)
-
     def binary(self, i: int, least: int) -> int:
         """Precedence climbing."""
         s = self.s

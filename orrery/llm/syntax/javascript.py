@@ -556,10 +556,6 @@ class JavaScriptParser(Parser):
             self.kind = "x"
         return i
 
-    def arrow(self, i: int) -> int:
-        """Behind the parameters of an arrow function, at the arrow."""
-        return self.arrow_body(i + 1, False)
-
     def arrow_body(self, i: int, asynchronous: bool) -> int:
         saved = self.generator, self.asynchronous
         self.generator, self.asynchronous = False, asynchronous
@@ -606,7 +602,6 @@ class JavaScriptParser(Parser):
             i = self.assignment(i)
             self.kind = "x"
             return i
-        start = i
         i = self.binary(i, 1)
         c = s[i]
         if c == "?":
@@ -617,19 +612,13 @@ class JavaScriptParser(Parser):
             self.kind = "x"
             return i
         if c == "=" or c == "A":
-            if self.kind in "vf[":
-                pass
-            elif self.kind == "{" and c == "=":
-                self.pattern_target(start)
-            else:
+            # a literal on the left is a destructuring pattern
+            if self.kind not in "vf[" and not (self.kind == "{" and c == "="):
                 raise Fail(i, "NOT_ASSIGNABLE")
             i = self.assignment(i + 1)
             self.kind = "x"
         return i
 
-    def pattern_target(self, i: int) -> None:
-        """A destructuring target was read as a literal; nothing to add."""
-
     def binary(self, i: int, least: int) -> int:
         """Precedence climbing; ``**`` binds to the right."""
         s = self.s

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from .base import BAD, END, Fail, Lexemes, Parser, Shapes, keywords
+from .base import BAD, END, Fail, Lexemes, Parser, keywords
 
 WORDS = """and as assert async await break class continue def del elif else except finally for from
 global if import in is lambda nonlocal not or pass raise return try while with yield"""

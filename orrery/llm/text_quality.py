@@ -60,7 +60,6 @@ RUN = re.compile(r"\S{25,}")
 STRAY = re.compile(r"[^\W\d_][.,;!?¿¡][^\W\d_]|\s[.,;!?][^\W\d_]")
 SEPARATORS = (" · ", "; ", ", ", " | ", " / ", " • ", " – ", " - ", " > ", " → ", " * ")
 QUOTE = re.compile(r"\s*(?:>\s?)+")
-LEAD = re.compile(r"\s*[—>#|]+\s*")
 
 
 def common_words(rows: list[tuple[str, str]]) -> dict[str, frozenset[str]]:
@@ -201,7 +200,6 @@ def forms(text: str, common: frozenset[str]) -> tuple[int, int, int, int]:
         rest: list[str] = []
         item = False
         kinds: list[str] = []
-        items = sum(bool(BULLET.match(x)) for x, r in zip(lines, rows, strict=True) if not r)
         for x, row in zip(lines, rows, strict=True):
             n = len(x.strip())
             if row:
@@ -212,7 +210,7 @@ def forms(text: str, common: frozenset[str]) -> tuple[int, int, int, int]:
                 junk += n
                 item = False
                 kinds.append("j")
-            elif BULLET.match(x) and (items > 1 or True):
+            elif BULLET.match(x):
                 listed += n
                 item = True
                 kinds.append("l")
