@@ -23,7 +23,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark, out = df.sparkSession, df.checkpoint(eager=True)
+    # A checkpoint keeps the size that was estimated for its plan.  In a loop of
+    # joins the estimates multiply until they overflow, so the rows are wrapped
+    # anew, without one; adaptive execution goes by the real sizes.
+    rows = out._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:
