@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: States of a binding and of a ledger question.
 STATES = ("BOUND", "CONTRACT_ONLY", "CANDIDATE", "AMBIGUOUS", "UNRESOLVED", "INFEASIBLE", "REOPENED", "NOT_APPLICABLE")
 VARIABLE = r"^(\{[A-Za-z_][A-Za-z0-9_]*\}|:[A-Za-z_][A-Za-z0-9_]*)$"
@@ -92,15 +94,21 @@ def reconcile(census: DataFrame, emissions: DataFrame, key: list[str]) -> DataFr
     return j.select(*key, F.coalesce("n_emitted", F.lit(0)).alias("n_emitted"), F.when(F.col("known").isNull(), "FOREIGN").when(F.col("n_emitted").isNull(), "OMITTED").otherwise("EMITTED").alias("status"))
 
 
-def prerequisites(modules: DataFrame, needs: DataFrame, rounds: int) -> DataFrame:
+def prerequisites(modules: DataFrame, needs: DataFrame) -> DataFrame:
     """(id, state, blocked): an id whose prerequisites are not all satisfied is
-    held back as PENDING; holds spread along the needs for ``rounds`` steps."""
-    open_ = modules.where("state not in ('SATISFIED', 'NOT_APPLICABLE')").select("id").distinct()
-    blocked = open_
-    for _ in range(rounds):
-        more = needs.join(blocked.select(F.col("id").alias("needed")), "needed").select("id")
-        blocked = blocked.union(more).distinct()
-    held = needs.join(blocked.select(F.col("id").alias("needed")), "needed", "left_semi").select("id").distinct().withColumn("held", F.lit(True))
+    held back as PENDING; holds spread along the needs until none is new."""
+    needs = checkpointed(needs.select("id", "needed").distinct())
+    frontier = modules.where("state not in ('SATISFIED', 'NOT_APPLICABLE')").select("id").distinct()
+    held, rounds = frontier.limit(0), 0
+    while True:
+        more = needs.join(frontier.select(F.col("id").alias("needed")), "needed", "left_semi").select("id").distinct()
+        frontier = checkpointed(more.join(held, "id", "left_anti"))
+        if not frontier.limit(1).count():
+            break
+        held, rounds = held.union(frontier), rounds + 1
+        if rounds % 8 == 0:  # keep plans short
+            held = checkpointed(held)
+    held = held.withColumn("held", F.lit(True))
     return modules.join(held, "id", "left").select("id", F.when(F.col("held"), "PENDING").otherwise(F.col("state")).alias("state"), F.coalesce("held", F.lit(False)).alias("blocked"))
 
 

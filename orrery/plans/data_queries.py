@@ -203,7 +203,7 @@ h AS (SELECT DISTINCT x.id FROM x JOIN b2 ON b2.id = x.needed) SELECT m.id, CASE
 def v_prerequisites(spark, d):
     r = table(spark, d, "readiness_modules")
     m = r.groupBy("id").agg(F.max("target").alias("t")).select("id", F.when(F.col("t").isNull(), "OPEN").otherwise("SATISFIED").alias("state"))
-    return bridges.prerequisites(m, r.select("id", F.explode("dependencies").alias("needed")).distinct(), 2)
+    return bridges.prerequisites(m, r.select("id", F.explode("dependencies").alias("needed")).distinct())
 
 
 @query("SELECT plan, language, count(DISTINCT id) AS n_modules, count(DISTINCT id) FILTER (target IS NULL) AS n_open FROM (SELECT plan, id, target, unnest(languages) AS language FROM readiness_modules) GROUP BY ALL")

@@ -194,6 +194,13 @@ def test_binding_states(spark):
     assert got == {"a": "AMBIGUOUS", "b": "CANDIDATE", "c": "CONTRACT_ONLY", "d": "BOUND", "e": "UNRESOLVED", "f": "CANDIDATE", "g": "REOPENED", "h": "INFEASIBLE"}
 
 
+def test_holds_spread_along_the_whole_schedule(spark):
+    state = {"a": "OPEN", "x": "SATISFIED", "y": "SATISFIED", "z": "NOT_APPLICABLE"} | {f"m{k}": "SATISFIED" for k in range(12)}
+    needs = [("m0", "a"), *[(f"m{k}", f"m{k - 1}") for k in range(1, 12)], ("x", "y"), ("y", "x"), ("y", "z"), ("z", "unknown")]
+    got = bridges.prerequisites(spark.createDataFrame(list(state.items()), "id string, state string"), spark.createDataFrame(needs, "id string, needed string")).collect()
+    assert {r["id"]: (r["state"], r["blocked"]) for r in got} == {n: ("PENDING", True) if n[0] == "m" else (s, False) for n, s in state.items()}
+
+
 def test_expressions(spark):
     row = spark.createDataFrame([("8", "true", None, "x y")], "property_a string, property_b string, property_c_d string, property_e string")
     cases = {
