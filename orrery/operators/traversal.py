@@ -221,6 +221,20 @@ def schedule(edges: DataFrame, depth: int) -> DataFrame:
     return out if out is not None else nodes.withColumn("rank", F.lit(0)).limit(0)
 
 
+def climb(parents: DataFrame, levels: int) -> DataFrame:
+    """(context, tip, owner, steps): first ``found`` parent on the way up from
+    every tip; ``parents`` is (context, tip, up, found) with one parent each and
+    ``levels`` counts the tip.  Ways are doubled, so rounds are logarithmic; a
+    way that ends or runs in a circle has no owner."""
+    way = checkpointed(parents.select("context", "tip", "up", "found", F.lit(1).alias("steps")))
+    reach = 1
+    while reach < levels and way.where("not found").limit(1).count():
+        more = way.select("context", F.col("tip").alias("up"), F.col("up").alias("next"), F.col("found").alias("hit"), F.col("steps").alias("more"))
+        on = way.where("not found").join(more, ["context", "up"]).select("context", "tip", F.col("next").alias("up"), F.col("hit").alias("found"), (F.col("steps") + F.col("more")).alias("steps"))
+        way, reach = checkpointed(way.where("found").unionByName(on)), 2 * reach
+    return way.where(F.col("found") & (F.col("steps") < levels)).select("context", "tip", F.col("up").alias("owner"), "steps")
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, size: int) -> DataFrame:
     """One hop from every start, id-ordered, at most ``size`` each (a feature)."""
     w = Window.partitionBy("context", "source").orderBy("target")

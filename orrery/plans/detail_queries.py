@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import bridges, expressions, metrics, regions, traversal
-from ..session import table
+from ..session import checkpointed, table
 from ..sources import extract
 from ..sources.graph import Graph
 from .graph_queries import DEG, LE, N, REL, X
@@ -18,6 +18,9 @@ from .views import CLASSIFIED, FACTS, MEASURED, OCC, facts, named_edges, occurre
 
 CAND = X + ", d AS (SELECT DISTINCT context, source, dst AS target FROM x WHERE state = 'CANDIDATES')"
 
+#: Levels of a climb to the owning type, the member's own counted; the reference's bound.
+OWNER_LEVELS = 64
+
 
 # -- entities --------------------------------------------------------------------------
 @query(f"""WITH {N}, s AS (SELECT c.identity AS context, any_value(s.repository) AS repository FROM kg_contexts c LEFT JOIN seals s ON s.revision = c.snapshot GROUP BY 1),
@@ -163,19 +166,15 @@ s2 AS (SELECT s.context, s.identity, p.up AS tip, k.kind FROM s1 s JOIN p ON p.c
 s3 AS (SELECT s.context, s.identity, p.up AS tip, k.kind FROM s2 s JOIN p ON p.context = s.context AND p.node = s.tip JOIN k ON k.context = p.context AND k.identity = p.up WHERE s.kind <> 'TYPE')
 SELECT context, identity, tip AS owner, steps FROM (SELECT *, 1 AS steps FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3) WHERE kind = 'TYPE'""")
 def g_climb(spark, d):
-    """Nearest owning type of members, at most three levels up."""
+    """Nearest owning type of members, within ``OWNER_LEVELS`` levels."""
     g = Graph.load(spark, d)
     up = g.endpoints("graph.contains", "graph.declares").where("state = 'RESOLVED' and source <> target").groupBy("context", F.col("target").alias("tip")).agg(F.min("source").alias("up"))
-    kind = g.nodes.groupBy("context", F.col("identity").alias("up")).agg(F.min("kind").alias("up_kind"))
-    parent = up.join(kind, ["context", "up"])
-    level = g.nodes.groupBy("context", "identity").agg(F.min("kind").alias("kind")).where("kind in ('METHOD', 'FIELD')").select("context", "identity", F.col("identity").alias("tip"))
-    out = None
-    for k in range(1, 4):
-        step = level.join(parent, ["context", "tip"]).select("context", "identity", F.col("up").alias("tip"), "up_kind")
-        hit = step.where("up_kind = 'TYPE'").select("context", "identity", F.col("tip").alias("owner"), F.lit(k).alias("steps"))
-        out = hit if out is None else out.unionByName(hit)
-        level = step.where("up_kind <> 'TYPE'").drop("up_kind")
-    return out
+    kind = checkpointed(g.nodes.groupBy("context", "identity").agg(F.min("kind").alias("kind")))
+    parent = up.join(kind.select("context", F.col("identity").alias("up"), (F.col("kind") == "TYPE").alias("found")), ["context", "up"])
+    parent = parent.join(kind.where("kind <> 'TYPE'").select("context", F.col("identity").alias("tip")), ["context", "tip"], "left_semi")
+    members = kind.where("kind in ('METHOD', 'FIELD')").select("context", "identity")
+    owned = traversal.climb(parent, OWNER_LEVELS).withColumnRenamed("tip", "identity")
+    return owned.join(members, ["context", "identity"], "left_semi").select("context", "identity", "owner", "steps")
 
 
 # -- truth -----------------------------------------------------------------------------------------------

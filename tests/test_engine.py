@@ -73,6 +73,26 @@ def test_components_both_ways(spark):
             assert x["cyclic"] == (x["size"] > 1 or (n, n) in pairs)
 
 
+def test_climb_to_the_owning_type(spark):
+    chain = [("c", f"m{k:03}", f"m{k + 1:03}", False) for k in range(80)] + [("c", "m080", "T", True)]
+    rest = [("c", "x", "y", False), ("c", "y", "x", False), ("c", "z", "x", False), ("c", "open", "end", False), ("d", "m000", "U", True)]
+    parents = spark.createDataFrame(chain + rest, "context string, tip string, up string, found boolean")
+    got = {(r["context"], r["tip"]): (r["owner"], r["steps"]) for r in traversal.climb(parents, 64).collect()}
+    assert got == {("c", f"m{80 - k:03}"): ("T", k + 1) for k in range(63)} | {("d", "m000"): ("U", 1)}
+
+
+def test_members_deeper_than_three_levels_have_their_type(spark, tmp_path):
+    from orrery.plans.detail_queries import g_climb
+
+    kinds = {"T": "TYPE", **{f"m{k}": "METHOD" for k in range(1, 10)}, "f": "FIELD"}
+    up = {"m1": "T", **{f"m{k}": f"m{k - 1}" for k in range(2, 10)}, "f": "m9"}
+    spark.createDataFrame([(n, "c", k, []) for n, k in kinds.items()], NODE).write.parquet(str(tmp_path / "kg_nodes.parquet"))
+    spark.createDataFrame([(f"e{n}", "c", "graph.contains", u, ("RESOLVED", [n], None), [], None) for n, u in up.items()], EDGE).write.parquet(str(tmp_path / "kg_edges.parquet"))
+    spark.createDataFrame([], CONTEXT).write.parquet(str(tmp_path / "kg_contexts.parquet"))
+    got = {(r["identity"], r["owner"], r["steps"]) for r in g_climb(spark, str(tmp_path)).collect()}
+    assert got == {(f"m{k}", "T", k) for k in range(1, 10)} | {("f", "T", 10)}
+
+
 def test_paths_cycles_and_schedule(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("b", "a"), ("d", "d"), ("x", "y")]
     e = edges(spark, pairs)
