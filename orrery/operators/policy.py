@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import QUANTIFIER, SEVERITY, matches_pattern, rank
+from ..session import checkpointed
+from . import regions, traversal
 from .metrics import ratio
 
 KINDS = ("FORBIDDEN", "BOUNDARY", "ACYCLIC", "LAYERS")
@@ -131,11 +133,37 @@ def eligible(rule: Rule) -> Column:
     return F.when((la == "?") | (lb == "?"), F.lit(None).cast("boolean")).otherwise(F.coalesce(ra < rb, F.lit(False)))
 
 
-def bind(edges: DataFrame, rules: list[Rule]) -> DataFrame:
+def bind(edges: DataFrame, rules: list[Rule], facts: DataFrame | None = None, n_worlds: int = 1) -> DataFrame:
     """Candidates: edges that a rule covers or may cover; rules are a driver
-    list, so all of them are judged in one pass over the edges."""
+    list, so all of them are judged in one pass over the edges.  An ACYCLIC
+    rule keeps the edges on circles, judged on ``facts`` world by world."""
     verdicts = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.severity).alias("severity"), eligible(r).alias("covered")) for r in rules])
-    return edges.withColumn("v", F.explode(verdicts)).select("*", "v.*").drop("v").where("covered is null or covered")
+    found = edges.withColumn("v", F.explode(verdicts)).select("*", "v.*").drop("v").where("covered is null or covered")
+    if all(r.kind != "ACYCLIC" for r in rules):
+        return found
+    if facts is None:  # one world; what not every world has is open in it
+        facts = edges.where("quantifier <> 'NEVER'").select("source", "target", F.lit("").alias("world"), F.when(F.col("quantifier") == "MUST", True).alias("truth"))
+    held = found.where("kind = 'ACYCLIC'")
+    judged = regions.classify(regions.measure(on_circles(held, facts), ["rule", "source", "target"], n_worlds)).select("rule", "source", "target", "quantifier")
+    circles = held.drop("quantifier").join(judged, ["rule", "source", "target"])
+    return found.where("kind <> 'ACYCLIC'").unionByName(circles.withColumn("covered", F.lit(True)))
+
+
+def on_circles(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """(rule, source, target, world, truth): candidates on a circle, loops
+    included, of their rule's candidates in a world; unknown if no circle is
+    there for sure.
+
+    An edge lies on a circle if one strong component holds both its ends."""
+    truth = F.col("truth") & F.col("covered")
+    e = candidates.select("rule", "source", "target", "covered").distinct().join(facts, ["source", "target"]).where(F.coalesce(truth, F.lit(True)))
+    e = e.withColumn("sure", F.explode(F.when(truth, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
+    e = checkpointed(e.select("rule", "source", "target", "world", "sure", F.to_json(F.struct("rule", "world", "sure")).alias("context")))
+    node = traversal.components(e.select("context", F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))).where("cyclic")
+    ends = [node.select("context", F.col("node").alias(f"{side}_node"), F.col("component").alias(f"{side}_component")) for side in ("source", "target")]
+    on = e.withColumns({f"{side}_node": F.col(side).cast("string") for side in ("source", "target")}).join(ends[0], ["context", "source_node"]).join(ends[1], ["context", "target_node"])
+    on = on.where("source_component = target_component").groupBy("rule", "source", "target", "world").agg(F.max("sure").alias("sure"))
+    return on.select("rule", "source", "target", "world", F.when(F.col("sure"), True).alias("truth"))
 
 
 def evaluate(candidates: DataFrame) -> DataFrame:

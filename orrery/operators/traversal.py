@@ -235,6 +235,24 @@ def climb(parents: DataFrame, levels: int) -> DataFrame:
     return way.where(F.col("found") & (F.col("steps") < levels)).select("context", "tip", F.col("up").alias("owner"), "steps")
 
 
+def heads(edges: DataFrame) -> DataFrame:
+    """(context, node): least vertices of simple circles of any length, loops
+    included.
+
+    A vertex heads a circle if it lies on one among itself and the greater
+    vertices of its component; circles are not enumerated."""
+    hop = edges.select("context", "source", "target").distinct()
+    inside = components(hop.select(F.to_json(F.struct("context")).alias("context"), F.col("source").cast("string").alias("source"), F.col("target").cast("string").alias("target"))).where("cyclic")
+    ends = [inside.select("context", F.col("node").alias(f"{side}_node"), F.col("component").alias(f"{side}_component")) for side in ("source", "target")]
+    hop = hop.select(F.col("context").alias("of"), "source", "target", F.to_json(F.struct("context")).alias("context"), F.col("source").cast("string").alias("source_node"), F.col("target").cast("string").alias("target_node"))
+    hop = checkpointed(hop.join(ends[0], ["context", "source_node"]).join(ends[1], ["context", "target_node"]).where("source_component = target_component"))
+    start = hop.select("context", "of", F.col("source").alias("head"), F.col("source_component").alias("c")).distinct()
+    above = start.join(hop.select("context", "source", "target", "source_node", "target_node", F.col("source_component").alias("c")), ["context", "c"]).where("source >= head and target >= head")
+    above = checkpointed(above.select("of", "head", F.to_json(F.struct("context", "head")).alias("context"), F.col("source_node").alias("source"), F.col("target_node").alias("target")))
+    on = components(above).where("cyclic").select("context", "node")
+    return above.select("context", "of", "head", F.col("head").cast("string").alias("node")).distinct().join(on, ["context", "node"], "left_semi").select(F.col("of").alias("context"), F.col("head").alias("node"))
+
+
 def neighbourhood(edges: DataFrame, starts: DataFrame, size: int) -> DataFrame:
     """One hop from every start, id-ordered, at most ``size`` each (a feature)."""
     w = Window.partitionBy("context", "source").orderBy("target")

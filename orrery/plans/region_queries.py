@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import policy, regions, traversal
 from ..operators.metrics import abstractness, degrees, distance
-from ..session import table
+from ..session import checkpointed, table
 from .registry import query
 from .views import CLASSIFIED, FACTS, MEASURED, OCC, PACKAGES, WORLDS, facts, named_edges, occurrences, packages
 
@@ -131,7 +131,8 @@ def _rules():
 
 
 def _findings(spark, d):
-    return policy.evaluate(policy.bind(named_edges(_classified(spark, d), spark, d), _rules()))
+    f = checkpointed(facts(spark, d))
+    return policy.evaluate(policy.bind(named_edges(regions.classify(regions.measure(f, KEYS, len(WORLDS))), spark, d), _rules(), f, len(WORLDS)))
 
 
 @query(f"WITH {NAMED} SELECT rule, severity, source, target, quantifier FROM fi")
@@ -248,11 +249,9 @@ def g_joint_paths(spark, d):
 
 @query(f"""WITH {CLASSIFIED}, {PACKAGES} SELECT DISTINCT p.name FROM cl JOIN pk p ON p.package = cl.source JOIN cl b ON b.source = cl.target AND b.target = cl.source AND b.quantifier <> 'NEVER' WHERE cl.quantifier <> 'NEVER' AND cl.source < cl.target""")
 def p_acyclic(spark, d):
-    """Packages that head a circle of two among edges not excluded."""
-    e = regions.project(_classified(spark, d), "BOUNDED_UNION").select("source", "target")
-    back = traversal.flip(e.withColumn("context", F.lit(""))).select("source", "target")
-    two = e.join(back, KEYS, "left_semi").where("source < target")
-    return two.join(packages(spark, d), F.col("source") == F.col("package")).select("name").distinct()
+    """Packages that head a circle of any length among edges not excluded."""
+    e = regions.project(_classified(spark, d), "BOUNDED_UNION").select(F.lit("").alias("context"), "source", "target")
+    return traversal.heads(e).join(packages(spark, d), F.col("node") == F.col("package")).select("name").distinct()
 
 
 # -- finite configuration domains ----------------------------------------------------

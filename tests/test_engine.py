@@ -173,6 +173,48 @@ def test_policy_problems_have_their_line(text, code, line):
     assert (e.value.code, e.value.line) == (code, line)
 
 
+ACYCLIC = "schema: policy:v1\nrules:\n  - id: r\n    kind: ACYCLIC\n    severity: INFO\n    from.modules: [M]\n    to.modules: [M]\n"
+NAMED = "source bigint, target bigint, source_name string, source_module string, target_name string, target_module string, quantifier string"
+
+
+def test_acyclic_rules_find_circles_only(spark):
+    rules = policy.compile_policy(ACYCLIC)
+
+    def found(pairs, quantifiers=None, module=None, facts=None, n_worlds=1):
+        module = module or {}
+        e = spark.createDataFrame([(a, b, str(a), module.get(a, "M"), str(b), module.get(b, "M"), q) for (a, b), q in zip(pairs, quantifiers or ["MUST"] * len(pairs))], NAMED)
+        f = facts and spark.createDataFrame(facts, "source bigint, target bigint, world string, truth boolean")
+        return {(r["source"], r["target"]): r["quantifier"] for r in policy.evaluate(policy.bind(e, rules, f, n_worlds)).collect()}
+
+    ring = [(1, 2), (2, 3), (3, 1)]
+    assert found([(1, 2), (2, 3), (1, 3)]) == {}
+    assert found([*ring, (3, 4)]) == dict.fromkeys(ring, "MUST")
+    assert found(ring, ["MUST", "NEVER", "MUST"]) == {} and found([(5, 5)]) == {(5, 5): "MUST"}
+    assert found(ring, module={2: "N"}) == {} and found(ring, module={2: None}) == dict.fromkeys(ring, "UNKNOWN")
+    module = {1: "M", 2: "M", 3: "M"}
+    # a circle must be there in one and the same world
+    apart = [(1, 2, "u", True), (2, 1, "v", True)]
+    assert found([(1, 2), (2, 1)], ["MAY"] * 2, module, apart, 2) == {}
+    assert found([(1, 2), (2, 1)], ["MUST", "MAY"], module, [*apart, (1, 2, "v", True)], 2) == {(1, 2): "MAY", (2, 1): "MAY"}
+    assert found([(1, 2), (2, 1)], ["MUST", "UNKNOWN"], module, [(1, 2, "u", True), (2, 1, "u", None)], 1) == {(1, 2): "UNKNOWN", (2, 1): "UNKNOWN"}
+
+
+def test_heads_of_circles_of_any_length(spark):
+    r = random.Random(3)
+    for _ in range(3):
+        pairs = sorted({(r.randrange(12), r.randrange(12)) for _ in range(16)})
+        ring = [(20, 21), (21, 22), (22, 23), (23, 20), (22, 24)]
+        got = {x["node"] for x in traversal.heads(spark.createDataFrame([("c", a, b) for a, b in pairs + ring], "context string, source bigint, target bigint")).collect()}
+        want = {20}
+        for v in range(12):
+            seen, front = set(), {v}
+            while front:
+                front = {b for a, b in pairs if a in front and b >= v} - seen
+                seen |= front
+            want |= {v} & seen
+        assert got == want
+
+
 def test_missing_metadata_is_unknown(spark):
     rules = policy.compile_policy(GOOD)
     e = spark.createDataFrame([("1", "2", "a.x", None, "b", None, "MUST"), ("1", "3", None, None, "b", None, "MUST"), ("1", "4", "ax", None, "b", None, "MUST")],
