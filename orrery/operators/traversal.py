@@ -40,18 +40,26 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def reachability(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+def reachability(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(context, start, end, distance): nearest distance in edges, by levels
-    of distinct frontiers; ``depth`` in vertices."""
+    of distinct frontiers; ``depth`` in vertices, None as far as edges lead."""
     hop = _step(edges).distinct()
     seen = starts.select("context", "start", F.col("start").alias("end"), F.lit(0).alias("distance")).distinct()
-    frontier = seen
-    for d in range(1, depth):
+    frontier, d = seen, 1
+    if depth is None:
+        hop, seen = checkpointed(hop), checkpointed(seen)
+        frontier = seen
+    while depth is None or d < depth:
         frontier = frontier.select("context", "start", F.col("end").alias("at")).join(hop, ["context", "at"]).select("context", "start", F.col("to").alias("end")).distinct().join(
             seen.select("context", "start", "end"), ["context", "start", "end"], "left_anti").withColumn("distance", F.lit(d))
+        if depth is None:
+            frontier = checkpointed(frontier)
+            if not frontier.limit(1).count():
+                break
         seen = seen.unionByName(frontier)
         if d % 3 == 0:  # keep plans short
-            seen, frontier = checkpointed(seen), checkpointed(frontier)
+            seen, frontier = checkpointed(seen), checkpointed(frontier) if depth else frontier
+        d += 1
     return seen.where("distance > 0")
 
 

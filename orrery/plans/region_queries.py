@@ -178,7 +178,8 @@ SELECT rule, count(*) FILTER (how = 2) AS n_direct, count(*) FILTER (how = 1) AS
 def p_impact(spark, d):
     """Findings of each rule that a change of some packages touches."""
     changed = packages(spark, d).where("package < 5").select(F.col("package").alias("node"))
-    reached = regions.project(_classified(spark, d), "MUST").join(changed.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+    must = regions.project(_classified(spark, d), "MUST").select(F.lit("").alias("context"), "source", "target")
+    reached = traversal.reachability(traversal.flip(must), changed.select(F.lit("").alias("context"), F.col("node").alias("start"))).select(F.col("end").alias("node")).distinct()
     return policy.impact(_findings(spark, d), changed, reached)
 
 

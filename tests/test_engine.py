@@ -1,5 +1,6 @@
 """Graph, regions, policy, traversal, sources and streams on small inputs."""
 
+import datetime as dt
 import itertools
 import random
 import time
@@ -223,6 +224,25 @@ def test_missing_metadata_is_unknown(spark):
     assert got == {("1", "2"): "MUST", ("1", "3"): "UNKNOWN"}
 
 
+def test_impact_reaches_over_several_edges(spark, tmp_path):
+    from orrery.plans.region_queries import p_impact
+
+    # customer of nation n depends on supplier of nation t in all worlds: 9 -> 8 -> 7 -> 0; packages below 5 are changed
+    pairs = [(7, 0), (8, 7), (9, 8)]
+    put = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put("region", [(0, "EUROPE"), (1, "ASIA"), (2, "AMERICA")], "r_regionkey bigint, r_name string")
+    put("nation", [(n, f"N{n}", {9: 0, 8: 1}.get(n, 2)) for n in range(10)], "n_nationkey bigint, n_name string, n_regionkey bigint")
+    put("customer", [(n, n) for n in range(10)], "c_custkey bigint, c_nationkey bigint")
+    put("supplier", [(n, n) for n in range(10)], "s_suppkey bigint, s_nationkey bigint")
+    orders = [(k * 10 + y, a, dt.date(1995 + y, 2, 1), "1-URGENT", b) for k, (a, b) in enumerate(pairs) for y in range(7)]
+    put("orders", [o[:4] for o in orders], "o_orderkey bigint, o_custkey bigint, o_orderdate date, o_orderpriority string")
+    put("lineitem", [(o[0], o[4], 49.0) for o in orders], "l_orderkey bigint, l_suppkey bigint, l_quantity double")
+    got = {r["rule"]: (r["n_direct"], r["n_transitive"]) for r in p_impact(spark, str(tmp_path)).collect()}
+    assert got["no-asia-from-europe"] == (0, 1)  # 9 -> 8, two and three edges from the change
+    e = edges(spark, [(f"n{k}", f"n{k + 1}") for k in range(9)] + [("n9", "n0")])
+    assert {r["end"]: r["distance"] for r in traversal.reachability(e, spark.createDataFrame([("c", "n0")], "context string, start string")).collect()} == {f"n{k}": k for k in range(1, 10)}
+
+
 # -- evolution, bridges -------------------------------------------------------------------------
 def test_fraction_delta_is_exact(spark):
     r = evolution.fraction_delta(spark.createDataFrame([(1, 3, 1, 2), (0, 5, 0, 7), (2, 4, 1, 2)], "ln bigint, ld bigint, rn bigint, rd bigint")).select("delta_n", "delta_d").collect()
