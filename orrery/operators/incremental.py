@@ -105,24 +105,31 @@ def first_seen(jobs: DataFrame, runs: list[tuple[int, object]]) -> DataFrame:
     return seen.mapInArrow(run, "id string, revision bigint, sequence bigint, run_no int")
 
 
+def _grid(sequence: np.ndarray, step: int) -> list[tuple[np.ndarray, int]]:
+    """Places of the numbers on the grid with its step, and of those off it,
+    which have intervals of step 1 of their own."""
+    off = sequence % step != 0
+    return [(np.flatnonzero(~off), step), (np.flatnonzero(off), 1)]
+
+
 def _block(step: int):
     def run(t: pa.Table) -> pa.Table:
         """Replay one block of the number line, run by run."""
         sequence = t.column("sequence").to_numpy()
         no = t.column("run_no").to_numpy()
         order = np.argsort(no, kind="stable")
-        edges = np.flatnonzero(np.diff(no[order])) + 1
-        processed = np.zeros((0, 2), np.int64)
         # a number identifies a version; should one come back with another
         # version, that row is outside the interval logic and always taken
         taken = np.ones(len(no), bool)
         taken[order[np.unique(sequence[order], return_index=True)[1]]] = False
-        own = ~taken
-        for rows in np.split(order, edges):
-            rows = rows[own[rows]]
-            gaps = subtract(collapse(sequence[rows], step), processed, step)
-            taken[rows] = covered(sequence[rows], gaps)
-            processed = merge(processed, gaps, step)
+        for own, width in _grid(sequence, step):
+            own = own[~taken[own]]
+            own = own[np.argsort(no[own], kind="stable")]
+            processed = np.zeros((0, 2), np.int64)
+            for rows in np.split(own, np.flatnonzero(np.diff(no[own])) + 1):
+                gaps = subtract(collapse(sequence[rows], width), processed, width)
+                taken[rows] = covered(sequence[rows], gaps)
+                processed = merge(processed, gaps, width)
         return t.select(["id", "revision", "run_no"]).filter(pa.array(taken))
 
     return run

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -66,6 +67,24 @@ def test_replay(spark, seed, monkeypatch):
     assert set(got) == brute(jobs, runs)
 
 
+def test_numbers_off_the_grid_are_processed(spark):
+    late_between = [("a", 1, 100, 1), ("b", 1, 200, 1), ("c", 1, 150, 3)]
+    around = [("a", 1, 150, 1), ("b", 1, 100, 3), ("c", 1, 200, 3)]
+    runs = [(1, 2, "COMPLETE"), (2, 4, "COMPLETE")]
+    u = spark.createDataFrame([(a, at(b), c) for a, b, c in runs], "run_id bigint, started_at timestamp, state string")
+    for jobs in (late_between, around):
+        j = spark.createDataFrame([(a, b, c, at(d)) for a, b, c, d in jobs], "id string, revision bigint, sequence bigint, loaded_at timestamp")
+        got = [tuple(x) for x in I.replay(j, u, 100).collect()]
+        assert len(got) == len(set(got)) == 3 and set(got) == brute(jobs, runs)
+
+
+@given(st.dictionaries(st.integers(-8, 12).map(lambda n: 5 * n), st.integers(0, 2), min_size=1))
+def test_blocks_lose_no_number(runs):
+    t = pa.table([pa.array([f"j{n}" for n in runs]), pa.array([1] * len(runs), pa.int64()), pa.array(list(runs), pa.int64()), pa.array(list(runs.values()), pa.int32())], names=["id", "revision", "sequence", "run_no"])
+    for step in (1, 10):
+        assert I._block(step)(t).num_rows == len(runs)
+
+
 def test_replay_of_nothing(spark):
     j = spark.createDataFrame([], "id string, revision bigint, sequence bigint, loaded_at timestamp")
     u = spark.createDataFrame([], "run_id bigint, started_at timestamp, state string")
