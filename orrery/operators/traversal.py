@@ -87,8 +87,9 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def _label(t: pa.Table) -> pa.Table:
-    """Strongly connected components of all contexts of one bucket."""
+def _numbered(t: pa.Table) -> tuple:
+    """(contexts, ids, width, nodes, a, b): edges of one bucket as places in
+    ``nodes``, each of which is context * width + id."""
     names = {}
     context = pc.unique(t.column("context"))
     c = pc.index_in(t.column("context"), value_set=context, skip_nulls=False).to_numpy().astype(np.int64)
@@ -100,8 +101,13 @@ def _label(t: pa.Table) -> pa.Table:
     a = c * width + pc.index_in(names["source"], value_set=ids).to_numpy().astype(np.int64)
     b = c * width + pc.index_in(names["target"], value_set=ids).to_numpy().astype(np.int64)
     nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    return context, ids, width, nodes, inverse[: len(a)], inverse[len(a) :]
+
+
+def _label(t: pa.Table) -> pa.Table:
+    """Strongly connected components of all contexts of one bucket."""
+    context, ids, width, nodes, a, b = _numbered(t)
     n = len(nodes)
-    a, b = inverse[: len(a)], inverse[len(a) :]
     label = strong_components(n, a, b)
     loops = np.zeros(n, bool)
     loops[a[a == b]] = True
@@ -211,13 +217,50 @@ def _spread(edges: DataFrame) -> DataFrame:
         "context", "node", "component", "size", ((F.col("size") > 1) | F.coalesce("loop", F.lit(False))).alias("cyclic"))
 
 
-def schedule(edges: DataFrame, depth: int) -> DataFrame:
+def _ranks(t: pa.Table) -> pa.Table:
+    """Ranks of all contexts of one bucket, peeled from the starts."""
+    context, ids, width, nodes, a, b = _numbered(t)
+    order = np.argsort(a, kind="stable")
+    to, place = b[order], np.searchsorted(a[order], np.arange(len(nodes) + 1))
+    open_, rank, at = np.bincount(b, minlength=len(nodes)), np.full(len(nodes), -1), 0
+    ready = np.flatnonzero(open_ == 0)
+    while len(ready):
+        rank[ready] = at
+        size = place[ready + 1] - place[ready]
+        out = to[np.repeat(place[ready] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        hit, n = np.unique(out, return_counts=True)
+        open_[hit] -= n
+        ready, at = hit[open_[hit] == 0], at + 1
+    done = np.flatnonzero(rank >= 0)
+    return pa.table([context.take(pa.array(nodes[done] // width)), ids.take(pa.array(nodes[done] % width)), pa.array(rank[done].astype(np.int32))], names=["context", "node", "rank"])
+
+
+def schedule(edges: DataFrame, depth: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """(context, node, rank): longest way from a start, for the nodes that no
-    circle holds up; the order in which work can be done."""
-    hop = _step(edges).where("at <> to").distinct()
+    circle holds up; the order in which work can be done.  ``depth`` in ranks,
+    None until nothing is ready.
+
+    Contexts are packed into buckets as in ``components``; a context beyond the
+    bound is peeled by joins instead."""
+    e = checkpointed(edges.where("source <> target").select("context", "source", "target").distinct())
+    weights = e.groupBy("context").agg(F.count("*").alias("m"))
+    n_heavy, total = weights.agg(F.count_if(F.col("m") > task_edges), F.coalesce(F.sum(F.when(F.col("m") <= task_edges, F.col("m"))), F.lit(0))).first()
+    buckets = max(1, -(-total // max(1, task_edges)) * 4)
+    light = e
+    if n_heavy:
+        heavy = weights.where(F.col("m") > task_edges).select("context")
+        light = e.join(heavy, "context", "left_anti")
+    out = light.withColumn("bucket", F.pmod(F.xxhash64("context"), F.lit(buckets))).groupBy("bucket").applyInArrow(lambda t: _ranks(t), "context string, node string, rank int")
+    out = out if depth is None else out.where(F.col("rank") < depth)
+    return out.unionByName(_peel(e.join(heavy, "context", "left_semi"), depth)) if n_heavy else out
+
+
+def _peel(edges: DataFrame, depth: int | None) -> DataFrame:
+    """Ranks of large contexts, one round of joins each."""
+    hop = checkpointed(_step(edges).where("at <> to").distinct())
     nodes = hop.select("context", F.col("at").alias("node")).union(hop.select("context", F.col("to"))).distinct()
     waiting, rank, out = hop, 0, None
-    while rank < depth:
+    while depth is None or rank < depth:
         blocked = waiting.select("context", F.col("to").alias("node")).distinct()
         ready = checkpointed(nodes.join(blocked, ["context", "node"], "left_anti").withColumn("rank", F.lit(rank)))
         if not ready.limit(1).count():
@@ -226,6 +269,8 @@ def schedule(edges: DataFrame, depth: int) -> DataFrame:
         nodes = checkpointed(nodes.join(ready, ["context", "node"], "left_anti"))
         waiting = checkpointed(waiting.join(ready.select("context", F.col("node").alias("at")), ["context", "at"], "left_anti"))
         rank += 1
+        if rank % 8 == 0:  # keep plans short
+            out = checkpointed(out)
     return out if out is not None else nodes.withColumn("rank", F.lit(0)).limit(0)
 
 

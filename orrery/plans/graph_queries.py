@@ -16,7 +16,7 @@ LE = X + """, le AS (SELECT context, source, dst AS target, count(*) AS n_suppor
  FROM x WHERE state = 'RESOLVED' GROUP BY context, source, dst)"""
 REL = """rel AS (SELECT DISTINCT context, identity, kind, source, target.state AS state, target.identities AS targets, target.unresolved_reference AS reference, region FROM kg_edges)"""
 DEP = X + """, d AS (SELECT DISTINCT context, source, dst AS target FROM x WHERE state = 'RESOLVED' AND kind IN ('java.extends', 'java.implements'))"""
-#: The kinds that traversal follows: sparse enough for path enumeration.
+#: The kinds that enumeration and bounded walks follow: sparse enough for path enumeration.
 INHERITANCE = ("java.extends", "java.implements")
 
 
@@ -281,7 +281,7 @@ v AS (SELECT context, source AS node FROM d UNION SELECT context, target FROM d)
 m AS (SELECT v.context, v.node, least(v.node, coalesce(min(r.b) FILTER (q.a IS NOT NULL), v.node)) AS component FROM v LEFT JOIN r ON r.context = v.context AND r.a = v.node LEFT JOIN r q ON q.context = r.context AND q.a = r.b AND q.b = r.a GROUP BY v.context, v.node)
 SELECT m.context, m.node, m.component, count(*) OVER (PARTITION BY m.context, m.component) AS size, (m.context, m.node, m.node) IN (SELECT (context, a, b) FROM r) AS cyclic FROM m""")
 def g_scc(spark, d):
-    return traversal.components(_inheritance(spark, d))
+    return traversal.components(Graph.load(spark, d).pairs())
 
 
 @query(f"""WITH RECURSIVE {DEP}, r AS (SELECT context, [source] AS path, target AS tip FROM d WHERE target >= source
@@ -298,4 +298,4 @@ w AS (SELECT context, node, 0 AS rank FROM ok UNION SELECT w.context, e.target,
 SELECT context, node, max(rank) AS rank FROM w GROUP BY ALL""")
 def g_schedule(spark, d):
     """Topological rank of every node that no circle holds up."""
-    return traversal.schedule(_inheritance(spark, d), 100)
+    return traversal.schedule(Graph.load(spark, d).pairs())

@@ -74,6 +74,25 @@ def test_components_both_ways(spark):
             assert x["cyclic"] == (x["size"] > 1 or (n, n) in pairs)
 
 
+def test_components_and_schedule_follow_all_kinds(spark, tmp_path):
+    from orrery.plans.graph_queries import g_schedule, g_scc
+
+    pairs = [("a", "b", "java.calls"), ("b", "a", "graph.contains"), *[(f"n{k:02}", f"n{k + 1:02}", "java.calls") for k in range(12)]]
+    spark.createDataFrame([], NODE).write.parquet(str(tmp_path / "kg_nodes.parquet"))
+    spark.createDataFrame([(f"e{k}", "c", kind, a, ("RESOLVED", [b], None), [], None) for k, (a, b, kind) in enumerate(pairs)], EDGE).write.parquet(str(tmp_path / "kg_edges.parquet"))
+    spark.createDataFrame([], CONTEXT).write.parquet(str(tmp_path / "kg_contexts.parquet"))
+    assert {r["node"] for r in g_scc(spark, str(tmp_path)).collect() if r["cyclic"]} == {"a", "b"}
+    assert {r["node"]: r["rank"] for r in g_schedule(spark, str(tmp_path)).collect()} == {f"n{k:02}": k for k in range(13)}
+
+
+def test_schedule_goes_on_until_nothing_is_ready(spark):
+    e = edges(spark, [(f"n{k:03}", f"n{k + 1:03}") for k in range(104)])
+    assert {r["node"]: r["rank"] for r in traversal.schedule(e).collect()} == {f"n{k:03}": k for k in range(105)}
+    e = edges(spark, [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("a", "a"), ("g", "c")])
+    for limit in (traversal.TASK_EDGES, 0):
+        assert {r["node"]: r["rank"] for r in traversal.schedule(e, None, limit).collect()} == {"a": 0, "g": 0, "b": 1, "c": 2}
+
+
 def test_climb_to_the_owning_type(spark):
     chain = [("c", f"m{k:03}", f"m{k + 1:03}", False) for k in range(80)] + [("c", "m080", "T", True)]
     rest = [("c", "x", "y", False), ("c", "y", "x", False), ("c", "z", "x", False), ("c", "open", "end", False), ("d", "m000", "U", True)]
