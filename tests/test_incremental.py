@@ -80,9 +80,37 @@ def test_numbers_off_the_grid_are_processed(spark):
 
 @given(st.dictionaries(st.integers(-8, 12).map(lambda n: 5 * n), st.integers(0, 2), min_size=1))
 def test_blocks_lose_no_number(runs):
-    t = pa.table([pa.array([f"j{n}" for n in runs]), pa.array([1] * len(runs), pa.int64()), pa.array(list(runs), pa.int64()), pa.array(list(runs.values()), pa.int32())], names=["id", "revision", "sequence", "run_no"])
+    n = len(runs)
+    t = pa.table([pa.array([f"j{k}" for k in runs] + [None] * n), pa.array([1] * n + [None] * n, pa.int64()), pa.array(2 * list(runs), pa.int64()), pa.array(2 * list(runs.values()), pa.int32())], names=["id", "revision", "sequence", "run_no"])
     for step in (1, 10):
-        assert I._block(step)(t).num_rows == len(runs)
+        rows = I._block(step)(t).to_pylist()
+        assert sorted((r["id"], r["run_no"]) for r in rows if r["id"]) == sorted((f"j{k}", r) for k, r in runs.items())
+        width = {True: step, False: 1}
+        assert {(k, r["run_no"]) for r in rows if r["id"] is None for k in range(r["low"], r["high"] + 1, width[r["low"] % step == 0])} == set(runs.items())
+
+
+def test_the_subtraction_decides(spark, monkeypatch):
+    """Without it every run takes all again that it can see."""
+    jobs = [("a", 1, 100, 1), ("b", 1, 200, 1), ("a", 2, 300, 3), ("b", 1, 200, 3), ("c", 1, 150, 3), ("b", 1, 500, 5)]
+    j = spark.createDataFrame([(a, b, c, at(d)) for a, b, c, d in jobs], "id string, revision bigint, sequence bigint, loaded_at timestamp")
+    u = spark.createDataFrame([(k, at(2 * k), "COMPLETE") for k in (1, 2, 3)], "run_id bigint, started_at timestamp, state string")
+
+    def off(step):
+        def run(t):
+            from orrery.operators import incremental as W
+
+            kept, W.subtract = W.subtract, lambda a, b, step=1: a
+            try:
+                return W._block(step)(t)
+            finally:
+                W.subtract = kept
+
+        return run
+
+    right = {tuple(x) for x in I.replay(j, u, 100).collect()}
+    assert right == {(1, "a", 1), (1, "b", 1), (2, "a", 2), (2, "c", 1)}
+    monkeypatch.setattr(I, "_block", off)
+    assert {tuple(x) for x in I.replay(j, u, 100).collect()} == right | {(2, "b", 1), (3, "a", 2), (3, "b", 1)}
 
 
 def test_replay_of_nothing(spark):
@@ -107,3 +135,29 @@ def test_ledger_survives_failures(spark, tmp_path):
     ledger.run(5, journal([1, 2, 3, 4, 5, 6, 7, 8]))  # 6 is a late commit
     rows = sorted(r["sequence"] for r in ledger.output().collect())
     assert rows == [1, 2, 3, 4, 5, 6, 7, 8]
+    assert [tuple(r) for r in ledger.intervals().collect()] == [(1, 8)]
+
+
+def test_ledger_takes_output_and_intervals_from_the_same_rows(spark, tmp_path):
+    """A record that arrives while a run is at work is taken by the next."""
+    source = str(tmp_path / "journal")
+
+    def add(*rows):
+        spark.createDataFrame(rows, "sequence bigint, body string").coalesce(1).write.mode("append").parquet(source)
+
+    def late(df):
+        add((3, "late"))
+        return df
+
+    add((1, "a"), (2, "b"), (None, "x"), (None, "x"), (150, "y"))
+    ledger = I.Ledger(spark, str(tmp_path / "ledger"), 100)
+    ledger.run(2, spark.read.parquet(source), late)
+    ledger.run(1, spark.read.parquet(source))
+    add((None, "z"), (200, "w"))
+    ledger.run(7, spark.read.parquet(source))
+    ledger.run(9, spark.read.parquet(source))
+    assert ledger.committed() == [2, 1, 7, 9]
+    rows = sorted((r["sequence"] or 0, r["body"]) for r in ledger.output().collect())
+    assert rows == [(0, "x"), (0, "x"), (0, "z"), (1, "a"), (2, "b"), (3, "late"), (150, "y"), (200, "w")]
+    assert sorted(tuple(r) for r in ledger.intervals().collect()) == [(1, 3), (150, 150), (200, 200)]
+    assert not (tmp_path / "ledger/intervals/run=7").exists()
