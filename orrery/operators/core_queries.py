@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpointed, table
+from ..session import checkpointed, own_folder, table
 from . import hierarchy, incremental, nested_json, snapshots
 
 #: Journal numbers of ``jobs`` are issued in steps of 100; others may occur.
@@ -27,9 +27,15 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.paths(checkpointed(p2_hierarchy(spark, d)))
 
 
+def _indexes(spark: SparkSession) -> tuple[snapshots.OrdinalIndex, snapshots.OrdinalIndex]:
+    folder = own_folder(spark, "ordinals")
+    return snapshots.OrdinalIndex(spark, f"{folder}/inventory"), snapshots.OrdinalIndex(spark, f"{folder}/comparison")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.inventory_deltas(table(spark, d, "inventory"), table(spark, d, "seals")).unionByName(
-        snapshots.comparison_deltas(table(spark, d, "comparison_rows")))
+    first, second = _indexes(spark)
+    return snapshots.inventory_deltas(table(spark, d, "inventory"), table(spark, d, "seals"), first).unionByName(
+        snapshots.comparison_deltas(table(spark, d, "comparison_rows"), second))
 
 
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:

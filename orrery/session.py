@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +14,50 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, which the cluster names in
+    ``spark.checkpoint.dir``.  Only on one machine (local master), where that is
+    unset, a temporary folder takes its place."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the application ends."""
+    folder = f"{shared_folder(spark)}/orrery-{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only
-    where that is unset (tests on one machine) a temporary folder is used.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="orrery-checkpoint-"))
-    spark, out = df.sparkSession, df.checkpoint(eager=True)
-    # A checkpoint keeps the size that was estimated for its plan.  In a loop of
-    # joins the estimates multiply until they overflow, so the rows are wrapped
-    # anew, without one; adaptive execution goes by the real sizes.
-    rows = out._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, out._jdf.schema(), False), spark)
+    """Cut the lineage of ``df``: a table written to the shared folder and read
+    again.  What is read has the size of its files, so the optimizer can choose
+    joins by it, a lost executor costs nothing that was written, and columns
+    that are not used are not read."""
+    folder = own_folder(df.sparkSession, "table")
+    df.write.mode("overwrite").parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._orrery_folder = folder
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Remove the tables of finished rounds; frames without one are left."""
+    for df in frames:
+        folder = getattr(df, "_orrery_folder", None)
+        if folder:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
