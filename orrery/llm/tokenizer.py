@@ -40,6 +40,7 @@ ASCII_PATTERN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\
 
 MAX_WORDS = 400_000
 MAX_KEPT = 96
+MAX_IDS = 8_000_000
 NEVER = np.int64(1 << 60)
 
 
@@ -101,6 +102,8 @@ class Vocabulary:
         self.lengths = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.int32)
         self.count = self.used = 0
+        #: entries and ids that stay; behind them lie the long words of one call
+        self.kept = (0, 0)
 
     # -- the boundary test ---------------------------------------------------
     def separate(self, a, b, until_a=None, until_b=None) -> np.ndarray:
@@ -217,13 +220,20 @@ class Vocabulary:
 
     def codes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Memo entries of all words, and the number of words of each text."""
-        if self.count > MAX_WORDS:
+        self.count, self.used = self.kept
+        if self.count > MAX_WORDS or self.used > MAX_IDS:
             self.reset()
+        if len(self.flat) > 2 * MAX_IDS:
+            self.flat = self.flat[: 2 * MAX_IDS].copy()
         words = [self.cut(t) if t else [] for t in texts]
         known = self.words
         new = list({w for ws in words for w in set(ws) if w not in known})
-        if new:
-            self.learn(new)
+        short = [w for w in new if len(w) <= MAX_KEPT]
+        if short:
+            self.learn(short)
+        self.kept = self.count, self.used
+        if len(short) < len(new):
+            self.learn([w for w in new if len(w) > MAX_KEPT])
         counts = np.fromiter(map(len, words), np.int64, len(words))
         total = int(counts.sum())
         codes = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, total)

@@ -67,6 +67,19 @@ def test_memo_is_bounded(encoding, monkeypatch):
         assert encode([t]) == [encoding.encode_ordinary(t)]
 
 
+def test_memory_of_long_words_is_given_back(encoding, monkeypatch):
+    v = K.vocabulary()
+    v.reset()
+    monkeypatch.setattr(K, "MAX_IDS", 50_000)
+    for k in range(30):
+        t = f"{k} short " + "xyz" * 20_000 + f"q{k}"
+        assert encode([t]) == [encoding.encode_ordinary(t)]
+        assert v.kept[1] < 1000 and len(v.flat) <= max(1 << 18, 4 * 50_000)
+    for k in range(3000):
+        encode([f"{'word' * 20}{k}"])
+        assert v.kept[1] <= 50_000 + 100
+
+
 def test_operator(spark):
     rows = [(1, "a b", 0), (2, None, 0), (3, "", 0), (4, "<|endoftext|>", 0), (1, "a b", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids int")
