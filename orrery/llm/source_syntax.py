@@ -14,7 +14,6 @@ parsed whole; repeated rows give repeated results (``p1_found`` is distinct by
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +40,6 @@ _parsers: dict = {}
 def parser(language: str):
     """The process-wide parser of a language (its memo tables live on)."""
     if language not in _parsers:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
         from .syntax.c import CParser
         from .syntax.data import JsonParser, XmlParser
         from .syntax.java import JavaParser
@@ -55,21 +53,7 @@ def parser(language: str):
 
 def diagnose(text: str, language: str) -> list[tuple[int, str]]:
     """All syntax errors of one text as (line, code); [] = well-formed."""
-    found = parser(language).check(text)
-    if found and language == "python" and sys.version_info[:2] == (3, 13):
-        # an exact check of what the parser rejects: nested quotes inside
-        # format strings are beyond its lexer
-        import ast
-        import warnings
-
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text)
-            return []
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            pass
-    return found
+    return parser(language).check(text)
 
 
 def _diagnose_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,7 @@ panic mode up to a synchronising token, and parsing goes on behind it.
 from __future__ import annotations
 
 import re
+import sys
 
 END = "\x03"
 BAD = "\x00"
@@ -25,6 +26,17 @@ MAX_LEXEMES = 400_000
 MAX_SHAPE_LENGTH = 600
 
 
+#: Frames of the descent that a token may need; frames of pure Python functions
+#: lie on the heap, so the limit follows the file and no depth is refused.
+FRAMES = 40
+
+
+def allow_depth(n_tokens: int) -> None:
+    need = 10_000 + FRAMES * n_tokens
+    if sys.getrecursionlimit() < need:
+        sys.setrecursionlimit(min(need, 2_000_000_000))
+
+
 class Fail(Exception):
     """A construct does not parse; ``pos`` is a token index."""
 
@@ -66,6 +78,13 @@ class Shapes(set):
             self.add(shape)
 
 
+def near(pattern: re.Pattern, s: str, i: int) -> re.Match | None:
+    """A match at ``i`` that is short enough to be remembered; what lies further
+    on is not looked at again for every statement before it."""
+    m = pattern.match(s, i, i + MAX_SHAPE_LENGTH + 100)
+    return m if m and m.end() <= i + MAX_SHAPE_LENGTH else None
+
+
 def keywords(words: str, start: int) -> dict[str, str]:
     """One class character for each word, from ``start`` on."""
     return {w: chr(start + k) for k, w in enumerate(words.split())}
@@ -86,6 +105,7 @@ class Parser:
         self.s = END
         self.errors: list[tuple[int, str]] = []
         self.kind = ""
+        self.pairs: tuple[str, dict[int, int]] = ("", {})
 
     def classes(self, text: str) -> str:
         return "".join(map(self.lexemes.__getitem__, self.token.findall(text)))
@@ -94,12 +114,11 @@ class Parser:
         """All errors of ``text`` as (line, code), in order; [] = well-formed."""
         self.errors = []
         self.s = self.classes(text) + END
+        allow_depth(len(self.s))
         try:
             self.file(0)
         except Fail as e:
             self.errors.append((e.pos, e.code))
-        except RecursionError:
-            self.errors.append((0, "NESTING_TOO_DEEP"))
         if not self.errors:
             return []
         return self.located(text)
@@ -129,8 +148,11 @@ class Parser:
         return i + 1
 
     def closing(self, i: int) -> int:
-        """Index of the bracket that closes the one at ``i``; -1 if none."""
-        s, depth = self.s, 0
+        """Index of the bracket that closes the one at ``i``; -1 if none.
+
+        Near ones are looked for; beyond that all brackets of the file are
+        matched, once."""
+        s, depth, left = self.s, 0, NEAR
         for m in BRACKETS.finditer(s, i):
             if m.group() in "([{":
                 depth += 1
@@ -138,7 +160,21 @@ class Parser:
                 depth -= 1
                 if depth == 0:
                     return m.start()
-        return -1
+            left -= 1
+            if not left:
+                break
+        else:
+            return -1
+        if self.pairs[0] is not s:
+            pairs: dict[int, int] = {}
+            held: list[int] = []
+            for m in BRACKETS.finditer(s):
+                if m.group() in "([{":
+                    held.append(m.start())
+                elif held:
+                    pairs[held.pop()] = m.start()
+            self.pairs = s, pairs
+        return self.pairs[1].get(i, -1)
 
     def recover(self, e: Fail, i: int) -> int:
         """Panic mode: record, then skip behind the next ';' or balanced
@@ -164,4 +200,6 @@ class Parser:
             i += 1
 
 
+#: Brackets that are gone through before all of a file are matched.
+NEAR = 8
 BRACKETS = re.compile(r"[()\[\]{}]")

@@ -1,16 +1,18 @@
 """C translation units before preprocessing.
 
 Directives are checked for themselves (conditionals must nest and close) and
-then taken out.  If the text of all branches together does not parse, the
-variant with the first branch of each conditional is tried.  Type names need
-no declaration, and a macro call may stand for a declaration or statement.
+then taken out.  If the text of all branches together does not parse and there
+are alternatives, variants are parsed that take one branch of each conditional:
+every branch is part of at least one variant, all variants must parse, and a
+condition has the same truth throughout a variant.  Type names need no
+declaration, and a macro call may stand for a declaration or statement.
 """
 
 from __future__ import annotations
 
 import re
 
-from .base import BAD, END, Fail, Lexemes, Parser, Shapes, keywords
+from .base import BAD, END, Fail, Lexemes, Parser, Shapes, keywords, near
 
 WORDS = """break case continue default do else enum extern for goto if return sizeof static
 struct switch typedef union while register auto _Alignof _Generic _Static_assert asm
@@ -48,6 +50,8 @@ NUMBER = re.compile(
     r"|0[xX](?:[\da-fA-F]+\.?[\da-fA-F]*|\.[\da-fA-F]+)[pP][+-]?\d+[fFlL]?"
 )
 BRANCH = re.compile(r"#\s*(\w*)")
+COMMENT = re.compile(r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/|//.*|\\\r?\n")
+DEFINED = re.compile(r"(!?)\s*defined\s*(?:\(\s*(\w+)\s*\)|(\w+))")
 
 
 def classify(x: str) -> str:
@@ -77,6 +81,85 @@ LONG = re.compile(rf"(?:[^{{}};]|\{{(?:[^{{}}]|{B0})*\}})*;")
 HEAD = re.compile(r"[^{};=]*\{")
 
 
+class Group:
+    """One conditional: its branches as [condition, start, end]."""
+
+    def __init__(self, line: int, within: list[tuple[Group, int]]):
+        self.line, self.within = line, within
+        self.branches: list[list] = []
+
+    @property
+    def last(self) -> bool:
+        """Has the branch without a condition been seen?"""
+        return self.branches[-1][0] is None
+
+    def open(self, of: tuple[str, bool] | None, at: int) -> None:
+        self.branches.append([of, at, at])
+
+    def close(self, at: int) -> None:
+        self.branches[-1][2] = at
+
+
+def condition(word: str, directive: str) -> tuple[str, bool] | None:
+    """(what must hold, whether it must be true); None of ``else``."""
+    if word == "else":
+        return None
+    text = " ".join(COMMENT.sub(" ", BRANCH.sub("", directive, count=1)).split())
+    if word.endswith("def"):
+        return text, not word.endswith("ndef")
+    m = DEFINED.fullmatch(text)
+    return (m.group(2) or m.group(3), not m.group(1)) if m else (text, True)
+
+
+def variants(text: str, groups: list[Group]) -> list[str]:
+    """Texts with one branch of each conditional (lines kept) that have every
+    branch in at least one of them; each takes in what is still missing."""
+    missing = {(k, b) for k, g in enumerate(groups) for b in range(len(g.branches))}
+    place = {id(g): k for k, g in enumerate(groups)}
+    out = []
+    while missing:
+        k, b = min(missing, key=lambda x: (x[1], x[0]))
+        chosen = {place[id(g)]: n for g, n in groups[k].within} | {k: b}
+        holds: dict[str, bool] = {}
+        for j, n in chosen.items():
+            assume(groups[j].branches, n, holds)
+        for j, g in enumerate(groups):
+            if j not in chosen:
+                chosen[j] = choose(g.branches, holds, [n for n in range(len(g.branches)) if (j, n) in missing])
+                assume(g.branches, chosen[j], holds)
+        missing -= {(j, n) for j, n in chosen.items() if all(chosen[place[id(g)]] == m for g, m in groups[j].within)}
+        cut = sorted((a, z) for j, g in enumerate(groups) for n, (_, a, z) in enumerate(g.branches) if n != chosen[j])
+        parts, at = [], 0
+        for a, z in cut:
+            if z > at:
+                parts += [text[at : max(a, at)], "\n" * text.count("\n", max(a, at), z)]
+                at = z
+        out.append("".join(parts) + text[at:])
+    return out
+
+
+def assume(branches: list[list], chosen: int, holds: dict[str, bool]) -> None:
+    """What a choice says about the conditions; -1 is no branch."""
+    for n, (of, _, _) in enumerate(branches):
+        if of is not None and (chosen < 0 or n <= chosen):
+            holds.setdefault(of[0], of[1] == (n == chosen))
+
+
+def choose(branches: list[list], holds: dict[str, bool], wanted: list[int]) -> int:
+    """The branch that the known conditions lead to; where they leave it open,
+    one that is still wanted, else the last."""
+    open_ = []
+    for n, (of, _, _) in enumerate(branches):
+        if of is None or holds.get(of[0]) == of[1]:
+            open_.append(n)
+            break
+        if of[0] not in holds:
+            open_.append(n)
+    else:
+        open_.append(-1)
+    return next((n for n in open_ if n in wanted), open_[-1])
+
+
 class CParser(Parser):
     language = "c"
     token = TOKEN
@@ -88,12 +171,10 @@ class CParser(Parser):
         if "#" not in text:
             return super().check(text)
         self.errors = []
-        problems, variants = self.directives(text)
-        found = super().check(variants[0])
-        if found and len(variants) > 1:
-            other = super().check(variants[1])
-            if not other:
-                found = []
+        problems, groups = self.directives(text)
+        found = super().check(text)
+        if found and any(len(g.branches) > 1 for g in groups):
+            found = [e for v in variants(text, groups) for e in super(CParser, self).check(v)]
         return sorted(set(problems + found))
 
     def classes(self, text: str) -> str:
@@ -111,14 +192,12 @@ class CParser(Parser):
                 last = c
         return [(1 + text.count("\n", 0, starts[p] if p < len(starts) else len(text)), code) for p, code in sorted(set(self.errors))]
 
-    def directives(self, text: str) -> tuple[list[tuple[int, str]], list[str]]:
-        """Problems of the conditionals; the text, and if there are
-        alternatives, the text with only first branches (lines kept)."""
+    def directives(self, text: str) -> tuple[list[tuple[int, str]], list[Group]]:
+        """Problems of the conditionals, and the conditionals in the order in
+        which they open."""
         problems: list[tuple[int, str]] = []
-        stack: list[list] = []  # [line, first branch?, else seen]
-        cut: list[tuple[int, int]] = []
-        skipping = -1
-        alternatives = False
+        stack: list[Group] = []
+        groups: list[Group] = []
         at, line = 0, 1
         for m in TOKEN.finditer(text):
             x = m.group(1)
@@ -129,38 +208,30 @@ class CParser(Parser):
             b = BRANCH.match(x)
             word = b.group(1) if b else ""
             if word in ("if", "ifdef", "ifndef"):
-                stack.append([line, False])
+                stack.append(Group(line, [(g, len(g.branches) - 1) for g in stack]))
+                groups.append(stack[-1])
+                stack[-1].open(condition(word, x), m.end(1))
             elif word in ("elif", "else", "elifdef", "elifndef"):
                 if not stack:
                     problems.append((line, "UNEXPECTED_DIRECTIVE"))
                     continue
-                if stack[-1][1]:
+                if stack[-1].last:
                     problems.append((line, "UNEXPECTED_DIRECTIVE"))
-                stack[-1][1] = word == "else"
-                alternatives = True
-                if skipping < 0:
-                    skipping, skip_from = len(stack), m.start(1)
+                stack[-1].close(m.start(1))
+                stack[-1].open(condition(word, x), m.end(1))
             elif word == "endif":
                 if not stack:
                     problems.append((line, "UNEXPECTED_DIRECTIVE"))
                     continue
-                if skipping == len(stack):
-                    cut.append((skip_from, m.start(1)))
-                    skipping = -1
-                stack.pop()
+                stack.pop().close(m.start(1))
             elif word not in ("define", "undef", "include", "error", "pragma", "line", "warning", "include_next", "ident", "import", "embed", ""):
                 problems.append((line, "UNKNOWN_DIRECTIVE"))
             elif word == "include" and not re.match(r"#\s*include\s*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_])", x) or word in ("define", "undef") and not re.match(r"#\s*\w+\s+[^\W\d]", x):
                 problems.append((line, "BAD_DIRECTIVE"))
-        problems += [(n, "UNTERMINATED_CONDITIONAL") for n, _ in stack]
-        variants = [text]
-        if alternatives:
-            out, i = [], 0
-            for a, b in cut:
-                out += [text[i:a], "\n" * text.count("\n", a, b)]
-                i = b
-            variants.append("".join(out) + text[i:])
-        return problems, variants
+        problems += [(g.line, "UNTERMINATED_CONDITIONAL") for g in stack]
+        for g in stack:
+            g.close(len(text))
+        return problems, groups
 
     # -- declarations --------------------------------------------------------
     def file(self, i: int) -> int:
@@ -194,7 +265,7 @@ class CParser(Parser):
         s = self.s
         if s[i] == ";":
             return i + 1
-        m = HEAD.match(s, i)
+        m = near(HEAD, s, i)
         if m and m.group() in self.heads:
             return self.block(m.end() - 1)
         start = i
@@ -468,10 +539,10 @@ class CParser(Parser):
 
     def statement(self, i: int) -> int:
         s = self.s
-        m = UNIT.match(s, i)
+        m = near(UNIT, s, i)
         if m and m.group() in self.units:
             return m.end()
-        n = LONG.match(s, i)
+        n = near(LONG, s, i)
         if n and n.group() in self.units:
             return n.end()
         before = len(self.errors)

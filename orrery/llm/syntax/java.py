@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import BAD, END, Fail, Lexemes, Parser, Shapes, keywords
+from .base import BAD, END, Fail, Lexemes, Parser, Shapes, keywords, near
 
 WORDS = """abstract assert break case catch class continue default do else enum extends final
 finally for if implements import instanceof interface native new package private protected
@@ -295,10 +295,10 @@ class JavaParser(Parser):
 
     def member(self, i: int) -> int:
         s = self.s
-        m = HEAD.match(s, i)
+        m = near(HEAD, s, i)
         if m and m.group() in self.heads:
             return self.block(m.end() - 1)
-        m = UNIT.match(s, i)
+        m = near(UNIT, s, i)
         if m and m.group() in self.fields:
             return m.end()
         start, before = i, len(self.errors)
@@ -465,17 +465,17 @@ class JavaParser(Parser):
 
     def statement(self, i: int) -> int:
         s = self.s
-        m = UNIT.match(s, i)
+        m = near(UNIT, s, i)
         if m:
             if m.group() in self.units:
                 return m.end()
-            n = LONG.match(s, i)
+            n = near(LONG, s, i)
             if n and n.group() in self.units:
                 return n.end()
         before = len(self.errors)
         j = self.real_statement(i)
         if before == len(self.errors):
-            if m and j == m.end() or m and (n := LONG.match(s, i)) and j == n.end():
+            if m and j == m.end() or m and (n := near(LONG, s, i)) and j == n.end():
                 self.units.learn(s[i:j])
         return j
 

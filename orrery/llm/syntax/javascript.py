@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .base import BAD, END, Fail, Lexemes, Parser, Shapes, keywords
+from .base import BAD, END, Fail, Lexemes, Parser, Shapes, keywords, near
 
 WORDS = """break case catch class const continue debugger default delete do else export extends
 finally for function if import in instanceof new return super switch this throw try typeof
@@ -265,10 +265,10 @@ class JavaScriptParser(Parser):
     def statement(self, i: int) -> int:
         s = self.s
         if not (self.generator or self.asynchronous or self.no_in):
-            m = UNIT.match(s, i)
+            m = near(UNIT, s, i)
             if m and m.group() in self.units:
                 return m.end()
-            n = LONG.match(s, i)
+            n = near(LONG, s, i)
             if n and n.group() in self.units:
                 return n.end()
             before = len(self.errors)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from .base import BAD, END, Fail, Lexemes, Parser, keywords
+from .base import BAD, END, Fail, Lexemes, Parser, allow_depth, keywords
 
 WORDS = """and as assert async await break class continue def del elif else except finally for from
 global if import in is lambda nonlocal not or pass raise return try while with yield"""
@@ -147,13 +147,127 @@ def expression_parses(text: str) -> bool:
     p = PythonParser()
     s = "".join(map(p.lexemes.__getitem__, TOKEN.findall(text)))
     p.s = BREAKS.sub("", s) + END
+    allow_depth(len(p.s))
     try:
         i = p.yielded(0) if p.s[0] == K["yield"] else p.expressions(0)
         return p.s[i] == END
-    except (Fail, RecursionError):
+    except Fail:
         return False
 
 
+def plain_formats(text: str) -> str:
+    """The text with its well-formed format strings replaced by plain strings of
+    their size: where fields hold quotes of the string's own kind, line breaks or
+    comments, the regular lexer ends the string too early."""
+    parts, at, i = [], 0, 0
+    while True:
+        m = QUOTED.search(text, i)
+        if not m:
+            return "".join(parts) + text[at:]
+        prefix, quote = m.group(1), m.group(2)
+        if quote is None:
+            i = m.end()
+        elif "f" not in prefix.lower():
+            i = closed(text, m.end(), quote)
+        else:
+            i = formatted_end(text, m.end(), quote, "r" in prefix.lower())
+            if i > m.start() + 6:
+                inner = re.sub(r"[^\r\n]", " ", text[m.start() + 3 : i - 3])
+                parts += [text[at : m.start()], "\"\"\"", inner, "\"\"\""]
+                at = i
+        i = i if i > 0 else m.end()
+
+
+def closed(text: str, i: int, quote: str) -> int:
+    """Behind the end of a string without fields; -1 if it has none."""
+    m = re.compile(rf"(?:[^\\{quote[0]}{chr(92) + 'r' + chr(92) + 'n' if len(quote) == 1 else ''}]|\\(?:\r\n|[\s\S])|(?!{quote}){quote[0]})*{quote}").match(text, i)
+    return m.end() if m else -1
+
+
+def formatted_end(text: str, i: int, quote: str, raw: bool) -> int:
+    """Behind the end of a format string; -1 if it is malformed."""
+    n = len(text)
+    while i < n:
+        c = text[i]
+        if text.startswith(quote, i):
+            return i + len(quote)
+        if c == "\\" and not raw and text.startswith("\\N{", i):
+            i = text.find("}", i) + 1 or n
+        elif c == "\\" and text[i + 1 : i + 2] not in ("{", "}"):
+            i += 2
+        elif c == "\\":
+            i += 1
+        elif c in "{}":
+            if text.startswith(c, i + 1):
+                i += 2
+            elif c == "}":
+                return -1
+            else:
+                i = field_end(text, i + 1, quote, raw)
+                if i < 0:
+                    return -1
+        elif c in "\r\n" and len(quote) == 1:
+            return -1
+        else:
+            i += 1
+    return -1
+
+
+def field_end(text: str, i: int, quote: str, raw: bool) -> int:
+    """Behind the brace that ends a replacement field; -1 if malformed."""
+    start, depth, n = i, 0, len(text)
+    while i < n:
+        c = text[i]
+        m = QUOTED.match(text, i)
+        if m:
+            if m.group(2) is None:
+                i = m.end()
+            elif "f" in m.group(1).lower():
+                i = formatted_end(text, m.end(), m.group(2), "r" in m.group(1).lower())
+            else:
+                i = closed(text, m.end(), m.group(2))
+            if i < 0:
+                return -1
+            continue
+        if c in "([{":
+            depth += 1
+        elif c in ")]}" and depth:
+            depth -= 1
+        elif depth == 0 and (c in "}:" or c == "!" and text[i + 1 : i + 2] != "=" or c == "=" and text[i + 1 : i + 2] != "=" and text[i - 1] not in "=!<>"):
+            break
+        m = WORD.match(text, i)
+        i = m.end() if m else i + 1
+    inner = plain_formats(text[start:i]).strip()
+    if i >= n or not inner or not expression_parses(inner):
+        return -1
+    if text[i] == "=":
+        i += 1
+        while text[i : i + 1] in (" ", "\t"):
+            i += 1
+    if text[i : i + 1] == "!":
+        if text[i + 1 : i + 2] not in tuple("sra"):
+            return -1
+        i += 2
+    if text[i : i + 1] == ":":
+        i += 1
+        while i < n and text[i] != "}":
+            if text[i] == "{":
+                i = field_end(text, i + 1, quote, raw)
+                if i < 0:
+                    return -1
+            elif text.startswith(quote, i):
+                return -1
+            else:
+                i += 1
+    return i + 1 if text[i : i + 1] == "}" else -1
+
+
+#: A comment, or the beginning of a string.
+QUOTED = re.compile(r"#[^\r\n]*|(?<!\w)([rR][bBfF]|[bBfF][rR]|[rRbBuUfF]|)('{3}|\"{3}|'|\")")
+WORD = re.compile(r"\w+")
+FORMAT = re.compile(r"(?:^|\W)(?:[rR][fF]|[fF][rR]?)[\"']")
+
+
 BREAKS = re.compile(f"[{chr(BREAK)}-{chr(BREAK + WIDEST)}]")
 PARTS = re.compile(f"([{chr(BREAK)}-{chr(BREAK + WIDEST)}])")
 BINARY = {K["or"]: 1, K["and"]: 2, "<": 4, K["in"]: 4, K["is"]: 4, K["not"]: 4, "|": 5, "^": 6, "&": 7, "L": 8, "+": 9, "*": 10, "/": 10, "@": 10}
@@ -171,6 +285,14 @@ class PythonParser(Parser):
     nets: dict[str, int] = {}
 
     def check(self, text: str) -> list[tuple[int, str]]:
+        found = self.module(text)
+        if found and FORMAT.search(text):
+            plain = plain_formats(text)
+            if plain != text:
+                return min(self.module(plain), found, key=len)
+        return found
+
+    def module(self, text: str) -> list[tuple[int, str]]:
         self.errors = []
         if text.startswith("\ufeff"):
             text = text[1:]
@@ -178,6 +300,7 @@ class PythonParser(Parser):
             return [(1 + text.count("\n", 0, text.index("\0")), "INVALID_TOKEN")]
         s = self.classes("\n" + text)  # the first line's indentation becomes a break, too
         whole = s
+        allow_depth(len(s))
         lines, offset, depth = [], 0, 0  # (column, kind, token offset, shape)
         parts = PARTS.split(s)
         offset = len(parts[0])
@@ -214,13 +337,10 @@ class PythonParser(Parser):
             self.errors.append((offset, "UNEXPECTED_END"))
         lines.append((-1, "", offset))
         self.lines = lines
-        try:
-            if len(lines) > 1:
-                if lines[0][0] > 0:
-                    self.errors.append((lines[0][2], "UNEXPECTED_INDENT"))
-                self.block(0, lines[0][0])
-        except RecursionError:
-            self.errors.append((0, "NESTING_TOO_DEEP"))
+        if len(lines) > 1:
+            if lines[0][0] > 0:
+                self.errors.append((lines[0][2], "UNEXPECTED_INDENT"))
+            self.block(0, lines[0][0])
         if not self.errors:
             if "\t" in text and self.mixed_tabs(text):
                 return [(1, "INCONSISTENT_TABS")]
@@ -362,9 +482,6 @@ class PythonParser(Parser):
             # panic mode: a line that looks like a header still opens a block
             c = shape[1] if shape[0] == K["async"] and len(shape) > 1 else shape[0]
             return "?" if shape[-1] != ":" or c not in HEADS else HEADS[c]
-        except RecursionError:
-            self.errors.append((at, "NESTING_TOO_DEEP"))
-            return "?"
 
     def logical(self, i: int) -> str:
         s = self.s

@@ -4,6 +4,7 @@ from the standard library, and the diagnosis operator."""
 import ast
 import json
 import random
+import time
 import warnings
 import xml.parsers.expat as expat
 
@@ -138,6 +139,58 @@ def test_very_long_and_deep_texts():
     assert S.diagnose("[" * 3000 + "]" * 3000, "json") == []
     assert S.diagnose("<a>" * 50_000 + "</a>" * 50_000, "xml") == []
     assert S.diagnose("[" * 200_000, "json") != []
+    assert S.diagnose("[" * 200_000 + "]" * 200_000, "json") == []
+
+
+DEEP = {
+    "javascript": ("x=" + "(" * 10_000 + "a" + ")" * 10_000, "{" * 10_000 + "}" * 10_000, "x=" + "a?b:" * 10_000 + "1"),
+    "c": ("int x=" + "(" * 10_000 + "1" + ")" * 10_000 + ";", "int f(void){" + "{" * 10_000 + "}" * 10_000 + "}", "int f(void){" + "if(x)" * 10_000 + ";}"),
+    "java": ("class A{int x=" + "(" * 10_000 + "1" + ")" * 10_000 + ";}", "class A{void f(){" + "{" * 10_000 + "}" * 10_000 + "}}"),
+    "python": ("x=" + "(" * 10_000 + "a" + ")" * 10_000 + "\n", "".join(" " * k + "if x:\n" for k in range(300)) + " " * 300 + "y\n"),
+}
+
+
+@pytest.mark.parametrize("language,text", [(g, t) for g, ts in DEEP.items() for t in ts])
+def test_depth_is_not_bounded_and_linear(language, text):
+    S.diagnose("", language)
+    began = time.time()
+    assert S.diagnose(text, language) == []
+    assert time.time() - began < 3
+    assert S.diagnose(text[:-2], language) != [] or language == "python"
+
+
+BRANCHES = [
+    (True, "#ifdef A\nint f(void){\n#else\nint f(int x) {\n#endif\n return 0;}\n"),
+    (False, "#ifdef A\nint x;\n#else\nint = ;\n#endif\n"),
+    (False, "#ifdef A\nint f(void){return 0;}\n#else\nint f(void){\n#endif\n"),
+    (False, "#ifdef A\nint x;\n#else\nstruct S { int a\n#endif\n"),
+    (False, "#ifdef A\nint = ;\n#else\nint x;\n#endif\n"),
+    (False, "#ifdef A\n#ifdef B\nint f(void){\n#else\nint g(int {\n#endif\n#else\nint h(void){\n#endif\n }\n"),
+    # a condition has one truth in a variant
+    (True, "void f(void){\n#ifdef A\n if (x) {\n#else\n#endif\n y();\n#if defined(A)\n }\n#endif\n}\n"),
+    (True, "void f(void){\n#if defined(A)\n if (x) {\n#elif defined(B)\n while (y) {{\n#else\n {{{ \n#endif\n y();\n#ifdef A\n }\n#elif defined B\n }}\n#else\n }}}\n#endif\n}\n"),
+    (True, "#ifndef A\nint f(void){\n#else\nint g(void) {\n#endif\n#ifdef A\n x; }\n#else\n y; }\n#endif\n"),
+    (True, "#if A\nvoid f(int x) {\n#else\nint f(void) {\n#endif\n ;\n#ifdef B\n int z;\n#elif C\n int q;\n#else\n#endif\n}\n"),
+]
+
+
+@pytest.mark.parametrize("valid,text", BRANCHES)
+def test_every_branch_of_a_conditional_is_parsed(valid, text):
+    assert (S.diagnose(text, "c") == []) == valid
+
+
+FORMATS = ['x = f"{a["b"]}"\n', "x = f'{a['b']!r:>{w['z']}}' 'y'\n", 'x = f"{f"{f"{1}"}"}"\n', 'f"""{\n a # c\n}"""\n', 'x = f"{a[\n"b"]}"\n', 'x = f"{"a" "b" ,}"\n', 'x = f"{a["b"}"\n', 'x=f"{a["b"]}" y\n', 'x = rf"\\{a["b"]}"\n', "s = 'f\"{' + \"x\"\n",
+           'print(f"{x}", "a")\nz = f"{d["k"]:{"w"}}"\n', 'x = f"{a["b"]"\n', "x = f'{'\n'}'\n", 'x = f"{\'a\' + "b" + c(d="e")}" + f"{"}"}"\n']
+
+
+@pytest.mark.parametrize("text", FORMATS)
+def test_nested_format_strings_agree_with_the_interpreter(text):
+    try:
+        ast.parse(text)
+        valid = True
+    except SyntaxError:
+        valid = False
+    assert (S.diagnose(text, "python") == []) == valid
 
 
 ROWS = [(1, "class A {", "java", "r", 9, "a/A.JAVA"), (2, None, None, "r", None, "a/B.java"), (3, "", None, "r", 0, "a/C.java"), (4, "x", "en", None, 1, "d.txt"), (5, "{}", "java", None, 2, "noext"), (6, " ", None, "q", 1, "e.json"), (7, "x = 1", "java", "q", 5, "f.Py"), (8, "\n", None, "q", 1, "g.c")]
