@@ -42,15 +42,11 @@ def p7_fill_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return text_quality.not_prose(_measured(spark, d))
+    return text_quality.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
 def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return text_quality.statistics(_measured(spark, d))
-
-
-def _measured(spark: SparkSession, d: str) -> DataFrame:
-    return text_quality.measure_documents(table(spark, d, "documents"), table(spark, d, "common_words"))
+    return text_quality.statistics(text_quality.measure_documents(table(spark, d, "documents"), table(spark, d, "common_words")))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -1,16 +1,17 @@
 """Problem 8: per-document text quality statistics.
 
 Every text file gets a vector of statistics.  For each language the location
-and scatter of *prose* are estimated robustly from the corpus (concentration
-steps: sums and cross products of the documents nearest to the current
-estimate, all documents considered in every step), and each document gets its
-Mahalanobis distance with the contribution of every statistic.  Documents
-beyond the distance are candidates; the exact check that follows looks what
-the larger share of their characters is: prose, list, table or junk.
-
-Statistics are computed in one Arrow pass per document; the estimate needs
-one aggregation per step to (languages x statistics^2) numbers, whatever the
-corpus.  No text is shuffled.
+and scatter of *prose* are estimated robustly from the corpus: medians and
+median deviations of all documents first, then concentration steps (sums and
+cross products of the documents near to the current estimate, all documents
+considered in every step).  Each document gets its Mahalanobis distance with the
+contribution of every statistic.  Documents that are not among the nearest are
+candidates, and only they are read again for the exact check: what the larger
+share of their characters is, prose, list, table or junk.
+
+Statistics take one Arrow pass over the texts, the check another; the estimate
+is made by JVM aggregates over the statistics alone, one to (languages x
+statistics^2) numbers per step, whatever the corpus.  No text is shuffled.
 
 Defined results: null, empty and blank texts give no row; a text without
 words has mean word length 0 and no common words; ties of two forms go to the
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,22 +31,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import checkpointed, spread
 
 EXTENSIONS = r"(?i)\.(md|txt|rst|adoc)$"
 #: The statistics, in the order of the vectors.
 STATISTICS = (
     "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "punctuated_lines", "common_share",
-    "distinct_ratio", "words_per_line", "list_share", "table_share", "junk_share",
+    "distinct_ratio", "words_per_line", "marked_lines", "cells_per_line", "long_tokens", "letter_entropy",
 )
 #: Least standard deviations: differences below these mean nothing.
-FLOOR = (1.5, 0.6, 0.03, 0.02, 0.5, 0.08, 0.2, 8.0, 0.1, 0.1, 0.08)
+FLOOR = (1.5, 0.6, 0.03, 0.02, 0.5, 0.08, 0.2, 8.0, 0.1, 0.3, 0.02, 0.3)
 #: A language needs this many documents for an estimate of its own.
 LEAST_DOCUMENTS = 50
-#: Squared distance beyond which a document is a candidate: the 0.95 quantile
-#: of chi-square for the 11 statistics.
-BEYOND = 19.68
-STEPS = 3
+#: Squared distances: the 0.95 and 0.10 quantiles of chi-square for the 12
+#: statistics.  Documents within the first make the next estimate; documents
+#: beyond the second are candidates, so prose has to be as near as the nearest
+#: tenth of prose to pass unread.
+BEYOND = 21.03
+CANDIDATE = 6.30
+STEPS = 5
 #: The word list comes to the driver; a longer one is refused.
 MAX_COMMON_WORDS = 200_000
 
@@ -58,7 +63,10 @@ FULL_STOP = re.compile(r"[.!?…。！？](?:[\"”’)»*_`]*)\s*$")
 HEX = re.compile(r"\s*[0-9a-fA-F]{6,}[:\s]+(?:[0-9a-fA-F]{2,8}\s*){4,}")
 RUN = re.compile(r"\S{25,}")
 STRAY = re.compile(r"[^\W\d_][.,;!?¿¡][^\W\d_]|\s[.,;!?][^\W\d_]")
+#: What a line of prose may begin with, besides a letter.
+OPENING = "\"'“‘„«»¿¡("
 SEPARATORS = (" · ", "; ", ", ", " | ", " / ", " • ", " – ", " - ", " > ", " → ", " * ")
+SENTENCE = re.compile(r"(?:(?<=[.!?]\s)|(?<![\s\S]))\s*[A-ZÄÖÜÁÉÍÓÚÑ¿¡][^.!?\n]*(?:\n[^.!?\n]+)*[.!?](?=\s|$)")
 QUOTE = re.compile(r"\s*(?:>\s?)+")
 
 
@@ -162,7 +170,13 @@ def broken(words: list[str], lowered: list[str], text: str, common: frozenset[st
         return True
     if share < 0.36 and len(STRAY.findall(text)) >= max(2, 0.02 * n):
         return True  # punctuation inside the words
-    return share < 0.16
+    return share < 0.16 and not sentences(text)
+
+
+def sentences(text: str) -> bool:
+    """Most of the text stands in sentences: a capital, some words, a stop."""
+    found = [x for x in SENTENCE.findall(text) if 3 <= len(x.split()) <= 60]
+    return sum(map(len, found)) >= 0.7 * len(text.strip())
 
 
 def enumerated(text: str, share: float) -> bool:
@@ -266,105 +280,125 @@ def forms(text: str, common: frozenset[str]) -> tuple[int, int, int, int]:
     return prose, listed, table, junk
 
 
-def describe(text: str, common: dict[str, frozenset[str]]) -> tuple[str, list[float], tuple[int, int, int, int]]:
-    """(language by its common words, statistics, characters by form)."""
-    words = WORD.findall(text)
-    lowered = [w.lower() for w in words]
+def describe(text: str, common: dict[str, frozenset[str]]) -> tuple[str, list[float]]:
+    """(language by its common words, statistics)."""
+    words = WORD.findall(text.lower())
+    counts = Counter(words)
     best, hits = "", -1
-    counts: dict[str, int] = {}
-    for w in lowered:
-        counts[w] = counts.get(w, 0) + 1
     for lang in sorted(common):
-        h = sum(c for w, c in counts.items() if w in common[lang])
+        h = sum(map(counts.__getitem__, common[lang]))
         if h > hits:
             best, hits = lang, h
-    known = common.get(best, frozenset())
-    lines = [x for x in text.splitlines() if x.strip()]
-    n_chars = sum(len(x.strip()) for x in lines)
-    n = len(words)
-    letters = sum(map(len, words))
-    digits = sum(map(str.isdigit, text))
-    spaces = sum(map(str.isspace, text))
-    solid = max(1, len(text) - spaces)
-    share = forms(text, known)
-    whole = max(1, sum(share))
-    stats = [
+    lines = [y for x in text.splitlines() if (y := x.strip())]
+    m, n = max(1, len(lines)), len(words)
+    joined = "".join(words)
+    digits = sum(map(text.count, "0123456789")) if text.isascii() else sum(map(str.isdigit, text))
+    solid = max(1, len("".join(text.split())))
+    letters = Counter(joined).values()
+    total = sum(letters)
+    return best, [
         math.log1p(n),
-        letters / n if n else 0.0,
-        max(0, solid - letters - digits) / solid,
+        len(joined) / n if n else 0.0,
+        max(0, solid - len(joined) - digits) / solid,
         digits / solid,
-        sum(bool(SENTENCE_END.search(x)) for x in lines) / max(1, len(lines)),
-        hits / n if n else 0.0,
+        sum(bool(SENTENCE_END.search(x)) for x in lines) / m,
+        max(0, hits) / n if n else 0.0,
         min(1.0, len(counts) / (n**0.75)) if n else 0.0,
-        min(40.0, n / max(1, len(lines))),
-        share[1] / whole, share[2] / whole, share[3] / whole,
+        min(40.0, n / m),
+        sum(not (x[0].isalpha() or x[0] in OPENING) for x in lines) / m,
+        min(20.0, (text.count("|") + text.count(";") + (len(GAPS.findall(text)) if "\t" in text or "  " in text else 0)) / m),
+        sum(map(len, RUN.findall(text))) / solid,
+        -sum(c / total * math.log2(c / total) for c in letters),
     ]
-    return best, stats, share if n_chars else (0, 0, 0, 0)
 
 
 # -- distributed part ----------------------------------------------------------
-DESCRIBED = "doc_id bigint, language string, stats array<double>, prose bigint, listed bigint, tabled bigint, junk bigint"
+S = [f"s{k}" for k in range(len(STATISTICS))]
+DESCRIBED = "doc_id bigint, language string, " + ", ".join(f"{c} double" for c in S)
+#: language -> (mean, inverse scatter)
+Model = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
-def describe_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """One row per text file that is not blank: statistics and characters by
-    form.  ``language`` is the recorded one if the word list knows it, else the
-    one whose common words occur most."""
-    spark = documents.sparkSession
+def _texts(documents: DataFrame) -> DataFrame:
+    texts = documents.select("doc_id", "lang", "text", "path").where(
+        F.col("path").rlike(EXTENSIONS) & F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", "lang", "text")
+    return spread(texts, "doc_id")
+
+
+def _known(words: DataFrame):
     rows = words.select("lang", "word").distinct().limit(MAX_COMMON_WORDS + 1).collect()
     if len(rows) > MAX_COMMON_WORDS:
         raise ValueError(f"more than {MAX_COMMON_WORDS} common words")
-    known = spark.sparkContext.broadcast(common_words([(r[0], r[1]) for r in rows]))
+    return words.sparkSession.sparkContext.broadcast(common_words([(r[0], r[1]) for r in rows]))
+
+
+def _vectors(batch: pa.RecordBatch, common: dict[str, frozenset[str]]) -> tuple[list, list[str], np.ndarray, list[tuple[str, str]]]:
+    """(ids, languages, statistics, texts with the language of their words) of
+    the texts that are not blank.
+
+    The language is the recorded one if the word list knows it, else the one
+    whose common words occur most."""
+    ids, languages, stats, texts = [], [], [], []
+    for i, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        if not text.strip():
+            continue
+        found, x = describe(text, common)
+        ids.append(i)
+        languages.append(lang if lang in common else found)
+        stats.append(x)
+        texts.append((text, found))
+    return ids, languages, np.array(stats, float).reshape(-1, len(STATISTICS)), texts
+
+
+def describe_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
+    """One row per text file that is not blank: language and statistics."""
+    known = _known(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = known.value
         for batch in batches:
-            ids, langs, stats, shares = [], [], [], []
-            for i, lang, text in zip(batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if not text.strip():
-                    continue
-                found, s, f = describe(text, common)
-                ids.append(i)
-                langs.append(lang if lang in common else found)
-                stats.append(s)
-                shares.append(f)
-            columns = list(zip(*shares, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(stats, pa.list_(pa.float64())), *(pa.array(c, pa.int64()) for c in columns)],
-                names=["doc_id", "language", "stats", "prose", "listed", "tabled", "junk"])
+            ids, languages, x, _ = _vectors(batch, known.value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(languages, pa.string()), *(pa.array(c) for c in x.T)], names=["doc_id", "language", *S])
 
-    texts = documents.select("doc_id", "lang", "text", "path").where(
-        F.col("path").rlike(EXTENSIONS) & F.col("text").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", "lang", "text")
-    return spread(texts, "doc_id").mapInArrow(run, DESCRIBED)
+    return _texts(documents).mapInArrow(run, DESCRIBED)
 
 
-def moments(described: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """Per language: documents, sums and cross products of the statistics."""
+def start(described: DataFrame) -> Model:
+    """Medians and median deviations of each language, and of all ("")."""
+    both = described.unionByName(described.withColumn("language", F.lit("")))
+    rows = both.groupBy("language").agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5).alias(c) for c in S]).collect()
+    if not rows:
+        return {}
+    middle = {r["language"]: np.array([r[c] for c in S]) for r in rows if r["n"] >= LEAST_DOCUMENTS or not r["language"]}
+    middle = {r["language"]: middle.get(r["language"], middle[""]) for r in rows}
+    table = _table(described, {n: (m, np.zeros((0, 0))) for n, m in middle.items()})
+    rows = both.join(table, "language").groupBy("language").agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"m{k}")), 0.5).alias(c) for k, c in enumerate(S)]).collect()
+    # 1.4826: a normal distribution's deviation by its median deviation
+    return {r["language"]: (middle[r["language"]], np.diag(1 / np.square(np.maximum(FLOOR, 1.4826 * np.array([r[c] for c in S]))))) for r in rows}
+
+
+def _table(described: DataFrame, model: Model) -> DataFrame:
+    """The model as a table: one row for each language of the word list."""
     k = len(STATISTICS)
-    width = 1 + k + k * k
+    rows = [(n, *map(float, mean), *map(float, inverse.ravel())) for n, (mean, inverse) in model.items()]
+    names = [f"m{i}" for i in range(k)] + [f"p{i}_{j}" for i in range(k) for j in range(k)][: len(rows[0]) - 1 - k]
+    return F.broadcast(described.sparkSession.createDataFrame(rows, "language string, " + ", ".join(f"{n} double" for n in names)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column("stats").to_pylist(), float).reshape(-1, k)
-            names = np.array([n or "" for n in batch.column("language").to_pylist()])
-            out = []
-            for n in sorted(set(names.tolist())):
-                y = x[names == n]
-                out.append((n, np.concatenate([[len(y)], y.sum(0), (y.T @ y).ravel()]).tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out]), pa.array([o[1] for o in out], pa.list_(pa.float64()))], names=["language", "m"])
-
-    parts = described.select("language", "stats").mapInArrow(run, "language string, m array<double>")
-    rows = parts.groupBy("language").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(width)]).alias("m")).collect()
+
+def moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """Per language: documents, sums and cross products of the statistics."""
+    k = len(STATISTICS)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    found = rows.groupBy("language").agg(F.count("*"), *[F.sum(c) for c in S], *[F.sum(F.col(S[i]) * F.col(S[j])) for i, j in pairs]).collect()
     out = {}
-    for r in rows:
-        m = np.array(r["m"])
-        out[r["language"]] = (m[0], m[1 : 1 + k], m[1 + k :].reshape(k, k))
+    for r in found:
+        products = np.zeros((k, k))
+        for (i, j), x in zip(pairs, r[2 + k :], strict=True):
+            products[i, j] = products[j, i] = x
+        out[r[0]] = float(r[1]), np.array(r[2 : 2 + k], float), products
     return out
 
 
-def estimate(m: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def estimate(m: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> Model:
     """Mean and inverse scatter per language; "" is the estimate of all."""
     k = len(STATISTICS)
     floor = np.square(np.array(FLOOR))
@@ -383,59 +417,80 @@ def estimate(m: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> dict[str, tu
     return out
 
 
-def measure(described: DataFrame, model: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Squared distance and every statistic's contribution to it."""
-    from pyspark.sql import types as T
+def measure(described: DataFrame, model: Model) -> DataFrame:
+    """Squared distance ``distance`` and every statistic's contribution
+    ``c0``... to it."""
+    k = len(STATISTICS)
+    if not model:
+        return described.select("*", *[F.lit(0.0).alias(f"c{i}") for i in range(k)], F.lit(0.0).alias("distance")).limit(0)
+    held = described.join(_table(described, model), "language")
+    held = held.select(*described.columns, *[(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(S)], *[f"p{i}_{j}" for i in range(k) for j in range(k)])
+    parts = [F.col(f"d{i}") * sum((F.col(f"p{i}_{j}") * F.col(f"d{j}") for j in range(1, k)), F.col(f"p{i}_0") * F.col("d0")) for i in range(k)]
+    out = held.select(*described.columns, *[p.alias(f"c{i}") for i, p in enumerate(parts)])
+    return out.withColumn("distance", sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(STATISTICS)
-        for batch in batches:
-            x = np.array(batch.column("stats").to_pylist(), float).reshape(-1, k)
-            names = np.array([n if n in model else "" for n in batch.column("language").to_pylist()], dtype=object)
-            parts = np.zeros_like(x)
-            for n in set(names.tolist()):
-                mean, inverse = model[n]
-                d = x[names == n] - mean
-                parts[names == n] = d * (d @ inverse)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(parts.sum(1), pa.float64()), pa.array(list(parts), pa.list_(pa.float64()))],
-                names=[*batch.schema.names, "distance", "contributions"])
 
-    schema = T.StructType([*described.schema.fields, T.StructField("distance", T.DoubleType()), T.StructField("contributions", T.ArrayType(T.DoubleType()))])
-    return described.mapInArrow(run, schema)
+def fit(described: DataFrame) -> Model:
+    """Robust mean and inverse scatter of prose by language: from medians and
+    median deviations, then from all documents near to the estimate."""
+    model = start(described)
+    for _ in range(STEPS if model else 0):
+        new = estimate(moments(measure(described, model).where(F.col("distance") <= BEYOND)))
+        model = {n: new.get(n, new[""]) for n in model}
+    return model
 
 
 def measure_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """Statistics, robust distance and contributions of every text file.
+    """Statistics, robust distance and contributions of every text file."""
+    described = checkpointed(describe_documents(documents, words))
+    return measure(described, fit(described))
 
-    The first estimate is made from documents whose characters are mostly
-    prose; every further step from all documents near to the estimate."""
-    from ..session import checkpointed
 
-    described = checkpointed(describe_documents(documents, words))
-    whole = F.col("prose") + F.col("listed") + F.col("tabled") + F.col("junk")
-    model = estimate(moments(described.where(F.col("prose") >= 0.9 * whole)))
-    for _ in range(STEPS):
-        model = estimate(moments(measure(described, model).where(F.col("distance") <= BEYOND)))
-    return measure(described, model)
+CHECKED = "doc_id bigint, distance double, prose bigint, listed bigint, tabled bigint, junk bigint"
+
+
+def check_candidates(documents: DataFrame, words: DataFrame, model: Model, beyond: float = CANDIDATE) -> DataFrame:
+    """Characters by form of the documents beyond the distance, and of no
+    others.  Statistics are computed once more where the texts are, so neither
+    ids nor texts are moved."""
+    known = _known(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, languages, x, texts = _vectors(batch, known.value)
+            distance = np.zeros(len(ids))
+            names = np.array(languages, dtype=object)
+            for n in set(languages):
+                mean, inverse = model[n]
+                d = x[names == n] - mean
+                distance[names == n] = (d * (d @ inverse)).sum(1)
+            at = np.flatnonzero(distance > beyond).tolist()
+            shares = [forms(text, known.value.get(found, frozenset())) for text, found in map(texts.__getitem__, at)]
+            columns = list(zip(*shares, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[k] for k in at], pa.int64()), pa.array(distance[at]), *(pa.array(c, pa.int64()) for c in columns)],
+                names=["doc_id", "distance", "prose", "listed", "tabled", "junk"])
+
+    return _texts(documents).mapInArrow(run, CHECKED)
 
 
-def not_prose(measured: DataFrame) -> DataFrame:
+def not_prose(documents: DataFrame, words: DataFrame) -> DataFrame:
     """(doc_id, form) of the documents that are no natural prose: candidates
     by distance, then the larger share of their characters."""
+    model = fit(checkpointed(describe_documents(documents, words)))
     best = F.greatest("listed", "tabled", "junk")
     form = F.when(F.col("listed") == best, "list").when(F.col("tabled") == best, "table").otherwise("junk")
-    return measured.where((F.col("distance") > BEYOND) & (best > F.col("prose"))).select("doc_id", form.alias("form")).distinct()
+    return check_candidates(documents, words, model).where(best > F.col("prose")).select("doc_id", form.alias("form")).distinct()
 
 
 def statistics(measured: DataFrame) -> DataFrame:
     """One row per document: the statistics by name, the distance and the
     statistic that contributes most to it."""
-    top = F.array_max(F.transform(F.arrays_zip("contributions", F.array(*[F.lit(s) for s in STATISTICS]).alias("name")),
-                                  lambda z: F.struct(z["contributions"].alias("c"), z["name"].alias("n"))))
+    k = len(STATISTICS)
+    top = F.array_max(F.array(*[F.struct(F.col(f"c{i}").alias("c"), F.lit(STATISTICS[i]).alias("n")) for i in range(k)]))
     return measured.select(
         "doc_id", "language",
-        F.round(F.expm1(F.col("stats")[0])).cast("bigint").alias("n_words"),
-        *[F.round(F.col("stats")[k], 6).alias(s) for k, s in enumerate(STATISTICS) if k],
-        F.round("distance", 4).alias("distance"), F.transform("contributions", lambda c: F.round(c, 4)).alias("contributions"),
+        F.round(F.expm1(F.col("s0"))).cast("bigint").alias("n_words"),
+        *[F.round(F.col(S[i]), 6).alias(STATISTICS[i]) for i in range(1, k)],
+        F.round("distance", 4).alias("distance"), F.array(*[F.round(F.col(f"c{i}"), 4) for i in range(k)]).alias("contributions"),
         top["n"].alias("largest_contribution"))

@@ -31,9 +31,13 @@ CASES = {
 }
 
 
+def shares_of(text):
+    return Q.forms(text, COMMON[Q.describe(text, COMMON)[0]])
+
+
 @pytest.mark.parametrize("form,text", [(f, t) for f, ts in CASES.items() for t in ts])
 def test_forms(form, text):
-    _, _, shares = Q.describe(text, COMMON)
+    shares = shares_of(text)
     assert max(range(4), key=lambda k: shares[k]) == ["prose", "list", "table", "junk"].index(form), shares
 
 
@@ -42,20 +46,24 @@ def test_prose_stays_prose(seed):
     r = random.Random(seed)
     text = prose(r, r.randrange(1, 12))
     extra = r.choice(["", "\n\n- one small thing\n- another\n", "\n\n| a | b |\n|---|---|\n| 1 | 2 |\n", "\n\n# Title\n\n"])
-    _, _, shares = Q.describe("Quiet river\n\n" + text + extra, COMMON)
+    shares = shares_of("Quiet river\n\n" + text + extra)
     assert shares[0] == max(shares) or len(text) < len(extra)
 
 
 def test_marks_of_tokenizers_are_no_table():
     text = " ".join(f"{s} <|endoftext|>" for s in (SENTENCE, SENTENCE, SENTENCE))
-    assert Q.describe(text, COMMON)[2][0] > 0
+    assert shares_of(text)[0] > 0
 
 
 def test_statistics_by_hand():
-    lang, s, _ = Q.describe("The cat, the dog.\nIt is 42", COMMON)
+    lang, s = Q.describe("The cat, the dog.\nIt is 42", COMMON)
     d = dict(zip(Q.STATISTICS, s, strict=True))
     assert lang == "en" and round(np.expm1(d["log_words"])) == 6
     assert d["mean_word_length"] == pytest.approx(16 / 6) and d["common_share"] == pytest.approx(4 / 6)
+    assert d["marked_lines"] == 0 and d["cells_per_line"] == 0 and d["long_tokens"] == 0
+    d2 = dict(zip(Q.STATISTICS, Q.describe("- a|b\tc\n- d   e\n" + "x" * 30, COMMON)[1], strict=True))
+    assert d2["marked_lines"] == pytest.approx(2 / 3) and d2["cells_per_line"] == pytest.approx(3 / 3) and d2["long_tokens"] == pytest.approx(30 / 38)
+    assert Q.describe("abab", COMMON)[1][-1] == pytest.approx(1.0) and Q.describe("...", COMMON)[1][-1] == 0
     assert d["punctuated_lines"] == 0.5 and d["digit_ratio"] == pytest.approx(2 / 20) and d["symbol_ratio"] == pytest.approx(2 / 20)
 
 
@@ -76,19 +84,44 @@ def corpus():
     return rows, want
 
 
+def word_table(spark):
+    return spark.createDataFrame([(g, k, w) for g, ws in COMMON.items() for k, w in enumerate(sorted(ws))] + [(None, 1, "x"), ("en", 2, None)], "lang string, place int, word string")
+
+
 def test_operator(spark):
     rows, want = corpus()
-    df = spark.createDataFrame(rows, DOCS)
-    words = spark.createDataFrame([(g, k, w) for g, ws in COMMON.items() for k, w in enumerate(sorted(ws))] + [(None, 1, "x"), ("en", 2, None)], "lang string, place int, word string")
+    df, words = spark.createDataFrame(rows, DOCS), word_table(spark)
+    assert {r["doc_id"]: r["form"] for r in Q.not_prose(df, words).collect()} == want
     measured = Q.measure_documents(df, words)
-    assert {r["doc_id"]: r["form"] for r in Q.not_prose(measured).collect()} == want
     m = measured.collect()
     assert {r["doc_id"] for r in m} == {r[0] for r in rows} - {5000, 5001, 5002, 5003, 5004}
     for r in m:
-        assert sum(r["contributions"]) == pytest.approx(r["distance"])
+        assert sum(r[f"c{k}"] for k in range(len(Q.STATISTICS))) == pytest.approx(r["distance"])
     assert Q.statistics(measured).where("largest_contribution is null").count() == 0
-    empty = Q.measure_documents(df.limit(0), words)
-    assert Q.not_prose(empty).count() == 0
+    assert Q.statistics(Q.measure_documents(df.limit(0), words)).count() == 0
+    assert Q.not_prose(df.limit(0), words).count() == 0
+
+
+def test_the_distance_decides(spark):
+    """Only what is far from prose is looked at; the two ways to the distance agree."""
+    rows, want = corpus()
+    df, words = spark.createDataFrame(rows, DOCS), word_table(spark)
+    described = Q.describe_documents(df, words).cache()
+    model = Q.fit(described)
+    far = {r["doc_id"]: r["distance"] for r in Q.measure(described, model).where(f"distance > {Q.CANDIDATE}").collect()}
+    seen = {r["doc_id"]: r["distance"] for r in Q.check_candidates(df, words, model).collect()}
+    assert far.keys() == seen.keys() and far == pytest.approx(seen)
+    assert want.keys() <= far.keys() and len(far) < len(want) + 75
+    # with a scatter that holds everything nothing is far, and nothing found
+    wide = {n: (mean, inverse / 1e6) for n, (mean, inverse) in model.items()}
+    assert Q.check_candidates(df, words, wide).count() == 0
+
+
+def test_prose_of_few_common_words_is_no_junk():
+    text = ("Kubernetes schedules pods across nodes. Operators reconcile desired state continuously. Controllers watch resources, compare snapshots, emit events. "
+            "Schedulers rank candidate machines using weighted scores. Sidecars proxy traffic between services.")
+    assert shares_of(text)[0] == len(text)
+    assert shares_of("zixam quervask sarkon seabam telisk dreasten marva solal veamim teastan kleamot")[3] > 0
 
 
 def test_estimate_is_the_plain_one_on_clean_data():
