@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: Vertices of an enumerated path, edges of an enumerated circle: a fixed value
+#: of the queries; what is longer is not asked for.
+DEPTH = 20
 #: Edges of one context that one task takes in component labelling.
 TASK_EDGES = 1_000_000
 
@@ -27,63 +30,156 @@ def _step(edges: DataFrame) -> DataFrame:
     return edges.select("context", F.col("source").alias("at"), F.col("target").alias("to"))
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(context, start, end, path, n): all simple paths up to ``depth`` vertices."""
-    hop = _step(edges).where("at <> to").distinct()
+def _kept(df: DataFrame) -> DataFrame | None:
+    """The rows of a round, or None if there are none."""
+    out = checkpointed(df)
+    return out if out.limit(1).count() else None
+
+
+def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(context, start, end, path, n): all simple paths up to ``depth`` vertices;
+    rounds end when no path can be prolonged."""
+    hop = checkpointed(_step(edges).where("at <> to").distinct())
     level = starts.select("context", F.col("start").alias("start"), F.array("start").alias("path"), F.col("start").alias("at"))
     out = None
-    for _ in range(depth - 1):
-        level = level.join(hop, ["context", "at"]).where(~F.array_contains("path", F.col("to"))).select(
-            "context", "start", F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("at"))
-        part = level.select("context", "start", F.col("at").alias("end"), "path", F.size("path").alias("n"))
+    for n in range(2, depth + 1):
+        level = _kept(level.join(hop, ["context", "at"]).where(~F.array_contains("path", F.col("to"))).select(
+            "context", "start", F.array_append("path", F.col("to")).alias("path"), F.col("to").alias("at")))
+        part = (level or hop.limit(0).select("context", F.col("at").alias("start"), F.array("at").alias("path"), "at")).select(
+            "context", "start", F.col("at").alias("end"), "path", F.lit(n).alias("n"))
         out = part if out is None else out.unionByName(part)
+        if level is None:
+            break
     return out
 
 
-def reachability(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
-    """(context, start, end, distance): nearest distance in edges, by levels
-    of distinct frontiers; ``depth`` in vertices, None as far as edges lead."""
-    hop = _step(edges).distinct()
-    seen = starts.select("context", "start", F.col("start").alias("end"), F.lit(0).alias("distance")).distinct()
-    frontier, d = seen, 1
-    if depth is None:
-        hop, seen = checkpointed(hop), checkpointed(seen)
-        frontier = seen
+#: Starts that one task follows at once, a bit for each.
+START_CHUNK = 1024
+#: Starts of one pass over the edges.
+PASS = 256
+
+
+def _reach(depth: int | None):
+    def run(hops: pa.Table, starts: pa.Table) -> pa.Table:
+        """Breadth-first levels from all starts of one context at once: a node
+        has a bit for each start, an edge hands on the bits that are new."""
+        found: list[tuple[np.ndarray, np.ndarray, int]] = []
+        ids = pc.unique(pa.chunked_array([*hops.column("at").chunks, *hops.column("to").chunks], pa.string()))
+        ids = ids.take(pc.sort_indices(ids))
+        n = len(ids)
+        a, b = (pc.index_in(hops.column(c), value_set=ids).to_numpy().astype(np.int64) for c in ("at", "to"))
+        order = np.argsort(b, kind="stable")
+        a, b = a[order], b[order]
+        own = np.unique(pc.fill_null(pc.index_in(starts.column("start"), value_set=ids), -1).to_numpy())
+        own = own[own >= 0]
+        for k in range(0, len(own), PASS):
+            part = own[k : k + PASS]
+            at = np.arange(len(part))
+            seen = np.zeros((n, -(-len(part) // 64)), np.uint64)
+            seen[part, at // 64] = np.left_shift(np.uint64(1), (at % 64).astype(np.uint64))
+            fresh, d = seen.copy(), 1
+            while depth is None or d < depth:
+                live = np.flatnonzero(fresh.any(1)[a])
+                if not len(live):
+                    break
+                to = b[live]
+                cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+                to = to[cut]
+                new = np.bitwise_or.reduceat(fresh[a[live]], cut, axis=0) & ~seen[to]
+                keep = new.any(1)
+                to, new = to[keep], new[keep]
+                seen[to] |= new
+                fresh = np.zeros_like(seen)
+                fresh[to] = new
+                node, start = np.nonzero(np.unpackbits(new.view(np.uint8), axis=1, bitorder="little"))
+                found.append((part[start], to[node], d))
+                d += 1
+        m = sum(len(x) for x, _, _ in found)
+        context = starts.column("context").combine_chunks().slice(0, 1).take(pa.array(np.zeros(m, np.int64))) if m else pa.array([], pa.string())
+        return pa.table([
+            context, ids.take(pa.array(np.concatenate([x for x, _, _ in found]) if m else [], pa.int64())), ids.take(pa.array(np.concatenate([y for _, y, _ in found]) if m else [], pa.int64())),
+            pa.array(np.concatenate([np.full(len(x), d, np.int32) for x, _, d in found]) if m else [], pa.int32())], names=["context", "start", "end", "distance"])
+
+    return run
+
+
+def reachability(edges: DataFrame, starts: DataFrame, depth: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(context, start, end, distance): nearest distance in edges from every
+    start; ``depth`` in vertices, None as far as edges lead.
+
+    Starts are a table: what is asked for, not all nodes.  Those of one context
+    are cut into chunks, and a task follows a chunk along all edges of the
+    context; a context beyond ``task_edges`` is followed by joins instead."""
+    kind = dict(edges.dtypes)["source"]
+    hop = checkpointed(_step(edges).where("at <> to").select(F.col("context").cast("string").alias("context"), F.col("at").cast("string").alias("at"), F.col("to").cast("string").alias("to")).distinct())
+    starts = starts.select(F.col("context").cast("string").alias("context"), F.col("start").cast("string").alias("start")).distinct()
+    weights = hop.groupBy("context").agg(F.count("*").alias("m"))
+    chunks = starts.groupBy("context").agg(F.count("*").alias("k")).join(weights, "context").select("context", "m", F.ceil(F.col("k") / START_CHUNK).cast("int").alias("chunks"))
+    chunks = checkpointed(chunks)
+    light = chunks.where(F.col("m") <= task_edges).select("context", "chunks")
+    hops = hop.join(light, "context").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    own = starts.join(light, "context").withColumn("chunk", F.pmod(F.xxhash64("start"), F.col("chunks")).cast("int")).drop("chunks")
+    out = hops.groupBy("context", "chunk").cogroup(own.groupBy("context", "chunk")).applyInArrow(_reach(depth), "context string, start string, end string, distance int")
+    heavy = chunks.where(F.col("m") > task_edges).select("context")
+    if heavy.limit(1).count():
+        out = out.unionByName(_reach_by_joins(hop.join(heavy, "context", "left_semi"), starts.join(heavy, "context", "left_semi"), depth))
+    return out if kind == "string" else out.withColumns({c: F.col(c).cast(kind) for c in ("start", "end")})
+
+
+def _reach_by_joins(hop: DataFrame, starts: DataFrame, depth: int | None) -> DataFrame:
+    """The same by joins of distinct frontiers, a round for each level."""
+    hop, d = checkpointed(hop), 1
+    seen = frontier = checkpointed(starts.select("context", "start", F.col("start").alias("end"), F.lit(0).alias("distance")))
     while depth is None or d < depth:
-        frontier = frontier.select("context", "start", F.col("end").alias("at")).join(hop, ["context", "at"]).select("context", "start", F.col("to").alias("end")).distinct().join(
-            seen.select("context", "start", "end"), ["context", "start", "end"], "left_anti").withColumn("distance", F.lit(d))
-        if depth is None:
-            frontier = checkpointed(frontier)
-            if not frontier.limit(1).count():
-                break
-        seen = seen.unionByName(frontier)
-        if d % 3 == 0:  # keep plans short
-            seen, frontier = checkpointed(seen), checkpointed(frontier) if depth else frontier
-        d += 1
+        frontier = _kept(frontier.select("context", "start", F.col("end").alias("at")).join(hop, ["context", "at"]).select("context", "start", F.col("to").alias("end")).distinct().join(
+            seen.select("context", "start", "end"), ["context", "start", "end"], "left_anti").withColumn("distance", F.lit(d)))
+        if frontier is None:
+            break
+        seen, d = seen.unionByName(frontier), d + 1
+        if d % 8 == 0:  # keep plans short
+            seen = checkpointed(seen)
     return seen.where("distance > 0")
 
 
-def shortest_paths(paths: DataFrame) -> DataFrame:
-    """First path in breadth-first order for every start and end."""
-    first = F.min(F.struct("n", "path")).alias("p")
-    return paths.groupBy("context", "start", "end").agg(first).select("context", "start", "end", F.col("p.n").alias("n"), F.col("p.path").alias("path"))
+def shortest(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(context, start, end, n, path): the first shortest path from every start
+    to every node it reaches; only one path to a node is ever held."""
+    hop = checkpointed(_step(edges).where("at <> to").distinct())
+    level = starts.select("context", "start", F.col("start").alias("at"), F.array("start").alias("path")).distinct()
+    seen, out, n = level.select("context", "start", "at"), None, 1
+    while True:
+        n += 1
+        level = _kept(level.join(hop, ["context", "at"]).select("context", "start", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path")).join(
+            seen, ["context", "start", "at"], "left_anti").groupBy("context", "start", "at").agg(F.min("path").alias("path")))
+        part = (level or hop.limit(0).select("context", F.col("at").alias("start"), "at", F.array("at").alias("path"))).select("context", "start", F.col("at").alias("end"), F.lit(n).alias("n"), "path")
+        out = part if out is None else out.unionByName(part)
+        if level is None:
+            return out
+        seen = seen.unionByName(level.select("context", "start", "at"))
+        if n % 8 == 0:  # keep plans short
+            seen, out = checkpointed(seen), checkpointed(out)
 
 
-def cycles(edges: DataFrame, length: int) -> DataFrame:
+def cycles(edges: DataFrame, length: int = DEPTH) -> DataFrame:
     """(context, path, n): each simple directed circle of up to ``length``
     edges once, its least vertex first; only vertices of cyclic components
-    take part."""
+    take part, and rounds end when no way is open."""
     hop = _step(edges).distinct()
     inside = components(edges).where("cyclic").select("context", "node", "component")
     hop = hop.join(inside.select("context", F.col("node").alias("at"), "component"), ["context", "at"]).join(
         inside.select("context", F.col("node").alias("to"), F.col("component").alias("c2")), ["context", "to"]).where("component = c2").select("context", "at", "to")
-    level = hop.select("context", F.array("at").alias("path"), F.col("to").alias("at"))
+    hop = checkpointed(hop)
+    level = hop.where("to >= at").select("context", F.array("at").alias("path"), F.col("to").alias("at"))
     out = None
-    for _ in range(length):
+    for n in range(length):
         closed = level.where(F.col("at") == F.col("path")[0]).select("context", "path", F.size("path").alias("n"))
         out = closed if out is None else out.unionByName(closed)
-        level = level.where((F.col("at") > F.col("path")[0]) & ~F.array_contains("path", F.col("at"))).join(hop, ["context", "at"]).select(
-            "context", F.array_append("path", F.col("at")).alias("path"), F.col("to").alias("at"))
+        if n + 1 == length:
+            break
+        level = _kept(level.where((F.col("at") > F.col("path")[0]) & ~F.array_contains("path", F.col("at"))).join(hop, ["context", "at"]).where(F.col("to") >= F.col("path")[0]).select(
+            "context", F.array_append("path", F.col("at")).alias("path"), F.col("to").alias("at")))
+        if level is None:
+            break
     return out
 
 

@@ -197,9 +197,8 @@ def j_rpc_spelling(spark, d):
     return bridges.rpc_join(w.select(F.col("word").alias("name"), F.col("lang").alias("call")), w.select(F.col("lang").alias("handler"), "word"), scalars.rpc_spellings(F.col("word")))
 
 
-@query("""WITH m AS (SELECT id, max(CASE WHEN target IS NULL THEN 'OPEN' ELSE 'SATISFIED' END) AS state FROM (SELECT id, max(target) AS target FROM readiness_modules GROUP BY id) GROUP BY id), x AS (SELECT DISTINCT id, unnest(dependencies) AS needed FROM readiness_modules),
-b0 AS (SELECT id FROM m WHERE state = 'OPEN'), b1 AS (SELECT id FROM b0 UNION SELECT x.id FROM x JOIN b0 ON b0.id = x.needed), b2 AS (SELECT id FROM b1 UNION SELECT x.id FROM x JOIN b1 ON b1.id = x.needed),
-h AS (SELECT DISTINCT x.id FROM x JOIN b2 ON b2.id = x.needed) SELECT m.id, CASE WHEN h.id IS NOT NULL THEN 'PENDING' ELSE m.state END AS state, h.id IS NOT NULL AS blocked FROM m LEFT JOIN h ON h.id = m.id""")
+@query("""WITH RECURSIVE m AS (SELECT id, max(CASE WHEN target IS NULL THEN 'OPEN' ELSE 'SATISFIED' END) AS state FROM (SELECT id, max(target) AS target FROM readiness_modules GROUP BY id) GROUP BY id), x AS (SELECT DISTINCT id, unnest(dependencies) AS needed FROM readiness_modules),
+h AS (SELECT x.id FROM x JOIN m ON m.id = x.needed WHERE m.state = 'OPEN' UNION SELECT x.id FROM x JOIN h ON h.id = x.needed) SELECT m.id, CASE WHEN h.id IS NOT NULL THEN 'PENDING' ELSE m.state END AS state, h.id IS NOT NULL AS blocked FROM m LEFT JOIN h ON h.id = m.id""")
 def v_prerequisites(spark, d):
     r = table(spark, d, "readiness_modules")
     m = r.groupBy("id").agg(F.max("target").alias("t")).select("id", F.when(F.col("t").isNull(), "OPEN").otherwise("SATISFIED").alias("state"))

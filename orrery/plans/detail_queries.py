@@ -140,12 +140,15 @@ def g_visual(spark, d):
     return g.distinct_nodes().select("context", "identity", "kind").join(ow, ["context", "identity"], "left").join(cyc, ["context", "identity"], "left").na.fill(False, ["in_cycle"])
 
 
-@query(f"WITH RECURSIVE {CAND}, r AS (SELECT context, target AS start, source AS \"end\", 1 AS distance FROM d UNION SELECT r.context, r.start, d.source, r.distance + 1 FROM r JOIN d ON d.context = r.context AND d.target = r.\"end\" WHERE r.distance < 4) SELECT context, start, \"end\", min(distance) AS distance FROM r WHERE start <> \"end\" GROUP BY ALL")
+@query(f"""WITH RECURSIVE {CAND}, r(context, start, "end", distance) USING KEY (context, start, "end") AS (SELECT DISTINCT context, target, target, 0 FROM d UNION
+ SELECT r.context, r.start, d.source, min(r.distance + 1) FROM r JOIN d ON d.context = r.context AND d.target = r."end"
+ LEFT JOIN recurring.r k ON k.context = r.context AND k.start = r.start AND k."end" = d.source WHERE k.start IS NULL GROUP BY ALL)
+SELECT context, start, "end", distance::int AS distance FROM r WHERE distance > 0""")
 def g_bridge_impact(spark, d):
     """Who is reached against candidate edges from each target."""
     e = Graph.load(spark, d).endpoints().where("state = 'CANDIDATES'").select("context", "source", "target").distinct()
     back = traversal.flip(e)
-    return traversal.reachability(back, back.select("context", F.col("source").alias("start")).distinct(), 5)
+    return traversal.reachability(back, back.select("context", F.col("source").alias("start")).distinct())
 
 
 @query("""WITH m AS (SELECT id, max(target) AS target FROM readiness_modules GROUP BY id), x AS (SELECT DISTINCT id, unnest(dependencies) AS needed FROM readiness_modules),
@@ -159,12 +162,11 @@ def g_ready(spark, d):
     return open_.join(waiting, "id", "left_anti")
 
 
-@query(f"""WITH {N}, {X}, p AS (SELECT context, dst AS node, min(source) AS up FROM x WHERE state = 'RESOLVED' AND kind IN ('graph.contains', 'graph.declares') AND source <> dst GROUP BY ALL),
-k AS (SELECT context, identity, min(kind) AS kind FROM n GROUP BY ALL), s0 AS (SELECT context, identity, identity AS tip, kind FROM k WHERE kind IN ('METHOD', 'FIELD')),
-s1 AS (SELECT s.context, s.identity, p.up AS tip, k.kind FROM s0 s JOIN p ON p.context = s.context AND p.node = s.tip JOIN k ON k.context = p.context AND k.identity = p.up),
-s2 AS (SELECT s.context, s.identity, p.up AS tip, k.kind FROM s1 s JOIN p ON p.context = s.context AND p.node = s.tip JOIN k ON k.context = p.context AND k.identity = p.up WHERE s.kind <> 'TYPE'),
-s3 AS (SELECT s.context, s.identity, p.up AS tip, k.kind FROM s2 s JOIN p ON p.context = s.context AND p.node = s.tip JOIN k ON k.context = p.context AND k.identity = p.up WHERE s.kind <> 'TYPE')
-SELECT context, identity, tip AS owner, steps FROM (SELECT *, 1 AS steps FROM s1 UNION ALL SELECT *, 2 FROM s2 UNION ALL SELECT *, 3 FROM s3) WHERE kind = 'TYPE'""")
+@query(f"""WITH RECURSIVE {N}, {X}, p AS (SELECT context, dst AS node, min(source) AS up FROM x WHERE state = 'RESOLVED' AND kind IN ('graph.contains', 'graph.declares') AND source <> dst GROUP BY ALL),
+k AS (SELECT context, identity, min(kind) AS kind FROM n GROUP BY ALL),
+s AS (SELECT context, identity, identity AS tip, kind, 0 AS steps FROM k WHERE kind IN ('METHOD', 'FIELD')
+ UNION ALL SELECT s.context, s.identity, p.up, k.kind, s.steps + 1 FROM s JOIN p ON p.context = s.context AND p.node = s.tip JOIN k ON k.context = p.context AND k.identity = p.up WHERE s.kind <> 'TYPE' AND s.steps < 63)
+SELECT context, identity, tip AS owner, steps FROM s WHERE kind = 'TYPE'""")
 def g_climb(spark, d):
     """Nearest owning type of members, within ``OWNER_LEVELS`` levels."""
     g = Graph.load(spark, d)

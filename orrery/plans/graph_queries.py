@@ -16,7 +16,9 @@ LE = X + """, le AS (SELECT context, source, dst AS target, count(*) AS n_suppor
  FROM x WHERE state = 'RESOLVED' GROUP BY context, source, dst)"""
 REL = """rel AS (SELECT DISTINCT context, identity, kind, source, target.state AS state, target.identities AS targets, target.unresolved_reference AS reference, region FROM kg_edges)"""
 DEP = X + """, d AS (SELECT DISTINCT context, source, dst AS target FROM x WHERE state = 'RESOLVED' AND kind IN ('java.extends', 'java.implements'))"""
-#: The kinds that enumeration and bounded walks follow: sparse enough for path enumeration.
+ALL = X + """, d AS (SELECT DISTINCT context, source, dst AS target FROM x WHERE state = 'RESOLVED')"""
+#: The kinds whose paths and circles are enumerated: single paths are results
+#: there, of which a denser graph has exponentially many.
 INHERITANCE = ("java.extends", "java.implements")
 
 
@@ -242,41 +244,53 @@ def m_operational(spark, d):
 
 
 # -- traversal ----------------------------------------------------------------------
-REACH = f"WITH RECURSIVE {DEP}, r AS (SELECT context, source AS start, target AS \"end\", 1 AS distance FROM d UNION SELECT r.context, r.start, d.target, r.distance + 1 FROM r JOIN d ON d.context = r.context AND d.source = r.\"end\" WHERE r.distance < 4) "
+#: What is asked for: nodes whose digest begins with a zero, one in sixteen.
+def _asked(edges: DataFrame) -> DataFrame:
+    return edges.where(F.substring(F.md5("source"), 1, 1) == "0").select("context", F.col("source").alias("start")).distinct()
 
 
-@query(REACH + "SELECT context, start, \"end\", min(distance) AS distance FROM r WHERE start <> \"end\" GROUP BY ALL")
+def _reach(edges: str) -> str:
+    """Breadth-first levels to the end, each node kept with its first."""
+    return f"""WITH RECURSIVE {edges}, st AS (SELECT DISTINCT context, source AS start FROM d WHERE substr(md5(source), 1, 1) = '0'),
+r(context, start, "end", distance) USING KEY (context, start, "end") AS (SELECT context, start, start, 0 FROM st UNION
+ SELECT r.context, r.start, d.target, min(r.distance + 1) FROM r JOIN d ON d.context = r.context AND d.source = r."end"
+ LEFT JOIN recurring.r k ON k.context = r.context AND k.start = r.start AND k."end" = d.target WHERE k.start IS NULL GROUP BY ALL) """
+
+
+FLIPPED = X + """, d AS (SELECT DISTINCT context, dst AS source, source AS target FROM x WHERE state = 'RESOLVED')"""
+
+
+@query(_reach(ALL) + 'SELECT context, start, "end", distance::int AS distance FROM r WHERE distance > 0')
 def g_reach(spark, d):
-    """Nearest distance to every node within five vertices."""
-    e = _inheritance(spark, d)
-    return traversal.reachability(e, e.select("context", F.col("source").alias("start")).distinct(), 5)
+    """Nearest distance from the nodes asked for to every node, over all edges."""
+    e = Graph.load(spark, d).pairs()
+    return traversal.reachability(e, _asked(e))
 
 
-@query(REACH + "SELECT context, \"end\" AS changed, count(DISTINCT start) AS n_impacted FROM r WHERE start <> \"end\" GROUP BY ALL")
+@query(_reach(FLIPPED) + 'SELECT context, start AS changed, count(*) AS n_impacted FROM r WHERE distance > 0 GROUP BY ALL')
 def g_impact(spark, d):
-    """How many nodes a change of each node reaches against the edges."""
-    e = traversal.flip(_inheritance(spark, d))
-    r = traversal.reachability(e, e.select("context", F.col("source").alias("start")).distinct(), 5)
-    return r.groupBy("context", F.col("start").alias("changed")).agg(F.count("*").alias("n_impacted"))
+    """How many nodes a change of each node asked for reaches against the edges."""
+    e = traversal.flip(Graph.load(spark, d).pairs())
+    return traversal.reachability(e, _asked(e)).groupBy("context", F.col("start").alias("changed")).agg(F.count("*").alias("n_impacted"))
 
 
 PATHS = f"""WITH RECURSIVE {DEP}, r AS (SELECT context, source AS start, target AS "end", [source, target] AS path FROM d WHERE source <> target
- UNION ALL SELECT r.context, r.start, d.target, list_append(r.path, d.target) FROM r JOIN d ON d.context = r.context AND d.source = r."end" WHERE len(r.path) < 4 AND NOT list_contains(r.path, d.target)) """
+ UNION ALL SELECT r.context, r.start, d.target, list_append(r.path, d.target) FROM r JOIN d ON d.context = r.context AND d.source = r."end" WHERE len(r.path) < 20 AND NOT list_contains(r.path, d.target)) """
 
 
 @query(PATHS + "SELECT context, start, \"end\", array_to_string(path, ',') AS path, len(path)::int AS n FROM r")
 def g_paths(spark, d):
     e = _inheritance(spark, d)
-    return traversal.simple_paths(e, e.select("context", F.col("source").alias("start")).distinct(), 4).withColumn("path", _join("path"))
+    return traversal.simple_paths(e, e.select("context", F.col("source").alias("start")).distinct()).withColumn("path", _join("path"))
 
 
 @query(PATHS + "SELECT context, start, \"end\", len(path)::int AS n, array_to_string(path, ',') AS path FROM (SELECT *, row_number() OVER (PARTITION BY context, start, \"end\" ORDER BY len(path), path) AS place FROM r) WHERE place = 1")
 def g_shortest(spark, d):
     e = _inheritance(spark, d)
-    return traversal.shortest_paths(traversal.simple_paths(e, e.select("context", F.col("source").alias("start")).distinct(), 4)).withColumn("path", _join("path"))
+    return traversal.shortest(e, e.select("context", F.col("source").alias("start")).distinct()).withColumn("path", _join("path"))
 
 
-@query(f"""WITH RECURSIVE {DEP}, r AS (SELECT context, source AS a, target AS b FROM d UNION SELECT r.context, r.a, d.target FROM r JOIN d ON d.context = r.context AND d.source = r.b),
+@query(f"""WITH RECURSIVE {ALL}, r AS (SELECT context, source AS a, target AS b FROM d UNION SELECT r.context, r.a, d.target FROM r JOIN d ON d.context = r.context AND d.source = r.b),
 v AS (SELECT context, source AS node FROM d UNION SELECT context, target FROM d),
 m AS (SELECT v.context, v.node, least(v.node, coalesce(min(r.b) FILTER (q.a IS NOT NULL), v.node)) AS component FROM v LEFT JOIN r ON r.context = v.context AND r.a = v.node LEFT JOIN r q ON q.context = r.context AND q.a = r.b AND q.b = r.a GROUP BY v.context, v.node)
 SELECT m.context, m.node, m.component, count(*) OVER (PARTITION BY m.context, m.component) AS size, (m.context, m.node, m.node) IN (SELECT (context, a, b) FROM r) AS cyclic FROM m""")
@@ -285,13 +299,13 @@ def g_scc(spark, d):
 
 
 @query(f"""WITH RECURSIVE {DEP}, r AS (SELECT context, [source] AS path, target AS tip FROM d WHERE target >= source
- UNION ALL SELECT r.context, list_append(r.path, r.tip), d.target FROM r JOIN d ON d.context = r.context AND d.source = r.tip WHERE len(r.path) < 5 AND r.tip > r.path[1] AND NOT list_contains(r.path, r.tip) AND d.target >= r.path[1])
+ UNION ALL SELECT r.context, list_append(r.path, r.tip), d.target FROM r JOIN d ON d.context = r.context AND d.source = r.tip WHERE len(r.path) < 20 AND r.tip > r.path[1] AND NOT list_contains(r.path, r.tip) AND d.target >= r.path[1])
 SELECT context, array_to_string(path, ',') AS path, len(path)::int AS n FROM r WHERE tip = path[1]""")
 def g_cycles(spark, d):
-    return traversal.cycles(_inheritance(spark, d), 5).withColumn("path", _join("path"))
+    return traversal.cycles(_inheritance(spark, d)).withColumn("path", _join("path"))
 
 
-@query(f"""WITH RECURSIVE {DEP}, e AS (SELECT * FROM d WHERE source <> target), r AS (SELECT context, source AS a, target AS b FROM e UNION SELECT r.context, r.a, e.target FROM r JOIN e ON e.context = r.context AND e.source = r.b),
+@query(f"""WITH RECURSIVE {ALL}, e AS (SELECT * FROM d WHERE source <> target), r AS (SELECT context, source AS a, target AS b FROM e UNION SELECT r.context, r.a, e.target FROM r JOIN e ON e.context = r.context AND e.source = r.b),
 cyc AS (SELECT DISTINCT context, a AS node FROM r WHERE a = b), bad AS (SELECT * FROM cyc UNION SELECT r.context, r.b FROM r JOIN cyc ON cyc.context = r.context AND cyc.node = r.a),
 v AS (SELECT context, source AS node FROM e UNION SELECT context, target FROM e), ok AS (SELECT * FROM v WHERE (context, node) NOT IN (SELECT (context, node) FROM bad)),
 w AS (SELECT context, node, 0 AS rank FROM ok UNION SELECT w.context, e.target, w.rank + 1 FROM w JOIN e ON e.context = w.context AND e.source = w.node WHERE (e.context, e.target) IN (SELECT (context, node) FROM ok))

@@ -118,10 +118,15 @@ rules:
     layers.middle: [ASIA]
     layers.bottom: [AFRICA]
 """
-NAMED = CLASSIFIED + f""", {PACKAGES}, ne AS (SELECT cl.*, a.name AS source_name, a.module AS source_module, b.name AS target_name, b.module AS target_module FROM cl JOIN pk a ON a.package = cl.source JOIN pk b ON b.package = cl.target),
+NAMED = "RECURSIVE " + CLASSIFIED + f""", {PACKAGES}, ne AS (SELECT cl.*, a.name AS source_name, a.module AS source_module, b.name AS target_name, b.module AS target_module FROM cl JOIN pk a ON a.package = cl.source JOIN pk b ON b.package = cl.target),
 ly AS (SELECT *, CASE WHEN source_module IN ('EUROPE', 'AMERICA') THEN 0 WHEN source_module = 'ASIA' THEN 1 WHEN source_module = 'AFRICA' THEN 2 END AS la, CASE WHEN target_module IN ('EUROPE', 'AMERICA') THEN 0 WHEN target_module = 'ASIA' THEN 1 WHEN target_module = 'AFRICA' THEN 2 END AS lb FROM ne),
+ac AS (SELECT fa.* FROM fa JOIN pk a ON a.package = source JOIN pk b ON b.package = target WHERE a.module = 'AMERICA' AND b.module = 'AMERICA'),
+cw AS (SELECT world, true AS sure, source, target FROM ac WHERE truth UNION ALL SELECT world, false, source, target FROM ac),
+cr AS (SELECT world, sure, source AS a, target AS b FROM cw UNION SELECT cr.world, cr.sure, cr.a, cw.target FROM cr JOIN cw ON cw.world = cr.world AND cw.sure = cr.sure AND cw.source = cr.b),
+co_ AS (SELECT source, target, world, max(sure) AS sure FROM cw WHERE (world, sure, target, source) IN (SELECT (world, sure, a, b) FROM cr) GROUP BY ALL),
+cq AS (SELECT source, target, CASE WHEN count(*) FILTER (NOT sure) > 0 THEN 'UNKNOWN' WHEN count(*) = 7 THEN 'MUST' ELSE 'MAY' END AS quantifier FROM co_ GROUP BY ALL),
 fi AS (SELECT 'no-asia-from-europe' AS rule, 'ERROR' AS severity, * FROM ly WHERE source_module = 'EUROPE' AND target_module = 'ASIA' UNION ALL SELECT 'africa-stays-home', 'WARNING', * FROM ly WHERE source_module = 'AFRICA' AND target_module <> 'AFRICA'
- UNION ALL SELECT 'acyclic-america', 'INFO', * FROM ly WHERE source_module = 'AMERICA' AND target_module = 'AMERICA' UNION ALL SELECT 'layered', 'WARNING', * FROM ly WHERE la < lb)"""
+ UNION ALL SELECT 'acyclic-america', 'INFO', ly.* REPLACE (cq.quantifier AS quantifier) FROM ly JOIN cq ON cq.source = ly.source AND cq.target = ly.target UNION ALL SELECT 'layered', 'WARNING', * FROM ly WHERE la < lb)"""
 RULES = "ru(rule, severity) AS (VALUES ('no-asia-from-europe', 'ERROR'), ('africa-stays-home', 'WARNING'), ('acyclic-america', 'INFO'), ('layered', 'WARNING'))"
 COUNTS = f"""{NAMED}, {RULES}, co AS (SELECT ru.rule, ru.severity, count(*) FILTER (quantifier = 'NEVER') AS never, count(*) FILTER (quantifier = 'UNKNOWN') AS unknown, count(*) FILTER (quantifier = 'MAY') AS may, count(*) FILTER (quantifier = 'MUST') AS must FROM ru LEFT JOIN fi USING (rule) GROUP BY ALL)"""
 
@@ -170,7 +175,7 @@ def p_nodes(spark, d):
     return policy.node_findings(_findings(spark, d))
 
 
-@query(f"""WITH {NAMED}, ch AS (SELECT package AS node FROM pk WHERE package < 5), re AS (SELECT DISTINCT source AS node FROM cl WHERE quantifier = 'MUST' AND target IN (SELECT node FROM ch)),
+@query(f"""WITH {NAMED}, ch AS (SELECT package AS node FROM pk WHERE package < 5), re AS (SELECT source AS node FROM cl WHERE quantifier = 'MUST' AND target IN (SELECT node FROM ch) UNION SELECT cl.source FROM re JOIN cl ON cl.target = re.node WHERE quantifier = 'MUST'),
 hi AS (SELECT node, max(how) AS how FROM (SELECT node, 2 AS how FROM ch UNION ALL SELECT node, 1 FROM re) GROUP BY node),
 pe AS (SELECT rule, source, target, max(how) AS how, max(CASE severity WHEN 'ERROR' THEN 3 WHEN 'WARNING' THEN 2 ELSE 1 END) AS s, max(CASE quantifier WHEN 'MUST' THEN 3 WHEN 'MAY' THEN 2 ELSE 1 END) AS q
  FROM fi JOIN hi ON hi.node IN (fi.source, fi.target) WHERE quantifier <> 'NEVER' GROUP BY ALL)
@@ -248,7 +253,22 @@ def g_joint_paths(spark, d):
     return one.unionByName(two).groupBy("start", "end").agg(F.count("*").alias("n_paths"), F.max(F.size("ws")).alias("most_worlds"))
 
 
-@query(f"""WITH {CLASSIFIED}, {PACKAGES} SELECT DISTINCT p.name FROM cl JOIN pk p ON p.package = cl.source JOIN cl b ON b.source = cl.target AND b.target = cl.source AND b.quantifier <> 'NEVER' WHERE cl.quantifier <> 'NEVER' AND cl.source < cl.target""")
+@query(f"""WITH RECURSIVE {FACTS}, w AS (SELECT world, source, target FROM fa WHERE truth AND source <> target),
+r AS (SELECT world, source AS start, target AS "end" FROM w UNION SELECT r.world, r.start, w.target FROM r JOIN w ON w.world = r.world AND w.source = r."end")
+SELECT start, "end", count(*) AS n_worlds, CASE count(*) WHEN 7 THEN 'MUST' ELSE 'MAY' END AS quantifier FROM r WHERE start <> "end" GROUP BY ALL""")
+def g_conditional_reach(spark, d):
+    """In how many worlds, and whether in all, a package is reached over edges
+    that are there together: a way of any length counts in the worlds that all
+    its edges share, so each world is followed by itself."""
+    e = facts(spark, d).where("truth").select(F.col("world").alias("context"), "source", "target")
+    r = traversal.reachability(e, e.select("context", F.col("source").alias("start")).distinct())
+    n = F.count("*")
+    return r.groupBy("start", "end").agg(n.alias("n_worlds"), F.when(n == len(WORLDS), "MUST").otherwise("MAY").alias("quantifier"))
+
+
+@query(f"""WITH RECURSIVE {CLASSIFIED}, {PACKAGES}, e AS (SELECT source, target FROM cl WHERE quantifier <> 'NEVER'),
+r AS (SELECT source AS head, target AS node FROM e WHERE target >= source UNION SELECT r.head, e.target FROM r JOIN e ON e.source = r.node WHERE r.node <> r.head AND e.target >= r.head)
+SELECT DISTINCT p.name FROM r JOIN pk p ON p.package = r.head WHERE r.node = r.head""")
 def p_acyclic(spark, d):
     """Packages that head a circle of any length among edges not excluded."""
     e = regions.project(_classified(spark, d), "BOUNDED_UNION").select(F.lit("").alias("context"), "source", "target")

@@ -122,11 +122,40 @@ def test_paths_cycles_and_schedule(spark):
     paths = traversal.simple_paths(e, starts, 4)
     assert {tuple(r["path"]) for r in paths.collect()} == {("a", "b"), ("a", "b", "c"), ("a", "b", "c", "d")}
     assert {(r["end"], r["distance"]) for r in traversal.reachability(e, starts, 5).collect()} == {("b", 1), ("c", 2), ("d", 3)}
+    assert {(r["end"], r["distance"]) for r in traversal.reachability(e, starts, 3).collect()} == {("b", 1), ("c", 2)}
     ranks = {r["node"]: r["rank"] for r in traversal.schedule(e, 10).collect()}
     assert ranks == {"x": 0, "y": 1}
     assert traversal.components(e.limit(0)).count() == 0 and traversal.cycles(e.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("task_edges", [1_000_000, 0])
+def test_reachability_and_shortest_paths_against_breadth_first_search(spark, monkeypatch, task_edges):
+    monkeypatch.setattr(traversal, "START_CHUNK", 7)
+    r = random.Random(5)
+    pairs = {c: {(f"{r.randrange(n):02d}", f"{r.randrange(n):02d}") for _ in range(2 * n)} for c, n in (("p", 40), ("q", 9))}
+    pairs["q"] |= {(f"x{k:02d}", f"x{k + 1:02d}") for k in range(11)}
+    e = spark.createDataFrame([(c, a, b) for c, ps in pairs.items() for a, b in ps] * 2, "context string, source string, target string")
+    starts = spark.createDataFrame([(c, a) for c, ps in pairs.items() for a, _ in ps] + [("p", "nowhere"), ("none", "00")], "context string, start string")
+    want = {}
+    for c, ps in pairs.items():
+        for s in {a for a, _ in ps}:
+            level, seen = {s: (s,)}, {s}
+            while level:
+                new = {}
+                for a, b in ps:
+                    if a in level and b not in seen:
+                        new[b] = min(new.get(b, (*level[a], b)), (*level[a], b))
+                seen |= new.keys()
+                want |= {(c, s, b): p for b, p in new.items()}
+                level = new
+    got = [tuple(x) for x in traversal.reachability(e, starts, None, task_edges).collect()]
+    assert len(got) == len(want) and {x[:3]: x[3] for x in got} == {k: len(p) - 1 for k, p in want.items()}
+    if task_edges:
+        got = [tuple(x) for x in traversal.shortest(e, starts).select("context", "start", "end", "path", "n").collect()]
+        assert len(got) == len(want) and all(tuple(p) == want[c, s, b] and n == len(p) for c, s, b, p, n in got)
+    assert traversal.reachability(e.limit(0), starts).count() == 0 and traversal.reachability(e, starts.limit(0)).count() == 0
+
+
 # -- truth regions -----------------------------------------------------------------------
 def test_kleene_fold_and_classification(spark):
     rows = spark.createDataFrame([("e", "w1", True), ("e", "w1", None), ("e", "w2", True), ("f", "w1", False), ("g", "w1", True), ("g", "w2", True)], "k string, world string, truth boolean")
