@@ -83,7 +83,7 @@ def xml_escape(text: Column) -> Column:
 
 def cursor(query_digest: Column, last: Column) -> Column:
     """Opaque page cursor: base64url of the query's digest and the last id."""
-    return F.translate(F.base64(F.encode(F.concat_ws("\n", query_digest, last), "UTF-8")), "+/=", "-_")
+    return F.translate(F.base64(F.encode(F.concat_ws("\n", query_digest, last), "UTF-8")), "+/=\r\n", "-_")
 
 
 def cursor_valid(value: Column, query_digest: Column) -> Column:

@@ -114,12 +114,76 @@ def prerequisites(modules: DataFrame, needs: DataFrame) -> DataFrame:
 
 def candidates(sites: DataFrame, beans: DataFrame) -> DataFrame:
     """Injection candidates by exposed type with their eligibility: autowire
-    flag, and the qualifier if the site has one, else the default flag."""
+    flag, and the qualifier if the site has one, else the default flag.  A row
+    for every pair: for the sites asked for; ``bindings`` needs no pairs."""
     j = sites.join(beans, "type")
     fits = F.when(F.col("wanted").isNotNull(), F.col("qualifier") == F.col("wanted")).otherwise(F.col("by_default"))
     return j.withColumn("eligible", F.col("autowire") & fits)
 
 
+def registered(beans: DataFrame) -> DataFrame:
+    """(type, asked, ...): what the selection cascade needs to know about the
+    beans of each type that answer a qualifier or, with ``asked`` null, the lack
+    of one.  Two rows at most for a bean, folded before they are moved."""
+    sure = F.coalesce(F.col("autowire"), F.lit(False))
+    open_ = F.coalesce(F.col("autowire"), F.lit(True))
+    named = beans.where(F.col("qualifier").isNotNull() & open_).select("*", F.col("qualifier").alias("asked"), F.when(sure, True).alias("eligible"))
+    default = beans.where(open_ & F.coalesce(F.col("by_default"), F.lit(True))).select(
+        "*", F.lit(None).cast("string").alias("asked"), F.when(sure & F.coalesce(F.col("by_default"), F.lit(False)), True).alias("eligible"))
+    both = named.unionByName(default)
+    e = F.coalesce(F.col("eligible"), F.lit(False))
+
+    def most(where) -> F.Column:
+        return F.max(F.when(where, F.col("bean")))
+
+    g = both.groupBy("type", "asked").agg(
+        F.count_if(F.col("eligible").isNull()).alias("n_open"), F.count_if(e).alias("n"), most(e).alias("any_bean"),
+        F.count_if(e & F.col("primary")).alias("n_primary"), most(e & F.col("primary")).alias("primary_bean"),
+        F.count_if(e & ~F.col("fallback")).alias("n_regular"), most(e & ~F.col("fallback")).alias("regular_bean"))
+    by_priority = both.where(e & F.col("priority").isNotNull()).groupBy("type", "asked", "priority").agg(F.count("*").alias("m"), F.max("bean").alias("b"))
+    least = by_priority.groupBy("type", "asked").agg(F.min(F.struct("priority", "m", "b")).alias("x")).select("type", "asked", F.col("x.m").alias("n_least"), F.col("x.b").alias("least_bean"))
+    same = g["type"].eqNullSafe(least["type"]) & g["asked"].eqNullSafe(least["asked"])
+    return g.join(least, same, "left").select(g["*"], "n_least", "least_bean")
+
+
+def bindings(sites: DataFrame, beans: DataFrame) -> DataFrame:
+    """(site, n, state, bean): ``select_bindings`` without the pairs.
+
+    Sites are joined with the folded registry by (type, qualifier) and, for the
+    dependency name, with the beans folded by name; rows stay linear in sites
+    and beans.  Beans without a known qualifier are open for every qualifier of
+    their type."""
+    reg = registered(beans)
+    unknown = beans.where(F.col("qualifier").isNull() & F.coalesce(F.col("autowire"), F.lit(True))).groupBy("type").agg(F.count("*").alias("n_unqualified"))
+    e = F.coalesce(F.col("autowire"), F.lit(False))
+    named = beans.where(e & F.col("qualifier").isNotNull()).select("type", F.col("qualifier").alias("asked"), F.col("bean_name").alias("site_name"), "bean").unionByName(
+        beans.where(e & F.col("by_default")).select("type", F.lit(None).cast("string").alias("asked"), F.col("bean_name").alias("site_name"), "bean"))
+    named = named.groupBy("type", "asked", "site_name").agg(F.max("bean").alias("named_bean"))
+    s = sites.select("site", "type", F.col("wanted").alias("asked"), "optional", "site_name").alias("s")
+    r, m = reg.withColumn("known", F.lit(True)).alias("r"), named.alias("m")
+    j = s.join(r, (F.col("s.type") == F.col("r.type")) & F.col("s.asked").eqNullSafe(F.col("r.asked")), "left")
+    j = j.join(m, (F.col("s.type") == F.col("m.type")) & F.col("s.asked").eqNullSafe(F.col("m.asked")) & (F.col("s.site_name") == F.col("m.site_name")), "left")
+    j = j.join(unknown.alias("u"), F.col("s.type") == F.col("u.type"), "left")
+    open_ = F.coalesce(F.col("n_open"), F.lit(0)) + F.when(F.col("s.asked").isNotNull(), F.coalesce(F.col("n_unqualified"), F.lit(0))).otherwise(0)
+    zero = {c: F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n", "n_primary", "n_regular", "n_least")}
+    return cascade(j.select("s.site", open_.alias("n_unknown"), "optional", *zero.values(), "any_bean", "primary_bean", "regular_bean", "least_bean", "named_bean"))
+
+
+def inventory(sites: DataFrame, beans: DataFrame) -> DataFrame:
+    """(type, n_sites, n_beans, n_pairs) of the types that have both: sites,
+    beans eligible for any of them, and eligible pairs, which are counted as
+    products and never made."""
+    asked = sites.groupBy("type", F.col("wanted").alias("asked")).agg(F.count_distinct("site").alias("k"))
+    reg = registered(beans).select(F.col("type").alias("t"), F.col("asked").alias("a"), "n")
+    pairs = asked.join(reg, (F.col("type") == F.col("t")) & F.col("asked").eqNullSafe(F.col("a"))).groupBy("type").agg(F.sum(F.col("k") * F.col("n")).alias("n_pairs"))
+    sure = beans.where(F.coalesce(F.col("autowire"), F.lit(False)))
+    keys = sure.where("qualifier is not null").select("type", "bean", F.col("qualifier").alias("asked")).unionByName(sure.where("by_default").select("type", "bean", F.lit(None).cast("string").alias("asked")))
+    want = asked.select(F.col("type").alias("t"), F.col("asked").alias("a"))
+    hit = keys.join(want, (F.col("type") == F.col("t")) & F.col("asked").eqNullSafe(F.col("a")), "left_semi").groupBy("type").agg(F.count_distinct("bean").alias("n_beans"))
+    both = asked.groupBy("type").agg(F.sum("k").alias("n_sites")).join(beans.select("type").distinct(), "type", "left_semi")
+    return both.join(hit, "type", "left").join(pairs, "type", "left").na.fill(0, ["n_beans", "n_pairs"])
+
+
 def select_bindings(eligible: DataFrame) -> DataFrame:
     """Selection cascade of each site: unique, single primary (several are
     AMBIGUOUS), single non-fallback, dependency name, lowest priority number
@@ -133,7 +197,11 @@ def select_bindings(eligible: DataFrame) -> DataFrame:
         F.max(F.when(e & (F.col("bean_name") == F.col("site_name")), F.col("bean"))).alias("named_bean"),
         F.min(F.when(e, F.col("priority"))).alias("least"), F.max("optional").alias("optional"))
     lead = eligible.where("eligible").join(g.select("site", "least"), "site").where("priority = least").groupBy("site").agg(F.count("*").alias("n_least"), F.max("bean").alias("least_bean"))
-    j = g.join(lead, "site", "left")
+    return cascade(g.join(lead, "site", "left"))
+
+
+def cascade(j: DataFrame) -> DataFrame:
+    """The state and bean of each site by its counts and extremes."""
     state = (
         F.when(F.col("n_unknown") > 0, "UNKNOWN").when((F.col("n") == 0) & F.col("optional"), "ABSENT_OPTIONAL").when(F.col("n") == 0, "UNSATISFIED")
         .when(F.col("n") == 1, "SELECTED").when(F.col("n_primary") > 1, "AMBIGUOUS").when(F.col("n_primary") == 1, "SELECTED").when(F.col("n_regular") == 1, "SELECTED")

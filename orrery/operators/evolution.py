@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_total
+
 
 def align(left: DataFrame, right: DataFrame, key: str, readable: str | None = None) -> DataFrame:
     """Contexts of both sides by logical key: MATCHED, LEFT_ONLY, RIGHT_ONLY,
@@ -74,10 +76,14 @@ def paired(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame
 
 
 def census(rows: DataFrame, section: str, columns: list[str]) -> DataFrame:
-    """Row count and an order-free digest of each section: the sum and the xor
-    of row hashes, so that no section is gathered in one place."""
-    h = F.xxhash64(*columns)
-    return rows.groupBy(section).agg(F.count("*").alias("n_rows"), F.bit_xor(h).alias("digest_xor"), F.sum((h % 1_000_003).cast("bigint")).alias("digest_sum"))
+    """Row count of each section, a digest of its rows as a set and one of their
+    order by ``columns``: sums of row hashes, plain and weighted by place.  Places
+    are counted in two levels, so no section is gathered in one task."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *columns)), 1, 12), 16, 10).cast("decimal(38,0)")
+    placed = running_total(rows.withColumn("h", h).withColumn("order", F.struct(*columns)).withColumn("one", F.lit(1)), section, "order", "one", "place")
+    return placed.groupBy(section).agg(
+        F.count("*").alias("n_rows"), (F.sum("h") % 1_000_000_007).cast("bigint").alias("digest"),
+        (F.sum(F.col("h") % 1_000_003 * (F.col("place") % 1_000_003)) % 1_000_000_007).cast("bigint").alias("ordered_digest"))
 
 
 def flatten_document(text: str) -> list[tuple[str, str]]:

@@ -106,9 +106,10 @@ def e_sections(spark, d):
     return table(spark, d, "comparison_rows").select("space", "k", "payload").distinct().groupBy(F.split("space", "/")[1].alias("section")).agg(F.count("*").alias("n_rows"), F.count_distinct("space").alias("n_spaces"))
 
 
-@query()
+@query("""WITH r AS (SELECT space, ('0x' || substr(md5(k || chr(31) || payload), 1, 12))::bigint AS h, row_number() OVER (PARTITION BY space ORDER BY k, payload) AS place FROM (SELECT DISTINCT space, k, payload FROM comparison_rows))
+SELECT space, count(*) AS n_rows, (sum(h) % 1000000007)::bigint AS digest, (sum(h % 1000003 * (place % 1000003)) % 1000000007)::bigint AS ordered_digest FROM r GROUP BY space""")
 def e_census(spark, d):
-    """Order-free digest of every section side."""
+    """Rows of every section side with a digest of their set and one of their order."""
     return evolution.census(table(spark, d, "comparison_rows").select("space", "k", "payload").distinct(), "space", ["k", "payload"])
 
 
@@ -227,26 +228,27 @@ g AS (SELECT site, count(*) FILTER (eligible) AS n, max(bean) FILTER (eligible)
 h AS (SELECT g.*, (SELECT count(*) FROM ca WHERE ca.site = g.site AND eligible AND priority = lo) AS nl, (SELECT max(bean) FROM ca WHERE ca.site = g.site AND eligible AND priority = lo) AS b5 FROM g)"""
 
 
-def _candidates(spark, d):
+def _injection(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     sites = c.select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("type"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("wanted"), (F.col("c_custkey") % 2 == 0).alias("optional"), F.concat(F.lit("s"), F.col("c_custkey") % 50).alias("site_name"))
     beans = s.select(
         F.col("s_suppkey").alias("bean"), F.col("s_nationkey").alias("type"), F.element_at(F.array(*map(F.lit, ("BUILDING", "AUTOMOBILE", "MACHINERY"))), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("qualifier"), (F.col("s_acctbal") > -500).alias("autowire"),
         (F.col("s_acctbal") > 0).alias("by_default"), (F.col("s_acctbal") > 8000).alias("primary"), (F.col("s_acctbal") < 1000).alias("fallback"), F.concat(F.lit("s"), F.col("s_suppkey") % 50).alias("bean_name"), (F.col("s_suppkey") % 7).cast("int").alias("priority"))
-    return bridges.candidates(sites, beans)
+    return sites, beans
 
 
 @query(BEANS + """, k AS (SELECT site, n, CASE WHEN n = 0 AND optional THEN 'ABSENT_OPTIONAL' WHEN n = 0 THEN 'UNSATISFIED' WHEN n = 1 THEN 'SELECTED' WHEN np > 1 THEN 'AMBIGUOUS' WHEN np = 1 OR nr = 1 OR b4 IS NOT NULL OR nl = 1 THEN 'SELECTED' ELSE 'AMBIGUOUS' END AS state,
  CASE WHEN n = 1 THEN b1 WHEN np = 1 THEN b2 WHEN nr = 1 THEN b3 WHEN b4 IS NOT NULL THEN b4 WHEN nl = 1 THEN b5 END AS bean FROM h) SELECT site, n, state, CASE WHEN state = 'SELECTED' THEN bean END AS bean FROM k""")
 def b_select(spark, d):
-    """Injection binding: one bean per site by the selection cascade."""
-    return bridges.select_bindings(_candidates(spark, d))
+    """Injection binding: one bean per site by the selection cascade, for the
+    sites whose type is registered at all."""
+    sites, beans = _injection(spark, d)
+    return bridges.bindings(sites.join(beans.select("type").distinct(), "type", "left_semi"), beans)
 
 
 @query(BEANS + " SELECT type, count(DISTINCT site) AS n_sites, count(DISTINCT bean) FILTER (eligible) AS n_beans, count(*) FILTER (eligible) AS n_pairs FROM ca GROUP BY type")
 def b_inventory(spark, d):
-    c = _candidates(spark, d)
-    return c.groupBy("type").agg(F.count_distinct("site").alias("n_sites"), F.count_distinct(F.when(F.col("eligible"), F.col("bean"))).alias("n_beans"), F.count_if("eligible").alias("n_pairs"))
+    return bridges.inventory(*_injection(spark, d))
 
 
 @query("""SELECT user_id, ts, event_id, CASE WHEN b OR value IS NULL OR event_type = 'refund' THEN 'UNKNOWN' WHEN value > 20 THEN 'ACCEPTED' ELSE 'SKIPPED' END AS state

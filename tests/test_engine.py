@@ -455,3 +455,32 @@ def test_llm_is_optional():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"^\s*(from|import)\s+\S*llm", p.read_text(), re.M), p
+
+
+def test_bindings_without_pairs(spark):
+    """The folded registry gives what the cascade over all pairs gives."""
+    r = random.Random(11)
+    maybe = lambda: r.choice([True, True, False, None])
+    beans = [(k, r.randrange(4), r.choice(["a", "b", None]), maybe(), maybe(), r.random() < 0.2, r.random() < 0.3, f"n{r.randrange(9)}", r.choice([None, 1, 2, 3])) for k in range(40)]
+    sites = [(k, r.randrange(5), r.choice(["a", "b", "c", None]), r.random() < 0.5, f"n{r.randrange(9)}") for k in range(120)]
+    b = spark.createDataFrame(beans, 'bean int, type int, qualifier string, autowire boolean, by_default boolean, primary boolean, fallback boolean, bean_name string, priority int')
+    s = spark.createDataFrame(sites, "site int, type int, wanted string, optional boolean, site_name string")
+    pairs = bridges.candidates(s, b)
+    want = {x["site"]: tuple(x) for x in bridges.select_bindings(pairs).collect()}
+    got = {x["site"]: tuple(x) for x in bridges.bindings(s, b).collect()}
+    assert {k: got[k] for k in want} == want and len(got) == len(sites)
+    assert all(x[1] == 0 and x[2] in ("ABSENT_OPTIONAL", "UNSATISFIED") for k, x in got.items() if k not in want)
+    n = {x["type"]: tuple(x) for x in bridges.inventory(s, b).collect()}
+    count = pairs.groupBy("type").agg(F.count_distinct("site").alias("a"), F.count_distinct(F.when(F.col("eligible"), F.col("bean"))).alias("b"), F.count_if("eligible").alias("c"))
+    assert n == {x["type"]: tuple(x) for x in count.collect()}
+    assert bridges.bindings(s.limit(0), b).count() == 0 and bridges.bindings(s, b.limit(0)).count() == len(sites)
+
+
+def test_search_forms(spark):
+    from orrery.operators.search import search
+
+    e = spark.createDataFrame([("x1", "Alpha"), ("x2", "alpha"), ("x3", "Alphabet"), ("alpha", "zed"), ("x5", None), ("x6", ""), (None, "alpha"), ("x1", "Alpha")], "identity string, name string")
+    t = spark.createDataFrame([("alpha",), ("AL",), ("",), (None,), ("nope",)], "term string")
+    got = {(x["term"], x["place"]): (x["identity"], x["form"]) for x in search(e, t, 3).collect()}
+    assert got == {("alpha", 1): ("alpha", 1), ("alpha", 2): ("x2", 2), ("alpha", 3): ("x1", 3), ("AL", 1): ("x1", 4), ("AL", 2): ("x2", 4), ("AL", 3): ("x3", 4)}
+    assert search(e.limit(0), t, 3).count() == 0

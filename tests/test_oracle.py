@@ -11,6 +11,10 @@ import pytest
 from orrery.plans import catalog
 
 
+#: Queries whose result SQL cannot express; they are tested elsewhere.
+NO_SQL: set[str] = set()
+
+
 def norm(v):
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6)
@@ -35,7 +39,8 @@ def test_query(spark, data, duck, name):
     df = catalog.QUERIES[name](spark, data)
     columns = sorted(df.columns)
     rows = sorted(repr(tuple(norm(r[c]) for c in columns)) for r in df.collect())
-    if name not in catalog.SQL:
+    assert name in catalog.SQL or name in NO_SQL
+    if name in NO_SQL:
         return
     cur = duck.execute(catalog.SQL[name])
     names = [x[0] for x in cur.description]
