@@ -19,6 +19,15 @@ WORDS = {"and": "&&", "or": "||", "not": "!", "eq": "==", "ne": "!=", "lt": "<",
 MAX_CHARACTERS, MAX_DEPTH = 4096, 64
 
 
+#: The key of a placeholder with what ends it, and the pieces of a text.
+KEY = re.compile(r"\s*([\w.\-]+)\s*([:}])")
+PIECE = re.compile(r"(\$\{)|(\})|((?:[^$}]|\$(?!\{))+)")
+
+
+def _joined(parts: list[Column]) -> Column:
+    return parts[0] if len(parts) == 1 else F.concat(*parts) if parts else F.lit("")
+
+
 class ExpressionError(ValueError):
     pass
 
@@ -37,7 +46,7 @@ class _Parser:
             number, string, hole, op, word = m.groups()
             i = m.end()
             if hole:
-                body, i = self.placeholder(text, i)
+                body, i = self.hole(text, i)
                 self.tokens.append(("value", body))
             elif number:
                 self.tokens.append(("number", number))
@@ -52,30 +61,35 @@ class _Parser:
             else:
                 raise ExpressionError("EXPRESSION_UNSUPPORTED")
 
-    def placeholder(self, text: str, i: int) -> tuple[Column, int]:
-        """From behind '${' to behind the matching '}'; defaults may nest."""
-        level, j, colon = 1, i, -1
-        while j < len(text):
-            if text.startswith("${", j):
-                level += 1
-                j += 1
-            elif text[j] == "}":
-                level -= 1
-                if not level:
-                    break
-            elif text[j] == ":" and level == 1 and colon < 0:
-                colon = j
-            j += 1
-        if level:
+    # hole := "${" key ( "}" | ":" pieces "}" );  pieces := ( hole | text )*
+    def hole(self, text: str, i: int) -> tuple[Column, int]:
+        """A placeholder from behind its '${'; a default may hold others."""
+        m = KEY.match(text, i)
+        if not m:
+            raise ExpressionError("EXPRESSION_UNSUPPORTED" if "}" in text[i:] else "EXPRESSION_INVALID")
+        value = F.col(f"{self.prefix}{re.sub(r'[.-]', '_', m.group(1))}")
+        if m.group(2) == "}":
+            return value, m.end()
+        default, i = self.pieces(text, m.end(), inside=True)
+        return F.coalesce(value, default), i
+
+    def pieces(self, text: str, i: int, inside: bool) -> tuple[Column, int]:
+        """Text and placeholders in turn, up to the closing brace if ``inside``
+        a placeholder, else to the end; unknown if any part is."""
+        parts: list[Column] = []
+        while i < len(text):
+            opening, closing, plain = PIECE.match(text, i).groups()
+            i += len(opening or closing or plain)
+            if opening:
+                part, i = self.hole(text, i)
+                parts.append(part)
+            elif closing and inside:
+                return _joined(parts), i
+            else:
+                parts.append(F.lit(closing or plain))
+        if inside:
             raise ExpressionError("EXPRESSION_INVALID")
-        key = text[i : colon if colon >= 0 else j].strip()
-        if not re.fullmatch(r"[\w.\-]+", key):
-            raise ExpressionError("EXPRESSION_UNSUPPORTED")
-        value = F.col(f"{self.prefix}{re.sub(r'[.-]', '_', key)}")
-        if colon >= 0:
-            rest = text[colon + 1 : j]
-            value = F.coalesce(value, self.placeholder(rest, 2)[0] if rest.startswith("${") else F.lit(rest))
-        return value, j + 1
+        return _joined(parts), i
 
     def peek(self, *ops: str) -> bool:
         return self.at < len(self.tokens) and self.tokens[self.at][0] == "op" and self.tokens[self.at][1] in ops
@@ -157,7 +171,7 @@ class _Parser:
         if kind == "number":
             return "number", F.lit(value).cast("decimal(38,10)")
         if kind == "string":
-            return "string", self.text(value)
+            return "string", self.pieces(value, 0, inside=False)[0]
         if kind == "constant":
             return ("text", F.lit(None).cast("string")) if value == "null" else ("boolean", F.lit(value == "true"))
         if kind == "value":
@@ -169,15 +183,6 @@ class _Parser:
             return inner
         raise ExpressionError("EXPRESSION_INVALID")
 
-    def text(self, value: str) -> Column:
-        """A quoted text with placeholders inside."""
-        parts, i = [], 0
-        while (k := value.find("${", i)) >= 0:
-            parts.append(F.lit(value[i:k]))
-            column, i = self.placeholder(value, k + 2)
-            parts.append(column)
-        return F.concat(*parts, F.lit(value[i:])) if parts else F.lit(value)
-
     def string(self, x) -> Column:
         return x[1].cast("string")
 

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import QUANTIFIER, SEVERITY, matches_pattern, rank
 from ..session import checkpointed
+from ..sources import strict_yaml
+from ..sources.graph import CONTAINMENT
 from . import regions, traversal
 from .metrics import ratio
 
+DIMENSIONS = ("names", "modules", "packages", "origins", "sourceSets", "identities")
 KINDS = ("FORBIDDEN", "BOUNDARY", "ACYCLIC", "LAYERS")
 #: Penalties of the score model.
 PENALTY = {"INFO": 2, "WARNING": 10, "ERROR": 25}
@@ -27,10 +30,18 @@ class Selector:
 
     names: tuple[str, ...] = ()
     modules: tuple[str, ...] = ()
-
-    def matches(self, name: Column, module: Column) -> Column:
+    packages: tuple[str, ...] = ()
+    origins: tuple[str, ...] = ()
+    sourceSets: tuple[str, ...] = ()
+    identities: tuple[str, ...] = ()
+
+    def matches(self, name: Column, module: Column, **more: Column) -> Column:
+        """``more`` gives the other dimensions; one that is asked for and not
+        given is unknown."""
         parts = []
-        for value, patterns in ((name, self.names), (module, self.modules)):
+        for dimension in DIMENSIONS:
+            patterns = getattr(self, dimension)
+            value = {"names": name, "modules": module, **more}.get(dimension, F.lit(None).cast("string"))
             if patterns:
                 parts.append(reduce(lambda a, b: a | b, [matches_pattern(value, p) for p in patterns]))
         return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
@@ -44,6 +55,11 @@ class Rule:
     source: Selector = field(default_factory=Selector)
     target: Selector = field(default_factory=Selector)
     layers: tuple[tuple[str, Selector], ...] = ()
+    #: (layer, layers it may use); without it a layer may use those behind it
+    allowed: tuple[tuple[str, tuple[str, ...]], ...] | None = None
+    version: str = ""
+    scope: str = ""
+    relationships: tuple[str, ...] = ()
 
 
 class PolicyError(ValueError):
@@ -107,6 +123,130 @@ def compile_policy(text: str) -> list[Rule]:
     return out
 
 
+#: Rule kinds of the policy document with their own fields, the
+#: scopes, and the fields of every rule.
+FIELDS = {"FORBIDDEN_DEPENDENCY": ("from", "to"), "BOUNDARY": ("from", "allowed"), "LAYER_BOUNDARY": ("layers", "allowed"), "ACYCLIC": ("within",)}
+SCOPES = ("TYPE", "PACKAGE", "MODULE")
+HEADER = ("id", "version", "kind", "severity", "scope", "relationships")
+SCHEMA = "architecture-policy:v1"
+MAX_STRINGS, MAX_RULES, MAX_SCALAR = 128, 256, 512
+
+
+@dataclass(frozen=True)
+class Policy:
+    id: str
+    version: str
+    rules: list[Rule]
+
+
+def compile_document(text: str) -> Policy:
+    """The policy document ``architecture-policy:v1`` in strict YAML.
+
+    Every rule has exactly its kind's fields; strings, lists and selectors are
+    checked, and the first problem is raised with its code and line."""
+    try:
+        return _policy(strict_yaml.read(text))
+    except strict_yaml.YamlError as e:
+        raise PolicyError(e.code, e.line) from e
+
+
+def _policy(root: strict_yaml.Node) -> Policy:
+    top = _fields(root, ("schema", "id", "version", "rules"))
+    if _string(top["schema"]) != SCHEMA:
+        raise PolicyError("UNSUPPORTED_SCHEMA", top["schema"].line)
+    nodes = _items(top["rules"])
+    if not 1 <= len(nodes) <= MAX_RULES:
+        raise PolicyError("RULE_COUNT_LIMIT", top["rules"].line)
+    rules: list[Rule] = []
+    for n in nodes:
+        r = _rule(n)
+        if any(r.id == other.id for other in rules):
+            raise PolicyError("DUPLICATE_RULE_ID", n.line)
+        rules.append(r)
+    return Policy(_string(top["id"]), _string(top["version"]), rules)
+
+
+def _rule(node: strict_yaml.Node) -> Rule:
+    if not isinstance(node.value, dict):
+        raise PolicyError("EXPECTED_MAPPING", node.line)
+    if "kind" not in node.value:
+        raise PolicyError("MISSING_FIELD", node.line)
+    kind = _one_of(node.value["kind"], FIELDS)
+    f = _fields(node, (*HEADER, *FIELDS[kind]))
+    relationships = _strings(f["relationships"])
+    if any(x in CONTAINMENT for x in relationships):
+        raise PolicyError("INVALID_RULE", f["relationships"].line)
+    head = {"id": _string(f["id"]), "version": _string(f["version"]), "severity": _one_of(f["severity"], SEVERITY), "scope": _one_of(f["scope"], SCOPES), "relationships": relationships}
+    if kind == "FORBIDDEN_DEPENDENCY":
+        return Rule(kind="FORBIDDEN", source=_selector(f["from"]), target=_selector(f["to"]), **head)
+    if kind == "BOUNDARY":
+        return Rule(kind="BOUNDARY", source=_selector(f["from"]), target=_selector(f["allowed"]), **head)
+    if kind == "ACYCLIC":
+        return Rule(kind="ACYCLIC", source=_selector(f["within"]), target=_selector(f["within"]), **head)
+    layers = [(_string(x["name"]), _selector(x["select"])) for x in (_fields(n, ("name", "select")) for n in _items(f["layers"]))]
+    rows = [(_string(x["from"]), _strings(x["to"], empty=True)) for x in (_fields(n, ("from", "to")) for n in _items(f["allowed"]))]
+    names = [n for n, _ in layers]
+    if len(set(names)) < len(names) or any(a not in names or not set(b) <= set(names) for a, b in rows):
+        raise PolicyError("INVALID_RULE", node.line)
+    if len({a for a, _ in rows}) < len(rows):
+        raise PolicyError("DUPLICATE_LAYER_SOURCE", f["allowed"].line)
+    return Rule(kind="LAYERS", layers=tuple(layers), allowed=tuple(rows), **head)
+
+
+def _fields(node: strict_yaml.Node, names: tuple[str, ...]) -> dict[str, strict_yaml.Node]:
+    if not isinstance(node.value, dict):
+        raise PolicyError("EXPECTED_MAPPING", node.line)
+    for k, n in node.value.items():
+        if k not in names:
+            raise PolicyError("UNKNOWN_FIELD", n.line)
+    if len(node.value) < len(names):
+        raise PolicyError("MISSING_FIELD", node.line)
+    return node.value
+
+
+def _items(node: strict_yaml.Node) -> list[strict_yaml.Node]:
+    if not isinstance(node.value, list):
+        raise PolicyError("EXPECTED_SEQUENCE", node.line)
+    return node.value
+
+
+def _string(node: strict_yaml.Node) -> str:
+    if not isinstance(node.value, str):
+        raise PolicyError("EXPECTED_STRING", node.line)
+    if len(node.value) > MAX_SCALAR or "\0" in node.value or not node.value.strip():
+        raise PolicyError("SCALAR_LIMIT", node.line)
+    return node.value
+
+
+def _strings(node: strict_yaml.Node, empty: bool = False) -> tuple[str, ...]:
+    values = [_string(n) for n in _items(node)]
+    if not empty and not values or len(values) > MAX_STRINGS:
+        raise PolicyError("INVALID_STRING_LIST", node.line)
+    if len(set(values)) < len(values):
+        raise PolicyError("DUPLICATE_VALUE", node.line)
+    return tuple(sorted(values))
+
+
+def _one_of(node: strict_yaml.Node, names) -> str:
+    if _string(node) not in names:
+        raise PolicyError("UNKNOWN_ENUM", node.line)
+    return node.value
+
+
+def _selector(node: strict_yaml.Node) -> Selector:
+    if not isinstance(node.value, dict):
+        raise PolicyError("EXPECTED_MAPPING", node.line)
+    for k, n in node.value.items():
+        if k not in DIMENSIONS:
+            raise PolicyError("UNKNOWN_FIELD", n.line)
+        for p in _strings(n):
+            if "*" in p and p != "*" and not re.fullmatch(r"[^*]+\.\*\*", p):
+                raise PolicyError("INVALID_RULE", n.line)
+    if not node.value:
+        raise PolicyError("INVALID_RULE", node.line)
+    return Selector(**{k: _strings(n) for k, n in node.value.items()})
+
+
 def layer_of(rule: Rule, name: Column, module: Column) -> Column:
     """Layer of an entity; '?' if several match or a match is unknown."""
     hits = [(n, s.matches(name, module)) for n, s in rule.layers]
@@ -129,6 +269,10 @@ def eligible(rule: Rule) -> Column:
         return a & rule.target.matches(*t)
     order = {n: k for k, (n, _) in enumerate(rule.layers)}
     la, lb = layer_of(rule, *s), layer_of(rule, *t)
+    if rule.allowed is not None:
+        pairs = [f"{a}\0{b}" for a, row in rule.allowed for b in row]
+        free = (la == lb) | F.concat_ws("\0", la, lb).isin(*pairs) if pairs else la == lb
+        return F.when((la == "?") | (lb == "?"), F.lit(None).cast("boolean")).otherwise(F.coalesce(~free, F.lit(False)))
     ra, rb = (F.create_map(*[x for n, k in order.items() for x in (F.lit(n), F.lit(k))])[v] for v in (la, lb))
     return F.when((la == "?") | (lb == "?"), F.lit(None).cast("boolean")).otherwise(F.coalesce(ra < rb, F.lit(False)))
 

@@ -194,6 +194,61 @@ def p_budget(spark, d):
     return policy.budgeted(_findings(spark, d), 20).select("rule", "source", "target")
 
 
+DOCUMENT = """
+schema: architecture-policy:v1
+id: regions.boundaries
+version: "1"
+rules:
+  - {id: forbidden, version: "1", kind: FORBIDDEN_DEPENDENCY, severity: ERROR, scope: PACKAGE, relationships: [graph.depends-on], from: {modules: [EUROPE]}, to: {modules: [ASIA], names: ["*"]}}
+  - id: boundary
+    version: "1"
+    kind: BOUNDARY
+    severity: WARNING
+    scope: PACKAGE
+    relationships: [graph.depends-on]
+    from: {modules: [AFRICA]}
+    allowed:
+      modules: [AFRICA, ASIA]
+  - id: circles   # within one module
+    version: "1"
+    kind: ACYCLIC
+    severity: INFO
+    scope: PACKAGE
+    relationships:
+    - graph.depends-on
+    within: {modules: [AMERICA]}
+  - id: layers
+    version: "1"
+    kind: LAYER_BOUNDARY
+    severity: WARNING
+    scope: PACKAGE
+    relationships: [graph.depends-on]
+    layers:
+      - {name: top, select: {modules: [EUROPE, AMERICA]}}
+      - name: middle
+        select: {modules: [ASIA]}
+      - {name: bottom, select: {modules: [AFRICA]}}
+    allowed:
+      - {from: top, to: [middle]}
+      - {from: middle, to: [bottom]}
+      - {from: bottom, to: []}
+"""
+LAYER = "CASE WHEN {m} IN ('EUROPE', 'AMERICA') THEN 'top' WHEN {m} = 'ASIA' THEN 'middle' WHEN {m} = 'AFRICA' THEN 'bottom' END"
+
+
+@query(f"""WITH {NAMED}, dl AS (SELECT *, {LAYER.format(m="source_module")} AS sl, {LAYER.format(m="target_module")} AS tl FROM ne),
+df AS (SELECT 'forbidden' AS rule, 'ERROR' AS severity, source, target, quantifier FROM dl WHERE source_module = 'EUROPE' AND target_module = 'ASIA' AND target_name IS NOT NULL
+ UNION ALL SELECT 'boundary', 'WARNING', source, target, quantifier FROM dl WHERE source_module = 'AFRICA' AND target_module NOT IN ('AFRICA', 'ASIA')
+ UNION ALL SELECT 'circles', 'INFO', source, target, quantifier FROM cq
+ UNION ALL SELECT 'layers', 'WARNING', source, target, quantifier FROM dl WHERE sl <> tl AND (sl, tl) NOT IN (('top', 'middle'), ('middle', 'bottom')))
+SELECT rule, severity, source, target, quantifier FROM df""")
+def p_document(spark, d):
+    """Findings of a policy document in the declared format."""
+    f = checkpointed(facts(spark, d))
+    edges = named_edges(regions.classify(regions.measure(f, KEYS, len(WORLDS))), spark, d)
+    return policy.evaluate(policy.bind(edges, policy.compile_document(DOCUMENT).rules, f, len(WORLDS))).select("rule", "severity", "source", "target", "quantifier")
+
+
 DIM = """CASE rule WHEN 'no-asia-from-europe' THEN 'boundaries' WHEN 'africa-stays-home' THEN 'boundaries' WHEN 'acyclic-america' THEN 'cyclicity' ELSE 'policy' END"""
 ROOTS = f"""{NAMED}, ro AS (SELECT {DIM} AS dimension, source, target, max(CASE severity WHEN 'ERROR' THEN 25 WHEN 'WARNING' THEN 10 ELSE 2 END) AS penalty FROM fi WHERE quantifier IN ('MUST', 'MAY') GROUP BY ALL)"""
 

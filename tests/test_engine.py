@@ -334,7 +334,7 @@ def test_holds_spread_along_the_whole_schedule(spark):
 def test_expressions(spark):
     row = spark.createDataFrame([("8", "true", None, "x y")], "property_a string, property_b string, property_c_d string, property_e string")
     cases = {
-        "${a} + 2 == 10": True, "${b} && !(1 > 2)": True, "${c.d}": None, "${c.d:7} * 2 == 14": True, "${c.d:${a}} == '8'": True, "'v ${e}' == \"v x y\"": True, "${c.d} == 'q' or true": True, "${c.d} == 'q' and true": None,
+        "${a} + 2 == 10": True, "${b} && !(1 > 2)": True, "${c.d}": None, "${c.d:7} * 2 == 14": True, "${c.d:${a}} == '8'": True, "${c.d:x${a}y${c.d:z}} == 'x8yz'": True, "'${c.d:p${c.d}}' == 'p'": None, "'v ${e}' == \"v x y\"": True, "${c.d} == 'q' or true": True, "${c.d} == 'q' and true": None,
         "1 < 2 ? 'a' == 'a' : false": True, "${c.d:} ?: 'z'": "z", "not ${b} or ${a} ge 9": False, "5 % 3 == 2 and -1 lt 0": True, "'it''s' == \"it's\"": True, "1 == 'a'": False, "#{ 10 / 4 == 2.5 }": True, "${a} / 0 > 1": None}
     got = row.select(*[expressions.compile_expression(x).alias(f"x{k}") for k, x in enumerate(cases)]).first()
     assert list(got) == list(cases.values())
@@ -484,3 +484,48 @@ def test_search_forms(spark):
     got = {(x["term"], x["place"]): (x["identity"], x["form"]) for x in search(e, t, 3).collect()}
     assert got == {("alpha", 1): ("alpha", 1), ("alpha", 2): ("x2", 2), ("alpha", 3): ("x1", 3), ("AL", 1): ("x1", 4), ("AL", 2): ("x2", 4), ("AL", 3): ("x3", 4)}
     assert search(e.limit(0), t, 3).count() == 0
+
+
+DECLARED = """schema: architecture-policy:v1
+id: example.boundaries
+version: "1"
+rules:
+  - id: web.persistence
+    version: "1"
+    kind: FORBIDDEN_DEPENDENCY
+    severity: ERROR
+    scope: TYPE
+    relationships: [graph.depends-on]
+    from: {packages: [com.example.web.**]}
+    to: {packages: [com.example.persistence.**]}
+"""
+
+
+def test_policy_document():
+    p = policy.compile_document(DECLARED)
+    (r,) = p.rules
+    assert (p.id, p.version, r.id, r.kind, r.scope, r.relationships) == ("example.boundaries", "1", "web.persistence", "FORBIDDEN", "TYPE", ("graph.depends-on",))
+    assert r.source.packages == ("com.example.web.**",) and policy.compile_document("---\n" + DECLARED) == p
+    head = DECLARED.split("    from:")[0]
+    layered = head.replace("FORBIDDEN_DEPENDENCY", "LAYER_BOUNDARY") + "    layers: [{name: a, select: {modules: [x]}}, {name: b, select: {modules: [y]}}]\n    allowed: [{from: a, to: [b]}, {from: b, to: []}]\n"
+    assert policy.compile_document(layered).rules[0].allowed == (("a", ("b",)), ("b", ()))
+    assert policy.compile_document(head.replace("FORBIDDEN_DEPENDENCY", "ACYCLIC") + "    within: {names: ['*']}\n").rules[0].target.names == ("*",)
+
+
+BROKEN = {
+    "EMPTY_DOCUMENT": ["", "---\n", "# only\n"], "UNKNOWN_FIELD": [DECLARED + "unknown: secret\n", DECLARED.replace("    to:", "    within:"), DECLARED.replace("to: {packages", "to: {package")],
+    "UNSUPPORTED_SCHEMA": [DECLARED.replace("policy:v1", "policy:v2")], "UNSUPPORTED_YAML_TYPE": [DECLARED.replace('version: "1"', "version: 1"), DECLARED.replace("from: {packages: [com.example.web.**]}", "from: !!x {}"), DECLARED.replace("severity: ERROR", "severity:")],
+    "UNKNOWN_ENUM": [DECLARED.replace("ERROR", "BANANA"), DECLARED.replace("FORBIDDEN_DEPENDENCY", "EXECUTE"), DECLARED.replace("scope: TYPE", "scope: ENTITY")],
+    "INVALID_RULE": [DECLARED.replace("graph.depends-on", "graph.contains"), DECLARED.replace("{packages: [com.example.web.**]}", "{}"), DECLARED.replace("com.example.web.**", "com.*.web")],
+    "DUPLICATE_KEY": [DECLARED.replace("id: example.boundaries", "id: a\nid: b"), DECLARED.replace("{packages: [com.example.web.**]}", "{names: [a], names: [b]}")], "SINGLE_DOCUMENT_REQUIRED": [DECLARED + "---\nsecond: document\n"],
+    "YAML_ANCHOR_UNSUPPORTED": [DECLARED.replace("from: {", "from: &x {"), DECLARED.replace("to: {packages: [com.example.persistence.**]}", "to: *x")], "MISSING_FIELD": [DECLARED.replace("    severity: ERROR\n", ""), DECLARED.replace("id: example.boundaries\n", "")],
+    "INVALID_STRING_LIST": [DECLARED.replace("[graph.depends-on]", "[]")], "DUPLICATE_VALUE": [DECLARED.replace("[graph.depends-on]", "[a, a]")], "EXPECTED_SEQUENCE": [DECLARED.replace("[graph.depends-on]", "graph.depends-on")],
+    "DUPLICATE_RULE_ID": [DECLARED + DECLARED.split("rules:\n")[1]], "MALFORMED_YAML": [DECLARED.replace("[graph.depends-on]", "[graph.depends-on"), DECLARED + "  stray\n"],
+}
+
+
+@pytest.mark.parametrize("code,text", [(c, t) for c, ts in BROKEN.items() for t in ts])
+def test_policy_document_problems(code, text):
+    with pytest.raises(policy.PolicyError) as e:
+        policy.compile_document(text)
+    assert e.value.code == code and e.value.line >= 1
