@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, small
+from ..session import checkpointed, discard, small
 
 #: Weight (rows and array entries) that one task takes: some 0.3 GB of ids.
 TASK_WEIGHT = 2_000_000
@@ -352,9 +352,16 @@ def descendants(tree: DataFrame) -> DataFrame:
 
 
 def paths(tree: DataFrame, separator: str = "/") -> DataFrame:
-    """(id, top, depth, path): the ids from the top down to the module."""
-    up = descendants(tree).select("id", F.col("ancestor").alias("step"), (-F.col("distance")).alias("at"))
-    own = tree.where("first is not null").select("id", F.col("id").alias("step"), F.lit(0).alias("at"))
-    joined = up.unionByName(own).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "step"))).alias("steps"))
-    return tree.where("first is not null").select("id", "top", "depth").join(joined, "id").select(
-        "id", "top", "depth", F.array_join(F.transform("steps", lambda s: s["step"]), separator).alias("path"))
+    """(id, top, depth, path): the ids from the top down to the module.
+
+    Ways to the top are doubled: each round puts the way of the module reached
+    so far in front, so rounds are logarithmic in the depth and no ancestor is
+    ever a row of its own."""
+    placed = tree.where("first is not null")
+    way = checkpointed(placed.select("id", "top", "depth", F.col("parent").alias("jump"), F.col("id").alias("path")))
+    while way.where("jump is not null").limit(1).count():
+        far = way.select(F.col("id").alias("jump"), F.col("jump").alias("next"), F.col("path").alias("above"))
+        old, way = way, checkpointed(way.join(far, "jump", "left").select(
+            "id", "top", "depth", F.col("next").alias("jump"), F.when(F.col("above").isNotNull(), F.concat("above", F.lit(separator), "path")).otherwise(F.col("path")).alias("path")))
+        discard(old)
+    return way.select("id", "top", "depth", "path")

@@ -8,8 +8,10 @@ false 0 < unknown 1 < true 2.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -256,9 +258,62 @@ def satisfiable(formula: tuple, max_steps: int = 1_000_000) -> dict[str, bool] |
     return None
 
 
-def implies(a: tuple, b: tuple) -> bool:
-    return satisfiable(("and", a, ("not", b))) is None
-
-
-def equivalent(a: tuple, b: tuple) -> bool:
-    return implies(a, b) and implies(b, a)
+def implies(a: tuple, b: tuple, max_steps: int = 1_000_000) -> bool | None:
+    """Does ``b`` hold wherever ``a`` does?  None when the step budget ends."""
+    model = satisfiable(("and", a, ("not", b)), max_steps)
+    return None if model == "UNKNOWN" else model is None
+
+
+def equivalent(a: tuple, b: tuple, max_steps: int = 1_000_000) -> bool | None:
+    both = implies(a, b, max_steps), implies(b, a, max_steps)
+    return False if False in both else None if None in both else True
+
+
+def delta_of(a: tuple, b: tuple, max_steps: int = 1_000_000) -> str:
+    """What became of a symbolic region: ABSENT, INTRODUCED, RESOLVED, PERSISTED,
+    NARROWED, WIDENED or CHANGED; UNCERTAIN when a proof is not found in time."""
+    here, there = satisfiable(a, max_steps), satisfiable(b, max_steps)
+    if "UNKNOWN" in (here, there):
+        return "UNCERTAIN"
+    if here is None or there is None:
+        return "ABSENT" if here is there else "INTRODUCED" if here is None else "RESOLVED"
+    onward, back = implies(a, b, max_steps), implies(b, a, max_steps)
+    if None in (onward, back):
+        return "UNCERTAIN"
+    return "PERSISTED" if onward and back else "WIDENED" if onward else "NARROWED" if back else "CHANGED"
+
+
+def from_terms(terms: list[list[str]]) -> tuple:
+    """OR of AND terms of literals, '!' in front of what must not hold."""
+    literal = lambda x: ("not", ("var", x[1:])) if x.startswith("!") else ("var", x)
+    parts = [("and", *map(literal, t)) if t else ("const", True) for t in terms]
+    return ("or", *parts) if parts else ("const", False)
+
+
+#: Verdicts that one task remembers.
+MAX_VERDICTS = 100_000
+
+
+def symbolic_delta(rows: DataFrame, keys: list[str], max_steps: int = 1_000_000) -> DataFrame:
+    """(keys, verdict): ``left`` and ``right`` regions of each row, both
+    array<array<string>> as in ``from_terms``, compared by proofs where the rows
+    are.  A null side is unknown and makes the row UNCERTAIN."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            out = []
+            for sides in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
+                if None in sides:
+                    out.append("UNCERTAIN")
+                    continue
+                k = tuple(tuple(sorted({tuple(sorted(t)) for t in x})) for x in sides)
+                if k not in known:
+                    if len(known) >= MAX_VERDICTS:
+                        known.clear()
+                    known[k] = delta_of(from_terms(k[0]), from_terms(k[1]), max_steps)
+                out.append(known[k])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], pa.array(out, pa.string())], names=[*keys, "verdict"])
+
+    return rows.select(*keys, "left", "right").mapInArrow(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], "verdict string"]))

@@ -290,7 +290,7 @@ def k_cytoscape(spark, d):
 def f_scalars(spark, d):
     x = table(spark, d, "documents").where("text is not null")
     return x.select("doc_id", scalars.digest(F.col("text")).alias("digest"), scalars.package_of(F.replace(F.col("path"), F.lit("/"), F.lit("."))).alias("package"),
-                    scalars.per_mille(F.length(F.trim(F.col("text"))), F.coalesce("n_chars", F.lit(0))).alias("per_mille"), scalars.safe_path(F.col("path")).alias("safe"))
+                    scalars.per_mille(F.length(F.regexp_replace("text", r"^\p{Z}+|\p{Z}+$", "")), F.coalesce("n_chars", F.lit(0))).alias("per_mille"), scalars.safe_path(F.col("path")).alias("safe"))
 
 
 @query("""SELECT source, path, CASE lower(regexp_extract(path, '\\.([^./]+)$', 1)) WHEN 'java' THEN 'java' WHEN 'py' THEN 'python' WHEN 'pyi' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'cjs' THEN 'javascript' WHEN 'c' THEN 'c' WHEN 'h' THEN 'c' WHEN 'json' THEN 'json' WHEN 'xml' THEN 'xml' WHEN 'md' THEN 'markdown' WHEN 'rst' THEN 'restructuredtext' WHEN 'adoc' THEN 'asciidoc' WHEN 'txt' THEN 'text' ELSE 'unclassified' END AS language,

@@ -205,24 +205,19 @@ def t_replay(spark, d):
     return m.join(replay, [*KEYS, "witness"], "left").na.fill(False, ["replayed"])
 
 
-_FORMULAS = {
-    "resolved": (("var", "a"), ("and", ("var", "a"), ("not", ("var", "a")))), "persisted": (("or", ("var", "a"), ("var", "b")), ("or", ("var", "b"), ("var", "a"))),
-    "narrowed": (("var", "a"), ("and", ("var", "a"), ("var", "b"))), "widened": (("and", ("var", "a"), ("var", "b")), ("var", "a")), "changed": (("var", "a"), ("var", "b"))}
-
-
-@query("SELECT * FROM (VALUES ('resolved', 'RESOLVED'), ('persisted', 'PERSISTED'), ('narrowed', 'NARROWED'), ('widened', 'WIDENED'), ('changed', 'CHANGED')) v(name, verdict)")
+@query(f"""WITH {OCC}, t AS (SELECT DISTINCT source, target, before, ascii(kind) - 49 AS v, quantity % 2 = 1 AS flag FROM occ WHERE quantity >= 40),
+e AS (SELECT DISTINCT source, target FROM t), a AS (SELECT i FROM range(64) r(i)),
+h AS (SELECT e.source, e.target, a.i, coalesce(bool_or(t.before AND (a.i >> t.v) & 1 = 1 AND ((a.i >> 5) & 1 = 1) = t.flag), false) AS l, coalesce(bool_or(NOT t.before AND (a.i >> t.v) & 1 = 1 AND ((a.i >> 5) & 1 = 1) = t.flag), false) AS r
+ FROM e CROSS JOIN a JOIN t ON t.source = e.source AND t.target = e.target GROUP BY ALL),
+g AS (SELECT source, target, bool_or(l) AS l, bool_or(r) AS r, bool_and(NOT l OR r) AS onward, bool_and(NOT r OR l) AS back FROM h GROUP BY ALL)
+SELECT source, target, CASE WHEN NOT l AND NOT r THEN 'ABSENT' WHEN NOT l THEN 'INTRODUCED' WHEN NOT r THEN 'RESOLVED' WHEN onward AND back THEN 'PERSISTED' WHEN onward THEN 'WIDENED' WHEN back THEN 'NARROWED' ELSE 'CHANGED' END AS verdict FROM g""")
 def t_symbolic_delta(spark, d):
-    """Symbolic regions of two sides compared by satisfiability proofs."""
-    rows = []
-    for name, (a, b) in _FORMULAS.items():
-        if regions.satisfiable(a) is not None and regions.satisfiable(b) is None:
-            v = "RESOLVED"
-        elif regions.equivalent(a, b):
-            v = "PERSISTED"
-        else:
-            v = "NARROWED" if regions.implies(b, a) else "WIDENED" if regions.implies(a, b) else "CHANGED"
-        rows.append((name, v))
-    return spark.createDataFrame(rows, "name string, verdict string")
+    """Symbolic regions of every edge before and after a date, terms over the
+    kinds of its occurrences and a flag, compared by satisfiability proofs."""
+    o = occurrences(spark, d).where("quantity >= 40")
+    term = F.array(F.concat(F.lit("kind"), F.substring("kind", 1, 1)), F.when(F.col("quantity") % 2 == 1, "flag").otherwise("!flag"))
+    sides = o.groupBy(*KEYS).agg(F.collect_set(F.when(F.col("before"), term)).alias("left"), F.collect_set(F.when(~F.col("before"), term)).alias("right"))
+    return regions.symbolic_delta(sides, KEYS)
 
 
 # -- windows, pages, sets ------------------------------------------------------------------------------------

@@ -156,6 +156,25 @@ def test_reachability_and_shortest_paths_against_breadth_first_search(spark, mon
     assert traversal.reachability(e.limit(0), starts).count() == 0 and traversal.reachability(e, starts.limit(0)).count() == 0
 
 
+def test_conditional_paths_of_all_literal_choices():
+    """a -> b -> c -> d: a path is possible where all its conditions meet."""
+    literals = [("var", "p"), ("not", ("var", "p")), ("var", "q"), ("not", ("var", "q"))]
+    for edges_ in itertools.product(literals, repeat=3):
+        possible = any(all(({"p": p, "q": q}[x[1]] if x[0] == "var" else not {"p": p, "q": q}[x[1][1]]) for x in edges_) for p in (True, False) for q in (True, False))
+        model = regions.satisfiable(("and", *edges_))
+        assert (model is not None) == possible
+        prefix = regions.satisfiable(("and", *edges_[:2]))
+        assert prefix is not None or model is None  # a prefix that is cut off has no way on
+
+
+def test_symbolic_delta_of_rows(spark):
+    cases = [(1, [["a"]], [["a", "!a"]], "RESOLVED"), (2, [], [["a"]], "INTRODUCED"), (3, [["a", "b"], ["a", "!b"]], [["a"]], "PERSISTED"), (4, [["a"]], [["a", "b"]], "NARROWED"), (5, [["a", "b"]], [["a"]], "WIDENED"),
+             (6, [["a"]], [["b"]], "CHANGED"), (7, [], [], "ABSENT"), (8, None, [["a"]], "UNCERTAIN"), (9, [[]], [["a"], ["!a"]], "PERSISTED")]
+    df = spark.createDataFrame(cases, "k int, left array<array<string>>, right array<array<string>>, want string")
+    got = {r["k"]: r["verdict"] for r in regions.symbolic_delta(df, ["k"]).collect()}
+    assert got == {c[0]: c[3] for c in cases} and regions.symbolic_delta(df.limit(0), ["k"]).count() == 0
+
+
 # -- truth regions -----------------------------------------------------------------------
 def test_kleene_fold_and_classification(spark):
     rows = spark.createDataFrame([("e", "w1", True), ("e", "w1", None), ("e", "w2", True), ("f", "w1", False), ("g", "w1", True), ("g", "w2", True)], "k string, world string, truth boolean")
@@ -193,6 +212,8 @@ def test_satisfiability_against_truth_table():
     a, b = ("var", "a"), ("var", "b")
     assert regions.implies(("and", a, b), a) and not regions.implies(a, b)
     assert regions.equivalent(("not", ("and", a, b)), ("or", ("not", a), ("not", b)))
+    hard = ("and", *[("or", ("var", f"x{k}"), ("var", f"y{k}")) for k in range(20)])
+    assert regions.implies(hard, a, max_steps=3) is None and regions.delta_of(hard, a, max_steps=3) == "UNCERTAIN"
     assert regions.satisfiable(("and", a, ("not", a))) is None and regions.satisfiable(("const", True)) == {}
     assert regions.satisfiable(("and", *[("or", ("var", f"x{k}"), ("var", f"y{k}")) for k in range(20)]), max_steps=3) == "UNKNOWN"
 
