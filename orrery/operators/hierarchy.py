@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, discard, small
+from .traversal import strong_components
 
 #: Weight (rows and array entries) that one task takes: some 0.3 GB of ids.
 TASK_WEIGHT = 2_000_000
@@ -267,23 +268,76 @@ def _large(rows: DataFrame, task_weight: int) -> DataFrame:
 
 def _rest(t: pa.Table) -> pa.Table:
     ids = pc.unique(pa.chunked_array([*t.column("id").chunks, *t.column("to").chunks], pa.string()))
-    hit = on_circles(len(ids), _index(t.column("id"), ids), _index(t.column("to"), ids))
-    return pa.table([ids.filter(pa.array(hit))], names=["id"])
+    label = strong_components(len(ids), _index(t.column("id"), ids), _index(t.column("to"), ids))
+    size = np.bincount(label, minlength=len(ids))
+    hit = np.flatnonzero(size[label] > 1)
+    return pa.table([ids.take(pa.array(hit)), ids.take(pa.array(label[hit]))], names=["id", "component"])
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges between the ends of chains, (id, head, tail) of the nodes inside
+    chains, ids on rings that nothing leads into).
+
+    A node with one way in and one way out is inside a chain.  Both ways are
+    doubled, so rounds are logarithmic in the longest chain; what has no end
+    after as many rounds as the nodes inside allow is a ring."""
+    ways = edges.groupBy("id").agg(F.count("*").alias("n"), F.min("to").alias("ahead")).where("n = 1").drop("n").join(
+        edges.groupBy(F.col("to").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("behind")).where("n = 1").drop("n"), "id")
+    ways = checkpointed(ways)
+    inside = ways.select("id")
+
+    def open_(side: str) -> DataFrame:
+        return inside.select(F.col("id").alias(side), F.lit(True).alias(f"{side}_open"))
+
+    way = checkpointed(ways.join(open_("ahead"), "ahead", "left").join(open_("behind"), "behind", "left").na.fill(False, ["ahead_open", "behind_open"]))
+    n = ways.count()
+    for _ in range(n.bit_length() + 1):
+        if not way.where("ahead_open or behind_open").limit(1).count():
+            break
+        new = way
+        for side in ("ahead", "behind"):
+            far = way.select(F.col("id").alias(side), F.col(side).alias("_to"), F.col(f"{side}_open").alias("_open"))
+            new = new.join(far, side, "left").withColumns({
+                side: F.when(F.col(f"{side}_open"), F.col("_to")).otherwise(F.col(side)), f"{side}_open": F.col(f"{side}_open") & F.coalesce("_open", F.lit(False))}).drop("_to", "_open")
+        old, way = way, checkpointed(new)
+        discard(old)
+    rings = way.where("ahead_open").select("id")
+    chains = way.where("not ahead_open").select("id", F.col("behind").alias("head"), F.col("ahead").alias("tail"))
+    plain = edges.join(inside, "id", "left_anti").join(inside.select(F.col("id").alias("to")), "to", "left_anti").select("id", "to")
+    return checkpointed(plain.unionByName(chains.select(F.col("head").alias("id"), F.col("tail").alias("to"))).distinct()), chains, rings
 
 
 def _circles_of_edges(edges: DataFrame, task_weight: int) -> DataFrame:
-    """Nodes on directed circles.  Peel off what has no way in or out, until
-    the edges left fit one task.  If peeling ends before that: spread the
-    greatest id forward, and from each node that kept its own id spread backward
-    among equals - that is its component - and start again without it."""
-    found = edges.where("id = to").select("id").distinct()
+    """Nodes on directed circles.  Chains are drawn together to single edges
+    first, so what follows takes no round for each of their links."""
+    loops = edges.where("id = to").select("id").distinct()
     live = checkpointed(edges.where("id <> to"))
+    if live.count() <= task_weight:
+        return checkpointed(loops.union(_in_task(live).select("id")).distinct())
+    short, chains, rings = _contracted(live)
+    found = checkpointed(_components_of_edges(short.where("id <> to"), task_weight))
+    closed = chains.where("head = tail")
+    head, tail = (found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component")) for c in ("head", "tail"))
+    between = chains.join(head, "head").join(tail, "tail").where("head_component = tail_component").select("id")
+    return checkpointed(loops.union(found.select("id")).union(rings).union(closed.select("id")).union(closed.select("head")).union(between).distinct())
+
+
+def _in_task(edges: DataFrame) -> DataFrame:
+    return edges.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _rest(t), "id string, component string")
+
+
+def _components_of_edges(edges: DataFrame, task_weight: int) -> DataFrame:
+    """(id, component) of the nodes on circles.  Peel off what has no way in or
+    out, until the edges left fit one task.  If peeling ends before that: spread
+    the greatest id forward, and from each node that kept its own id spread
+    backward among equals - that is its component - and start again without it."""
+    live = checkpointed(edges)
+    found = live.limit(0).select("id", F.col("to").alias("component"))
     while True:
         n = live.count()
         while n:
             if n <= task_weight:
-                rest = live.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(lambda t: _rest(t), "id string")
-                return checkpointed(found.union(rest).distinct())
+                return found.union(_in_task(live))
             live = checkpointed(live.join(live.select(F.col("to").alias("id")).distinct(), "id", "left_semi").join(
                 live.select(F.col("id").alias("to")).distinct(), "to", "left_semi").select("id", "to"))
             m = live.count()
@@ -291,7 +345,7 @@ def _circles_of_edges(edges: DataFrame, task_weight: int) -> DataFrame:
                 break
             n = m
         if not n:
-            return checkpointed(found.distinct())
+            return found
         color = checkpointed(live.select("id").union(live.select("to")).distinct().withColumn("color", F.col("id")))
         while True:
             push = live.join(color, "id").groupBy(F.col("to").alias("id")).agg(F.max("color").alias("push"))
@@ -308,7 +362,7 @@ def _circles_of_edges(edges: DataFrame, task_weight: int) -> DataFrame:
             part = checkpointed(part.union(frontier))
         # a component of one node is no circle: no edge of equal color reaches it
         size = part.join(color, "id").groupBy("color").agg(F.count("*").alias("n"))
-        found = checkpointed(found.union(part.join(color, "id").join(size.where("n > 1"), "color", "left_semi").select("id")))
+        found = checkpointed(found.union(part.join(color, "id").join(size.where("n > 1"), "color", "left_semi").select("id", "color")))
         live = checkpointed(live.join(part, "id", "left_anti").join(part.select(F.col("id").alias("to")), "to", "left_anti"))
 
 

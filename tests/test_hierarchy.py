@@ -119,3 +119,17 @@ def test_deep_chain_and_paths(spark):
     few = H.hierarchy(spark.createDataFrame(rows[:6], SCHEMA))
     assert {r["path"] for r in H.paths(few).collect()} >= {"00000/00001/00002", "00000"}
     assert H.descendants(few).count() == 15
+
+
+def test_long_chains_of_dependencies_take_few_rounds(spark, monkeypatch):
+    """A chain, a closed chain between two heads and a ring of their own, all
+    beyond the weight of a task: nothing is peeled link by link."""
+    n = 1000
+    edges = [(f"c{k:05d}", f"c{k + 1:05d}") for k in range(n)] + [(f"r{k:05d}", f"r{(k + 1) % n:05d}") for k in range(n)]
+    edges += [("h", "a00000"), ("h", "z"), ("z", "h"), ("z", "y")] + [(f"a{k:05d}", f"a{k + 1:05d}") for k in range(n)] + [(f"a{n:05d}", "z")]
+    rounds = []
+    kept = H.checkpointed
+    monkeypatch.setattr(H, "checkpointed", lambda df: rounds.append(1) or kept(df))
+    got = {r["id"] for r in H._circles_of_edges(spark.createDataFrame(edges, "id string, to string"), 100).collect()}
+    assert got == {f"r{k:05d}" for k in range(n)} | {f"a{k:05d}" for k in range(n + 1)} | {"h", "z"}
+    assert len(rounds) < 40
