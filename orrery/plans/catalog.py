@@ -8,9 +8,9 @@ from functools import wraps
 from pyspark.sql import functions as F
 
 from ..operators import core_queries, core_sql
-from . import data_queries, detail_queries, graph_queries, region_queries, registry, source_queries
+from . import answer_queries, data_queries, detail_queries, graph_queries, region_queries, registry, source_queries
 
-__all__ = ["QUERIES", "SQL", "data_queries", "detail_queries", "graph_queries", "region_queries", "source_queries"]
+__all__ = ["QUERIES", "SQL", "answer_queries", "data_queries", "detail_queries", "graph_queries", "region_queries", "source_queries"]
 
 
 def presented(f: Callable) -> Callable:

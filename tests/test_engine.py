@@ -550,3 +550,33 @@ def test_policy_document_problems(code, text):
     with pytest.raises(policy.PolicyError) as e:
         policy.compile_document(text)
     assert e.value.code == code and e.value.line >= 1
+
+
+def test_result_store_goes_on_and_keeps_its_owner(spark, tmp_path):
+    from orrery.sources.results import ResultStore
+
+    folder = str(tmp_path / "store")
+    store, made = ResultStore(spark, folder, "a"), []
+    store.section("one", lambda: made.append(1) or spark.range(3))
+    with pytest.raises(RuntimeError):
+        store.section("two", lambda: (_ for _ in ()).throw(RuntimeError("lost")))
+    again = ResultStore(spark, folder, "a")
+    assert again.sections() == ["one"]
+    assert again.section("one", lambda: made.append(1) or spark.range(9)).count() == 3 and again.section("two", lambda: made.append(2) or spark.range(2)).count() == 2
+    assert made == [1, 2] and again.sections() == ["one", "two"]
+    with pytest.raises(ValueError):
+        ResultStore(spark, folder, "b")
+
+
+def test_configuration_order_and_pages(spark):
+    from orrery.operators import answers
+
+    e = edges(spark, [("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("y", "z"), ("l", "l"), ("a", "c")])
+    n = spark.createDataFrame([("c", k) for k in "abcxyzlq"], "context string, node string")
+    got = {r["node"]: (r["rank"], r["status"]) for r in answers.ordered(e, n).collect()}
+    assert got == {"a": (0, "ORDERED"), "b": (1, "ORDERED"), "c": (2, "ORDERED"), "q": (0, "ORDERED"), "x": (None, "CYCLE"), "y": (None, "CYCLE"), "l": (None, "CYCLE"), "z": (None, "HELD")}
+    rows = spark.createDataFrame([("g", k) for k in range(7)] + [("h", 1)], "g string, k int")
+    pages = answers.paged(rows, "g", "k", 3)
+    assert {(r["g"], r["page"], r["n"], r["sound"]) for r in answers.page_census(pages, "g", "k", 3).collect()} == {("g", 0, 3, True), ("g", 1, 3, True), ("g", 2, 1, True), ("h", 0, 1, True)}
+    assert [r["sound"] for r in answers.page_census(pages.where("k <> 1 and g = 'g' and page = 0"), "g", "k", 3).collect()] == [False]
+    assert answers.paged(rows.limit(0), "g", "k", 3).count() == 0
