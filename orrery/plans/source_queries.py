@@ -9,6 +9,7 @@ from ..functions import scalars
 from ..operators import search, traversal
 from ..session import own_folder, table
 from ..sources import documents as docs
+from ..sources import extract
 from ..sources.graph import Graph
 from .graph_queries import LE, REL, N, X
 from .registry import query
@@ -57,6 +58,21 @@ def s_ndjson(spark, d):
     return docs.scan_table(spark, folder, after="module").select("kind", "key", "scope", F.col("fields")["n_evidence"].alias("n_evidence")).distinct()
 
 
+def _outline_sql() -> str:
+    parts = []
+    for language, (suffix, noise, patterns) in extract.OUTLINE.items():
+        q = lambda x: "'" + x.replace("'", "''") + "'"
+        for what, p in patterns.items():
+            parts.append(f"SELECT doc_id, '{language}' AS language, '{what}' AS what, unnest(regexp_extract_all(regexp_replace(text, {q(noise)}, ' ', 'g'), {q(p)}, 1)) AS name FROM documents WHERE text IS NOT NULL AND regexp_matches(path, {q(suffix)})")
+    return "SELECT doc_id, language, what, name, count(*) AS n FROM (" + " UNION ALL ".join(parts) + ") GROUP BY ALL"
+
+
+@query(_outline_sql())
+def s_outline(spark, d):
+    """Imports, declarations and calls of the source files of four languages."""
+    return extract.outline(table(spark, d, "documents"))
+
+
 # -- scalar functions ------------------------------------------------------------------
 @query("""SELECT DISTINCT identity, '{"identity":' || to_json(identity)::varchar || ',"kind":' || to_json(kind)::varchar || '}' AS canonical,
  'fact:sha256:' || sha256('[' || to_json(context)::varchar || ',' || to_json(identity)::varchar || ']') AS fact, left(split_part(identity, ':', -1), 12) AS short FROM kg_nodes""")

@@ -29,6 +29,39 @@ def python_imports(documents: DataFrame) -> DataFrame:
     return files.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^(?:from|import) +([A-Za-z_.][\w.]*)"), 1)).alias("module"))
 
 
+#: Comments and literals of the brace languages, and of Python; they are taken
+#: out before anything is looked for.
+BRACE_NOISE = r'/\*[\s\S]*?\*/|//[^\n]*|"""[\s\S]*?"""|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|\'[^\'\\\n]*(?:\\.[^\'\\\n]*)*\''
+PYTHON_NOISE = r'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"[^"\\\n]*(?:\\.[^"\\\n]*)*"|\'[^\'\\\n]*(?:\\.[^\'\\\n]*)*\'|#[^\n]*'
+#: language -> (extension, noise, what -> pattern with one group), at any depth.
+OUTLINE = {
+    "java": (r"(?i)\.java$", BRACE_NOISE, {
+        "import": r"\bimport\s+(?:static\s+)?([A-Za-z_$][\w$]*(?:\.[A-Za-z_$*][\w$]*)*)\s*;", "type": r"\b(?:class|interface|enum|record)\s+([A-Za-z_$][\w$]*)",
+        "call": r"\.([a-z_$][\w$]*)\s*\(", "annotation": r"@([A-Z][\w$.]*)"}),
+    "python": (r"(?i)\.pyi?$", PYTHON_NOISE, {
+        "import": r"(?m)^[ \t]*(?:from|import)[ \t]+([A-Za-z_.][\w.]*)", "type": r"(?m)^[ \t]*class[ \t]+([A-Za-z_]\w*)", "function": r"(?m)^[ \t]*(?:async[ \t]+)?def[ \t]+([A-Za-z_]\w*)", "call": r"\.([A-Za-z_]\w*)[ \t]*\("}),
+    "javascript": (r"(?i)\.c?js$", r'/\*[\s\S]*?\*/|(?m)(?:^|[ \t;])//[^\n]*', {
+        "import": r"\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)", "type": r"\bclass\s+([A-Za-z_$][\w$]*)", "function": r"\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)", "export": r"\bexports\.([A-Za-z_$][\w$]*)\s*="}),
+    "c": (r"(?i)\.[ch]$", r"/\*[\s\S]*?\*/|//[^\n]*", {
+        "import": r"(?m)^[ \t]*#[ \t]*include[ \t]*[<\"]([^>\"\n]+)[>\"]", "type": r"\b(?:struct|union|enum)\s+([A-Za-z_]\w*)\s*\{", "macro": r"(?m)^[ \t]*#[ \t]*define[ \t]+([A-Za-z_]\w*)"}),
+}
+
+
+def outline(documents: DataFrame) -> DataFrame:
+    """(doc_id, language, what, name, n): imports, declarations, calls of members
+    and the like, at any depth, with how often each occurs; comments and literals
+    do not count.
+
+    Null and empty texts give nothing; whole texts are searched, inside the JVM."""
+    out = None
+    for language, (suffix, noise, patterns) in OUTLINE.items():
+        rows = documents.where(F.col("path").rlike(suffix) & F.col("text").isNotNull()).select("doc_id", F.regexp_replace("text", noise, " ").alias("bare"))
+        found = F.array(*[F.struct(F.lit(w).alias("what"), F.regexp_extract_all("bare", F.lit(p), 1).alias("names")) for w, p in patterns.items()])
+        part = rows.select("doc_id", F.explode(found).alias("f")).select("doc_id", F.lit(language).alias("language"), "f.what", F.explode("f.names").alias("name"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("doc_id", "language", "what", "name").agg(F.count("*").alias("n"))
+
+
 POM = "groupId string, artifactId string, version string, dependencies struct<dependency: array<struct<groupId:string,artifactId:string,version:string,scope:string>>>"
 
 

@@ -580,3 +580,11 @@ def test_configuration_order_and_pages(spark):
     assert {(r["g"], r["page"], r["n"], r["sound"]) for r in answers.page_census(pages, "g", "k", 3).collect()} == {("g", 0, 3, True), ("g", 1, 3, True), ("g", 2, 1, True), ("h", 0, 1, True)}
     assert [r["sound"] for r in answers.page_census(pages.where("k <> 1 and g = 'g' and page = 0"), "g", "k", 3).collect()] == [False]
     assert answers.paged(rows.limit(0), "g", "k", 3).count() == 0
+
+
+def test_outline_skips_comments_and_literals(spark):
+    rows = [(1, 'import a.b;\n// import x.y;\n/* class No { */ class A { String s = "class B {"; @Deprecated void f() { g.h(); } class In { } }', "A.java"), (2, 'import os\n# import no\ndef f():\n    from x.y import z\n    class K: pass\n    """\n    def no(): pass\n    """\n    os.walk(1)\n', "b.PY"),
+            (3, "const a = require('./m'); // require('no')\nexports.f = function g() {}\n", "c.cjs"), (4, '#include <a.h>\n#  include "b.h"\n#define X 1\nstruct S { int a; };\n/* #include <no.h> */\n', "d.h"), (5, None, "e.java"), (6, "import no;", "f.txt")]
+    got = {(r["doc_id"], r["what"], r["name"]) for r in extract.outline(spark.createDataFrame(rows, "doc_id bigint, text string, path string")).collect()}
+    assert got == {(1, "import", "a.b"), (1, "type", "A"), (1, "type", "In"), (1, "annotation", "Deprecated"), (1, "call", "h"), (2, "import", "os"), (2, "import", "x.y"), (2, "function", "f"), (2, "type", "K"), (2, "call", "walk"),
+                   (3, "import", "./m"), (3, "function", "g"), (3, "export", "f"), (4, "import", "a.h"), (4, "import", "b.h"), (4, "macro", "X"), (4, "type", "S")}
