@@ -388,7 +388,7 @@ def moments(rows: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
     """Per language: documents, sums and cross products of the statistics."""
     k = len(STATISTICS)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    found = rows.groupBy("language").agg(F.count("*"), *[F.sum(c) for c in S], *[F.sum(F.col(S[i]) * F.col(S[j])) for i, j in pairs]).collect()
+    found = rows.groupBy("language").agg(F.count("*"), *[F.expr(f"sum({c})") for c in S], *[F.expr(f"sum(s{i} * s{j})") for i, j in pairs]).collect()
     out = {}
     for r in found:
         products = np.zeros((k, k))
@@ -424,10 +424,10 @@ def measure(described: DataFrame, model: Model) -> DataFrame:
     if not model:
         return described.select("*", *[F.lit(0.0).alias(f"c{i}") for i in range(k)], F.lit(0.0).alias("distance")).limit(0)
     held = described.join(_table(described, model), "language")
-    held = held.select(*described.columns, *[(F.col(c) - F.col(f"m{i}")).alias(f"d{i}") for i, c in enumerate(S)], *[f"p{i}_{j}" for i in range(k) for j in range(k)])
-    parts = [F.col(f"d{i}") * sum((F.col(f"p{i}_{j}") * F.col(f"d{j}") for j in range(1, k)), F.col(f"p{i}_0") * F.col("d0")) for i in range(k)]
-    out = held.select(*described.columns, *[p.alias(f"c{i}") for i, p in enumerate(parts)])
-    return out.withColumn("distance", sum((F.col(f"c{i}") for i in range(1, k)), F.col("c0")))
+    # as text: one call to the JVM for a column, not one for each of its parts
+    held = held.selectExpr(*described.columns, *[f"s{i} - m{i} AS d{i}" for i in range(k)], *[f"p{i}_{j}" for i in range(k) for j in range(k)])
+    out = held.selectExpr(*described.columns, *[f"d{i} * ({' + '.join(f'p{i}_{j} * d{j}' for j in range(k))}) AS c{i}" for i in range(k)])
+    return out.selectExpr("*", " + ".join(f"c{i}" for i in range(k)) + " AS distance")
 
 
 def fit(described: DataFrame) -> Model:
