@@ -6,6 +6,8 @@ import random
 import time
 import zipfile
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +158,43 @@ def test_reachability_and_shortest_paths_against_breadth_first_search(spark, mon
     assert traversal.reachability(e.limit(0), starts).count() == 0 and traversal.reachability(e, starts.limit(0)).count() == 0
 
 
+def test_reachability_of_one_context_larger_than_a_task_can_hold(spark):
+    """1,024 starts lead over a hub to 1,100 ends: 1.1 million rows, whose
+    contexts alone are more than 2 GB."""
+    context = "c" * 2048
+    e = spark.createDataFrame([(context, f"s{k}", "hub") for k in range(1024)] + [(context, "hub", f"e{k}") for k in range(1100)], "context string, source string, target string")
+    starts = e.where("target = 'hub'").select("context", F.col("source").alias("start"))
+    got = traversal.reachability(e, starts).groupBy("distance").agg(F.count("*"), F.countDistinct("start"), F.countDistinct("end"), F.min(F.length("context"))).collect()
+    assert {tuple(x) for x in got} == {(1, 1024, 1024, 1, 2048), (2, 1024 * 1100, 1024, 1100, 2048)}
+
+
+def test_reachability_hands_on_rows_while_they_are_found(spark):
+    """Work is cut into chunks and passes, rows into bounded pieces; nothing is
+    lost or repeated at the cuts."""
+    r = np.random.default_rng(3)
+    n = 700
+    a, b = r.integers(0, n, 2400).astype(np.int32), r.integers(0, n, 2400).astype(np.int32)
+    a, b = a[a != b], b[a != b]
+    batch = pa.RecordBatch.from_pydict({"context": pa.array(["c"] * len(a) + ["c"] * n), "at": pa.array([f"{x:03d}" for x in [*a, *range(n)]]), "to": pa.array([f"{x:03d}" for x in b] + [None] * n)})
+    graphs = list(traversal._numbered_graph(300_000)(iter([batch.slice(0, 1000), batch.slice(1000)])))
+    assert len(graphs) > 4
+    got, largest = [], 0
+    for row in traversal._reach(None, 100)(iter(graphs)):
+        x = row.to_pylist()[0]
+        largest = max(largest, len(x["pairs"]))
+        got += [(x["starts"][p & 1023], x["ends"][p >> 10], x["distances"][p >> 10]) for p in x["pairs"]]
+    assert largest <= traversal.ROW_PAIRS + 512 * 100
+    near = {x: {int(q) for q in b[a == x]} for x in range(n)}
+    want = []
+    for s in range(n):
+        level, seen, d = {s}, {s}, 0
+        while level := set().union(*(near[x] for x in level)) - seen:
+            d, seen = d + 1, seen | level
+            want += [(f"{s:03d}", f"{x:03d}", d) for x in level]
+    used = {f"{x:03d}" for x in {*a, *b}}
+    assert sorted(got) == sorted(w for w in want if w[0] in used)
+
+
 def test_conditional_paths_of_all_literal_choices():
     """a -> b -> c -> d: a path is possible where all its conditions meet."""
     literals = [("var", "p"), ("not", ("var", "p")), ("var", "q"), ("not", ("var", "q"))]
